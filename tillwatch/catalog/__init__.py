@@ -1,4 +1,4 @@
 """The query catalog; importing it registers everything."""
 
-from . import features  # noqa: F401
+from . import features, ledger  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -12,7 +12,7 @@ from ..functions.times import DAY, HOUR, days_between
 from ..operators import joins
 from ..operators.hotkeys import hot_keys
 from ..operators.history import RECEIVER, SENDER, with_clock
-from ..operators.trailing import trailing, trailing_buckets, trailing_frame
+from ..operators.trailing import trailing
 from ..operators import windows
 from ..plans import features as plan
 from ..sources.fixtures import ACC_SQL, ORDERS_SQL, TX_SQL, accounts, tx_events, tx_orders
@@ -452,22 +452,18 @@ def rolling_left_closed(spark, d):
 
 
 @query(
-    "W1_rolling_time_buckets",
+    "W1_rolling_count_and_sum",
     f"""WITH {TX_SQL} SELECT t.id, count(p.id) AS sent_1h,
   CAST(coalesce(sum(p.amount), 0) AS DOUBLE) AS volume_1h
 FROM tx t LEFT JOIN tx p ON p.sender_account_id = t.sender_account_id
   AND p.us >= t.us - {H1H} AND p.us < t.us GROUP BY t.id""",
 )
-def rolling_buckets(spark, d):
+def rolling_count_sum(spark, d):
     t = with_clock(tx_events(spark, d)).select("id", "us", SENDER, "amount")
-    w = trailing_buckets(
-        t, [SENDER], H1H, {"sent_1h": F.count(F.lit(1)), "volume_1h": F.sum("amount")}
-    )
-    return w.select(
-        "id",
-        "sent_1h",
-        F.coalesce(F.col("volume_1h").cast("double"), F.lit(0.0)).alias("volume_1h"),
+    w = trailing(
+        t, [SENDER], H1H, {"sent_1h": F.lit(1).cast("long"), "volume_1h": F.col("amount")}
     )
+    return w.select("id", "sent_1h", F.col("volume_1h").cast("double").alias("volume_1h"))
 
 
 @query(

@@ -1,13 +1,10 @@
 """Trailing time windows: aggregates over rows of the same key in ``[t - w, t)``.
 
 The lower bound is inclusive, the upper one strict, so neither the row itself nor
-rows with the same time are seen.  Three exact plans are offered:
-
-``trailing_frame``   a RANGE frame; shortest, but re-reads the frame per row
-``trailing``         a sweep: each row adds its value at ``t`` and takes it back
-                     at ``t + w``, so one running sum answers every row in linear
-                     time.  Hot keys get ``lane_running`` instead of one big sort.
-``trailing_buckets`` rows copied into two time buckets of width ``w``
+rows with the same time are seen.  A sliding RANGE frame would say the same but
+re-reads the frame for every row, which is quadratic on a busy key.  ``trailing``
+sweeps instead: each row adds its value at ``t`` and takes it back at ``t + w``, so
+one running sum answers every row in linear time.
 
 ``lane_running`` is the hot-key plan.  Rows are first tallied per (key, instant),
 which the map side combines; the tallies are cut into time lanes; lane totals
@@ -169,25 +166,3 @@ def _heavy_sums(
     return rows.drop("lane_us").join(answers, [*keys, "us"], "left").withColumns(
         {n: F.coalesce(F.col(n), F.lit(0)) for n in sums}
     )
-
-
-def trailing_frame(
-    df: DataFrame, keys: list[str], width: int, aggregates: dict[str, Column]
-) -> DataFrame:
-    """The same windows as a sliding RANGE frame; any window aggregate can be used."""
-    w = Window.partitionBy(*keys).orderBy("us").rangeBetween(-width, -1)
-    return df.select("*", *[a.over(w).alias(n) for n, a in aggregates.items()])
-
-
-def trailing_buckets(
-    df: DataFrame, keys: list[str], width: int, aggregates: dict[str, Column]
-) -> DataFrame:
-    """A RANGE frame over (key, time bucket): a row is copied into its own and the next bucket."""
-    w = Window.partitionBy(*keys, "bucket").orderBy("us").rangeBetween(-width, -1)
-    home = lane_start(F.col("us"), F.lit(width).cast("long"))
-    copies = df.select("*", F.explode(F.array(home, home + width)).alias("bucket"))
-    return (
-        copies.select("*", *[a.over(w).alias(n) for n, a in aggregates.items()])
-        .where(F.col("bucket") == home)
-        .drop("bucket")
-    )
