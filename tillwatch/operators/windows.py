@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .hotkeys import DEFAULT_HEAT, Heat, hot_keys, only_hot, union_all, without_hot
-from .trailing import lane_start
+from .trailing import lane_running, lane_start
 
 
 def lag_by_key(rows: DataFrame, key: str, heat: Heat = DEFAULT_HEAT) -> DataFrame:
@@ -44,3 +44,33 @@ def first_per_group(
     """The row with the greatest ``order_desc`` per group: an aggregate, combined map-side."""
     best = F.max_by(F.struct(*order_desc, *keep), F.struct(*order_desc))
     return rows.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
+
+
+def latest_mark(
+    rows: DataFrame, key: str, marked: Column, name: str, heat: Heat = DEFAULT_HEAT
+) -> DataFrame:
+    """Adds the latest ``us`` at or before each row's where ``marked`` holds."""
+    hot = hot_keys(rows, key, heat, F.col("us"))
+    mark = F.when(marked, F.col("us"))
+    so_far = Window.partitionBy(key).orderBy("us").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    parts = [without_hot(rows, key, hot).select("*", F.max(mark).over(so_far).alias(name))]
+    if hot.rows is not None:
+        heavy = only_hot(rows, key, hot)
+        # A mark counts for its own time too: ask one microsecond later.
+        events = F.array(
+            F.struct(F.col("us").alias("at"), F.lit(False).alias("own"), mark.alias("seen")),
+            F.struct(
+                (F.col("us") + 1).alias("at"),
+                F.lit(True).alias("own"),
+                F.lit(None).cast("long").alias("seen"),
+            ),
+        )
+        found = lane_running(heavy.select(key, "lane_us", F.inline(events)), [key], [], last="seen")
+        answers = found.select(key, (F.col("at") - 1).alias("us"), F.col("seen").alias(name))
+        parts.append(heavy.drop("lane_us").join(answers, [key, "us"], "left"))
+    if hot.has_null:
+        nothing = F.lit(None).cast("long").alias(name)
+        parts.append(rows.where(F.col(key).isNull()).select("*", nothing))
+    return union_all(parts)
