@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schemas import ACCOUNT_TYPES, FRAUD_TYPES, MONEY
+from ..schemas import ACCOUNT, ACCOUNT_TYPES, FRAUD_TYPES, MONEY, TRANSACTION
 from ..session import use_utc
+from .cdc import change_lines
 
 
 def _pick(values: list[str], index) -> F.Column:
@@ -123,3 +124,58 @@ ACC_SQL = """acc AS (
     CAST(c_nationkey AS BIGINT) AS user_id,
     1696118400000000 + ((c_custkey * 37) % 100) * 86400000000 AS us
   FROM customer)"""
+
+
+# --- change logs derived from the two ledgers ----------------------------------------
+
+
+def _damaged(lines: DataFrame) -> DataFrame:
+    """What a topic also carries: cut-off messages and messages without a row."""
+    cut = lines.select(F.left("value", F.lit(60)).alias("value"))
+    empty = lines.select(
+        F.lit('{"before":null,"after":null,"op":"u","ts_ms":1,"ts_us":1000,"ts_ns":1000000}').alias("value")
+    )
+    return cut.unionByName(empty)
+
+
+def account_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every account created; every fifth later updated to a new balance."""
+    rows = accounts(spark, sf_dir)
+    never = F.lit(False)
+    created = change_lines(rows, ACCOUNT, F.lit("c"), F.lit(0), never)
+    some = rows.where(F.col("id") % 5 == 0).withColumn("balance", (F.col("balance") + 1).cast(MONEY))
+    updated = change_lines(some, ACCOUNT, F.lit("u"), F.lit(1000), never)
+    broken = change_lines(rows.where(F.col("id") % 300 == 0), ACCOUNT, F.lit("c"), F.lit(0), never)
+    return created.unionByName(updated).unionByName(_damaged(broken))
+
+
+def transaction_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transaction created; every 50th updated; every 97th deleted."""
+    rows = tx_events(spark, sf_dir)
+    never = F.lit(False)
+    created = change_lines(rows, TRANSACTION, F.lit("c"), F.lit(0), never)
+    some = rows.where(F.col("id") % 50 == 0).withColumn("risk_score", F.lit(99))
+    updated = change_lines(some, TRANSACTION, F.lit("u"), F.lit(1000), never)
+    gone = change_lines(
+        rows.where(F.col("id") % 97 == 0), TRANSACTION, F.lit("d"), F.lit(2000), F.lit(True)
+    )
+    broken = change_lines(rows.where(F.col("id") % 500 == 0), TRANSACTION, F.lit("c"), F.lit(0), never)
+    return created.unionByName(updated).unionByName(gone).unionByName(_damaged(broken))
+
+
+def far_future_change(spark: SparkSession) -> DataFrame:
+    """One transaction a year later, of accounts nobody uses: it moves the watermark past
+    every real row so that a finite stream drains."""
+    row = spark.range(1).select(
+        F.lit("sentinel").alias("id"),
+        F.lit(0).cast(MONEY).alias("amount"),
+        F.lit("USD").alias("currency"),
+        *[F.lit(None).cast("string").alias(c) for c in ("reference", "description", "latitude", "longitude")],
+        F.lit(False).alias("is_fraud"),
+        F.lit(None).cast("string").alias("fraud_type"),
+        F.lit(0).alias("risk_score"),
+        F.lit("sentinel").alias("sender_account_id"),
+        F.lit("sentinel").alias("receiver_account_id"),
+        F.timestamp_micros(F.lit(1738368000000000)).alias("created_at"),
+    )
+    return change_lines(row, TRANSACTION, F.lit("c"), F.lit(0), F.lit(False))
