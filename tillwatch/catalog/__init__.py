@@ -1,4 +1,4 @@
 """The query catalog; importing it registers everything."""
 
-from . import features, learning, ledger, rules  # noqa: F401
+from . import features, learning, ledger, rules, streaming  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -285,6 +285,22 @@ q AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PAR
   FROM t WINDOW w AS (PARTITION BY model ORDER BY score DESC))"""
 
 
+def three_models(spark, d):
+    """Ranking scores of the three score columns."""
+    tx = tx_events(spark, d)
+    columns = {
+        "logistic_regression": ((F.col("id") * 7919) % 1000) / 1000.0,
+        "random_forest": F.least(F.lit(1.0), F.col("amount").cast("double") / 400),
+        "gradient_boosting": F.col("risk_score") / 100.0,
+    }
+    three = F.array(
+        *[F.struct(F.lit(n).alias("model"), c.alias("score")) for n, c in columns.items()]
+    )
+    scored = tx.select(F.col("is_fraud").cast("int").alias("label"), F.inline(three))
+    by = ("model",)
+    return metrics.ranking_scores(metrics.score_points(scored, by=by), by=by)
+
+
 @query(
     "M16_model_selection",
     f"""{THREE_SQL} SELECT model, round(sum(neg * (tp - pos / 2)) / (max(p) * max(n)), 6) AS roc_auc,
@@ -292,26 +308,7 @@ q AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PAR
 ORDER BY sum(pos * tp / (tp + fp)) / max(p) DESC, model LIMIT 1""",
 )
 def model_selection(spark, d):
-    tx = tx_events(spark, d)
-    label = F.col("is_fraud").cast("int").alias("label")
-    three = F.inline(
-        F.array(
-            F.struct(
-                F.lit("logistic_regression").alias("model"),
-                (((F.col("id") * 7919) % 1000) / 1000.0).alias("score"),
-            ),
-            F.struct(
-                F.lit("random_forest").alias("model"),
-                F.least(F.lit(1.0), F.col("amount").cast("double") / 400).alias("score"),
-            ),
-            F.struct(
-                F.lit("gradient_boosting").alias("model"), (F.col("risk_score") / 100.0).alias("score")
-            ),
-        )
-    )
-    by = ("model",)
-    curves = metrics.score_points(tx.select(label, three), by=by)
-    return rounded(metrics.best_model(metrics.ranking_scores(curves, by=by)))
+    return rounded(metrics.best_model(three_models(spark, d)))
 
 
 @query("M16_trained_model_scores")
