@@ -447,7 +447,7 @@ def rolling_left_closed(spark, d):
     t = trailing(t, [RECEIVER], H3D, {"received_3d": one})
     senders = hot_keys(t, SENDER, us=F.col("us"))
     t = trailing(t, [SENDER, "amount"], H2D, {"same_amount_2d": one}, hot=senders)
-    t = trailing(t, [SENDER], H1H, {"sent_1h": one}, hot=senders)
+    t = trailing(t, [SENDER], H1H, {"sent_1h": one}, hot=senders, placed=True)
     return t.select("id", "received_3d", "same_amount_2d", "sent_1h")
 
 

@@ -14,7 +14,7 @@ from ..operators import metrics
 from ..operators.history import RECEIVER, SENDER
 from ..plans import scoring
 from ..plans import features as plan
-from ..plans.training import MODEL_VERSION
+from ..plans.training import MODEL_VERSION, materialise
 from ..schemas import ACCOUNT, FEATURE_ROW, FRAUD_TYPES, PROFILE, TRANSACTION
 from ..session import work_dir
 from ..sources import cdc, tables
@@ -40,6 +40,33 @@ from .ledger import _reasons_sql
 MS_PROFILE_SQL = PROFILE_SQL.replace("epoch_us(ts) AS us", "epoch_us(ts) // 1000 * 1000 AS us")
 
 
+# Spans of whole milliseconds are compared as such: in hours or days many of them lie
+# exactly between two rounded values.
+MS_OUT = """SELECT transaction_id, round(trans_amount, 2) AS trans_amount,
+  CAST(round(age_hours_open_acc * 3600000) AS BIGINT) AS age_ms,
+  receiver_txn_count_last_3d, unique_senders_last_3d, multi_same_amt_count_2d,
+  sender_txn_count_last_1h, round(sender_volume_last_1h, 2) AS sender_volume_last_1h,
+  CAST(round(days_since_last_trans * 86400000) AS BIGINT) AS gap_ms,
+  round(geo_speed_kmh, 4) AS geo_speed_kmh, is_fraud, fraud_type FROM profile"""
+
+
+def ms_out(df):
+    return df.select(
+        F.col("transaction_id").cast("long").alias("transaction_id"),
+        F.round(F.col("trans_amount").cast("double"), 2).alias("trans_amount"),
+        F.round(F.col("age_hours_open_acc") * 3600000).cast("long").alias("age_ms"),
+        "receiver_txn_count_last_3d",
+        "unique_senders_last_3d",
+        "multi_same_amt_count_2d",
+        "sender_txn_count_last_1h",
+        F.round(F.col("sender_volume_last_1h").cast("double"), 2).alias("sender_volume_last_1h"),
+        F.round(F.col("days_since_last_trans") * 86400000).cast("long").alias("gap_ms"),
+        F.round("geo_speed_kmh", 4).alias("geo_speed_kmh"),
+        "is_fraud",
+        "fraud_type",
+    )
+
+
 def published(spark, lines, name):
     """Messages as a folder of JSON lines."""
     path = work_dir(spark, name)
@@ -383,7 +410,7 @@ def text_accounts(spark, d):
     return accounts(spark, d).withColumn("id", F.col("id").cast("string"))
 
 
-@query("S3_stream_reconciled_features", f"{MS_PROFILE_SQL} {PROFILE_OUT}")
+@query("S3_stream_reconciled_features", f"{MS_PROFILE_SQL} {MS_OUT}")
 def stream_reconciled_features(spark, d):
     """Micro-batches in arbitrary time order; every affected profile is recomputed."""
     lines = transaction_changes(spark, d).repartition(3)
@@ -391,27 +418,27 @@ def stream_reconciled_features(spark, d):
     stream = cdc.transactions(tables.line_stream(spark, path, files_per_batch=1)).select(*LEDGER_COLUMNS)
     ledger, _, profiles = reconcile_tables(spark, stream)
     drain_batches(stream, "reconcile", reconcile_sink(ledger, profiles, text_accounts(spark, d)))
-    return numbered(profiles.current("transaction_id", ["us"]).drop("us", SENDER))
+    return ms_out(profiles.current("transaction_id", ["us"]))
 
 
-@query("S4_stream_stateful_features", f"{MS_PROFILE_SQL} {PROFILE_OUT}")
+@query("S4_stream_stateful_features", f"{MS_PROFILE_SQL} {MS_OUT}")
 def stream_stateful_features(spark, d):
-    raw = transaction_lines(spark, d)
-    partials = drain(history.stateful_partials(pipeline.transaction_stream(raw)), "partials")
-    tx = cdc.transactions(transaction_changes(spark, d))
+    lines = transaction_changes(spark, d).unionByName(far_future_change(spark))
+    path = published(spark, lines, "transaction-changes")
+    ledger = materialise(cdc.transactions(spark.read.text(path)), "ledger")
+    stream = pipeline.transaction_stream(tables.line_stream(spark, path))
+    partials = drain(history.stateful_partials(stream, *history.busy_keys(ledger)), "partials")
     full = pipeline.complete_features(
-        history.combine_partials(partials), tx, text_accounts(spark, d)
+        history.combine_partials(partials), ledger, text_accounts(spark, d)
     )
-    return numbered(full.drop(SENDER, RECEIVER))
+    return ms_out(full)
 
 
 def feature_lines(spark, d):
     rows = plan.fraud_features(tx_events(spark, d), accounts(spark, d), keep=(SENDER, RECEIVER))
+    rows = rows.withColumn("computed_us", F.unix_micros(F.current_timestamp()))
     cast = rows.select(
-        *[
-            F.col(f.name).cast(f.dataType).alias(f.name)
-            for f in pipeline.FEATURE_MESSAGE
-        ]
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in pipeline.FEATURE_MESSAGE]
     )
     return tables.upsert_messages(cast, "transaction_id").select("value")
 
@@ -508,10 +535,10 @@ ON_TIME_SQL = re.sub(
 
 @query(
     "S8_late_data",
-    f"""{ON_TIME_SQL}, o AS ({PROFILE_OUT})
+    f"""{ON_TIME_SQL}, o AS ({MS_OUT})
 SELECT transaction_id, 'on time' AS status, receiver_txn_count_last_3d, multi_same_amt_count_2d,
-  days_since_last_trans, geo_speed_kmh FROM o
-UNION ALL SELECT event_id, 'late', -1, -1, -1.0, -1.0 FROM events
+  gap_ms, geo_speed_kmh FROM o
+UNION ALL SELECT event_id, 'late', -1, -1, -1, -1.0 FROM events
 WHERE event_id NOT IN (SELECT transaction_id FROM o)""",
 )
 def late_data(spark, d):
@@ -533,14 +560,14 @@ def late_data(spark, d):
             publish(rows)
         run = stream.writeStream.foreachBatch(handle).option("checkpointLocation", progress)
         run.trigger(availableNow=True).start().awaitTermination()
-    shown = ["receiver_txn_count_last_3d", "multi_same_amt_count_2d", "days_since_last_trans", "geo_speed_kmh"]
-    on_time = numbered(profiles.current("transaction_id", ["us"]).drop("us", SENDER)).select(
+    shown = ["receiver_txn_count_last_3d", "multi_same_amt_count_2d", "gap_ms", "geo_speed_kmh"]
+    on_time = ms_out(profiles.current("transaction_id", ["us"])).select(
         "transaction_id", F.lit("on time").alias("status"), *shown
     )
     refused = late.read().select(
         F.col("id").cast("long").alias("transaction_id"),
         F.lit("late").alias("status"),
-        *[F.lit(-1).cast("long").alias(c) for c in shown[:2]],
-        *[F.lit(-1.0).alias(c) for c in shown[2:]],
+        *[F.lit(-1).cast("long").alias(c) for c in shown[:3]],
+        F.lit(-1.0).alias("geo_speed_kmh"),
     )
     return on_time.unionByName(refused)

@@ -58,24 +58,19 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair in one aggregate; pairs with NULLs are skipped."""
+    """Pearson correlation of every pair; rows where either value is NULL are skipped.
+
+    Each row meets the grouping once per column, so one group's aggregate holds only as
+    many correlations as there are columns and stays within generated code.
+    """
     reals = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = reals.agg(
-        F.array(
-            *[
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"))
-                for a, b in pairs
-            ]
-        ).alias("cells")
-    )
-    cells = wide.select(F.inline("cells"))
-    mirrored = cells.where(F.col("a") != F.col("b")).select(
-        F.col("b").alias("a"), F.col("a").alias("b"), "r"
-    )
-    return cells.unionByName(mirrored).select(
-        F.col("a").alias("column_a"), F.col("b").alias("column_b"), F.col("r").alias("correlation")
+    own = F.array(*[F.struct(F.lit(c).alias("column_a"), F.col(c).alias("own")) for c in columns])
+    cells = (
+        reals.select(*columns, F.inline(own))
+        .groupBy("column_a")
+        .agg(*[F.corr("own", c).alias(c) for c in columns])
     )
+    return cells.unpivot(["column_a"], columns, "column_b", "correlation")
 
 
 def feature_histogram(df: DataFrame, widths: dict[str, float], label: str) -> DataFrame:

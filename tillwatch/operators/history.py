@@ -105,14 +105,14 @@ def attach_hot_receivers(tx: DataFrame, hot: HotSet) -> DataFrame:
 def finish_receivers(tx: DataFrame, hot: HotSet) -> DataFrame:
     """Windows for ordinary receivers; rows already answered travel in groups of one."""
     payload = [c for c in tx.columns if c not in (RECEIVER, "hot_count", "hot_senders")]
-    answered = F.col("hot_count").isNotNull() | F.col(RECEIVER).isNull()
-    lane = F.lit(0).cast("long")
+    group = [RECEIVER]
     if hot.rows is not None or hot.has_null:
-        lane = F.when(answered, F.xxhash64("id")).otherwise(lane)
-    lanes = tx.withColumn("lane", lane).repartition(RECEIVER, "lane")
-
-    pair = Window.partitionBy(RECEIVER, "lane", SENDER).orderBy("us")
-    claims = lanes.withColumn("again", F.lead("us").over(pair))
+        answered = F.col("hot_count").isNotNull() | F.col(RECEIVER).isNull()
+        tx = tx.withColumn("lane", F.when(answered, F.xxhash64("id")).otherwise(F.lit(0).cast("long")))
+        group = [RECEIVER, "lane"]
+    # One shuffle for both windows, before the marks multiply the rows.
+    pair = Window.partitionBy(*group, SENDER).orderBy("us")
+    claims = tx.repartition(*group).withColumn("again", F.lead("us").over(pair))
     one = F.col(SENDER).isNotNull().cast("long")
     unit, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     leave = F.col("us") + F.lit(RECEIVER_WINDOW)
@@ -126,8 +126,7 @@ def finish_receivers(tx: DataFrame, hot: HotSet) -> DataFrame:
         F.array(own, mark(leave, False, -unit, zero), mark(F.col("again"), False, zero, -one)),
     ).otherwise(F.array(own, mark(leave, False, -unit, -one)))
     swept = claims.select("*", F.explode(marks).alias("m")).select(
-        RECEIVER,
-        "lane",
+        *group,
         F.col("m.at").alias("at"),
         F.col("m.n").alias("n"),
         F.col("m.d").alias("d"),
@@ -135,7 +134,7 @@ def finish_receivers(tx: DataFrame, hot: HotSet) -> DataFrame:
         "hot_count",
         "hot_senders",
     )
-    running = strictly_before(RECEIVER, "lane")
+    running = strictly_before(*group)
     known = F.col(RECEIVER).isNotNull()
 
     def answer(hot: str, delta: str):
@@ -302,7 +301,9 @@ def sender_history(
             return rows
         return rows.join(dim, F.col(SENDER) == F.col("account_key"), "left").drop("account_key")
 
-    parts = [_ordinary_senders(meet(without_hot(tx, SENDER, hot), opened))]
+    # One shuffle for the account join and all sender windows, before marks multiply rows.
+    ordinary = without_hot(tx, SENDER, hot).repartition(SENDER)
+    parts = [_ordinary_senders(meet(ordinary, opened))]
     if hot.rows is not None:
         few = None
         if opened is not None:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 @dataclass(frozen=True)
 class Heat:
     min_rows: int = 2_000_000  # a key with fewer rows is never hot
-    max_keys: int = 10_000  # size bound of the broadcast set
+    max_keys: int = 100_000  # size bound of the broadcast set
     lane_rows: int = 500_000  # wanted rows per time lane of a hot key
 
 
@@ -44,23 +44,38 @@ def hot_keys(
     df: DataFrame, key: str, heat: Heat = DEFAULT_HEAT, us: Column | None = None
 ) -> HotSet:
     """Count rows per key (combined map-side) and fetch the bounded list of heavy keys."""
+    return hot_sets(df, [key], heat, us)[key]
+
+
+def hot_sets(
+    df: DataFrame, keys: list[str], heat: Heat = DEFAULT_HEAT, us: Column | None = None
+) -> dict[str, HotSet]:
+    """``hot_keys`` for several key columns of one table, in one pass over it.
+
+    The heaviest ``max_keys`` per column are listed together, so a key left out holds at
+    most ``rows / max_keys`` rows, whichever column it belongs to.
+    """
     clock = us if us is not None else F.lit(0).cast("long")
     width = F.ceil((F.col("hi") - F.col("lo") + 1).cast("double") * heat.lane_rows / F.col("n"))
+    entries = [F.struct(F.lit(k).alias("key"), F.col(k).alias("hot_key")) for k in keys]
     found = (
-        df.select(F.col(key).alias("hot_key"), clock.alias("us"))
-        .groupBy("hot_key")
+        df.select(clock.alias("us"), F.inline(F.array(*entries)))
+        .groupBy("key", "hot_key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
         .where((F.col("n") >= heat.min_rows) | F.col("hot_key").isNull())
-        .orderBy(F.col("hot_key").isNotNull(), F.desc("n"), "hot_key")
-        .limit(heat.max_keys + 1)
-        .select("hot_key", F.greatest(F.lit(1).cast("long"), width).alias("lane_us"))
+        .orderBy(F.col("hot_key").isNotNull(), F.desc("n"), "key", "hot_key")
+        .limit(len(keys) * (heat.max_keys + 1))
+        .select("key", "hot_key", F.greatest(F.lit(1).cast("long"), width).alias("lane_us"))
     )
+    schema = found.drop("key").schema
     listed = found.collect()
-    heavy = [r for r in listed if r.hot_key is not None]
-    rows = None
-    if heavy:
-        rows = df.sparkSession.createDataFrame(heavy[: heat.max_keys], schema=found.schema)
-    return HotSet(rows, has_null=len(heavy) < len(listed))
+    sets = {}
+    for key in keys:
+        mine = [(r.hot_key, r.lane_us) for r in listed if r.key == key]
+        heavy = [r for r in mine if r[0] is not None]
+        rows = df.sparkSession.createDataFrame(heavy, schema=schema) if heavy else None
+        sets[key] = HotSet(rows, has_null=len(heavy) < len(mine))
+    return sets
 
 
 def only_hot(df: DataFrame, key: str, hot: HotSet) -> DataFrame:
@@ -89,15 +104,21 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 def lookup(
-    left: DataFrame, dim: DataFrame, key: str, dim_key: str, heat: Heat = DEFAULT_HEAT
+    left: DataFrame,
+    dim: DataFrame,
+    key: str,
+    dim_key: str,
+    heat: Heat = DEFAULT_HEAT,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Left outer join against a table with one row per ``dim_key``.
 
     Ordinary keys take the join Catalyst picks.  Hot keys meet the at most
     ``max_keys`` matching dimension rows by broadcast, and NULL keys, which match
-    nothing, skip the join instead of meeting in one partition.
+    nothing, skip the join instead of meeting in one partition.  ``counted`` names the
+    table to count keys on when ``left`` is derived from it row by row.
     """
-    hot = hot_keys(left, key, heat)
+    hot = hot_keys(left if counted is None else counted, key, heat)
     extra = [f for f in dim.schema.fields if f.name != dim_key]
 
     def meet(rows: DataFrame, side: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import DAY, HOUR
 from .history import RECEIVER, SENDER, sender_history
-from .hotkeys import DEFAULT_HEAT, Heat, hot_keys, lookup
+from .hotkeys import DEFAULT_HEAT, Heat, hot_sets, lookup
 from .trailing import trailing
 
 
@@ -22,7 +22,7 @@ def enrich_accounts(tx: DataFrame, accounts: DataFrame, heat: Heat = DEFAULT_HEA
         F.col("id").alias("account_key"), F.col("account_number").alias("receiver_account")
     )
     both = lookup(tx, senders, SENDER, "account_key", heat)
-    return lookup(both, receivers, RECEIVER, "account_key", heat)
+    return lookup(both, receivers, RECEIVER, "account_key", heat, tx)
 
 
 def or_theta_counts(tx: DataFrame, heat: Heat = DEFAULT_HEAT) -> DataFrame:
@@ -43,9 +43,11 @@ def or_theta_counts(tx: DataFrame, heat: Heat = DEFAULT_HEAT) -> DataFrame:
         ("by_pace", [SENDER], HOUR),
         ("amount_pace", [SENDER, "amount"], HOUR),
     ]
-    hot = {k: hot_keys(t, k, heat, F.col("us")) for k in (RECEIVER, SENDER)}
+    hot = hot_sets(t, [RECEIVER, SENDER], heat, F.col("us"))
+    placed_by = None
     for name, keys, width in terms:
-        t = trailing(t, keys, width, {name: one}, hot=hot[keys[0]])
+        t = trailing(t, keys, width, {name: one}, hot=hot[keys[0]], placed=keys[0] == placed_by)
+        placed_by = keys[0]
     union = (
         F.col("by_receiver") + F.col("by_amount") + F.col("by_pace")
         - F.col("receiver_amount") - F.col("receiver_pace") - F.col("amount_pace")
@@ -106,7 +108,8 @@ def touching(tx: DataFrame, own: DataFrame, heat: Heat = DEFAULT_HEAT) -> DataFr
     """
     sent = own.select(F.col("id").alias("account_key"), F.lit(True).alias("sends"))
     got = own.select(F.col("id").alias("account_key"), F.lit(True).alias("receives"))
-    flagged = lookup(lookup(tx, sent, SENDER, "account_key", heat), got, RECEIVER, "account_key", heat)
+    flagged = lookup(tx, sent, SENDER, "account_key", heat)
+    flagged = lookup(flagged, got, RECEIVER, "account_key", heat, tx)
     return flagged.where(F.col("sends") | F.col("receives")).drop("sends", "receives")
 
 
@@ -115,7 +118,8 @@ def with_account_structs(tx: DataFrame, accounts: DataFrame, heat: Heat = DEFAUL
     brief = F.struct("id", "account_name", "account_number")
     senders = accounts.select(F.col("id").alias("account_key"), brief.alias("sender_account"))
     receivers = accounts.select(F.col("id").alias("account_key"), brief.alias("receiver_account"))
-    both = lookup(lookup(tx, senders, SENDER, "account_key", heat), receivers, RECEIVER, "account_key", heat)
+    both = lookup(tx, senders, SENDER, "account_key", heat)
+    both = lookup(both, receivers, RECEIVER, "account_key", heat, tx)
     return both.where(F.col("receiver_account").isNotNull())
 
 
@@ -148,7 +152,8 @@ def single_relation(tx: DataFrame, accounts: DataFrame, heat: Heat = DEFAULT_HEA
     """``is`` / ``isNot`` on the one related account of each side."""
     senders = accounts.select(F.col("id").alias("account_key"), F.col("status").alias("s_status"))
     receivers = accounts.select(F.col("id").alias("account_key"), F.col("status").alias("r_status"))
-    both = lookup(lookup(tx, senders, SENDER, "account_key", heat), receivers, RECEIVER, "account_key", heat)
+    both = lookup(tx, senders, SENDER, "account_key", heat)
+    both = lookup(both, receivers, RECEIVER, "account_key", heat, tx)
     return both.select(
         "id",
         (F.col("s_status") == "SUSPENDED").alias("sender_is_suspended"),

@@ -82,7 +82,7 @@ def flow_direction(
         )
 
     rows = lookup(tx, side("s"), SENDER, "account_key", heat)
-    rows = lookup(rows, side("r"), RECEIVER, "account_key", heat)
+    rows = lookup(rows, side("r"), RECEIVER, "account_key", heat, tx)
     debit = F.coalesce(F.col("s.mine"), F.lit(False))
     sender = F.coalesce(
         first_filled(F.col("s.account_name"), F.col("s.account_number")), F.lit("External / Top-up")

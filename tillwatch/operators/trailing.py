@@ -88,7 +88,11 @@ def add_and_expire(width: int) -> Column:
 
 
 def sweep(rows: DataFrame, keys: list[str], width: int, sums: dict[str, Column]) -> DataFrame:
-    """``rows`` plus the trailing sums; one shuffle on ``keys``, one sort, linear time."""
+    """``rows`` plus the trailing sums; one shuffle on ``keys[0]``, one sort, linear time.
+
+    Partitioned by the first key alone, rows stay in place for a next call whose keys
+    start with the same column.
+    """
     payload = [c for c in rows.columns if c not in keys]
     marks = (
         rows.select("*", *[v.alias(f"__{n}") for n, v in sums.items()])
@@ -119,16 +123,19 @@ def trailing(
     sums: dict[str, Column],
     heat: Heat = DEFAULT_HEAT,
     hot: HotSet | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """``df`` (with ``us``) plus, per entry of ``sums``, the sum over ``[us - width, us)``.
 
     Rows with a NULL key match nothing and get zeros.  The split by heat follows
-    ``keys[0]``; pass ``hot`` to reuse one count for several calls.
+    ``keys[0]``; pass ``hot`` to reuse one count for several calls, and ``placed`` when an
+    earlier call already partitioned the rows by ``keys[0]``.
     """
     if hot is None:
         hot = hot_keys(df, keys[0], heat, F.col("us"))
     wanted = [*df.columns, *sums]
-    cold = sweep(without_hot(df, keys[0], hot), keys, width, sums)
+    ordinary = without_hot(df, keys[0], hot)
+    cold = sweep(ordinary if placed else ordinary.repartition(keys[0]), keys, width, sums)
     types = {f.name: f.dataType for f in cold.schema.fields}
 
     def zero(name: str) -> Column:

@@ -21,7 +21,7 @@ from ..operators.history import (
     sender_history,
     with_clock,
 )
-from ..operators.hotkeys import DEFAULT_HEAT, Heat, hot_keys, lookup
+from ..operators.hotkeys import DEFAULT_HEAT, Heat, hot_sets, lookup
 from ..operators.trailing import trailing
 
 
@@ -50,7 +50,8 @@ def target_transactions(tx: DataFrame, accounts: DataFrame, heat: Heat = DEFAULT
     receivers = accounts.select(
         F.col("id").alias("account_key"), F.col("account_number").alias("receiver_account")
     )
-    both = lookup(lookup(tx, senders, SENDER, "account_key", heat), receivers, RECEIVER, "account_key", heat)
+    both = lookup(tx, senders, SENDER, "account_key", heat)
+    both = lookup(both, receivers, RECEIVER, "account_key", heat, tx)
     return both.select(
         "id",
         SENDER,
@@ -141,10 +142,9 @@ def fraud_features(
     ``keep`` names extra columns to carry (``us`` and the account ids).
     """
     rows = ledger_rows(tx)
-    hot_receivers = hot_keys(rows, RECEIVER, heat, F.col("us"))
-    hot_senders = hot_keys(rows, SENDER, heat, F.col("us"))
-    rows = attach_hot_receivers(rows, hot_receivers)
-    profiled = finish_receivers(sender_history(rows, heat, accounts, hot_senders), hot_receivers)
+    hot = hot_sets(rows, [RECEIVER, SENDER], heat, F.col("us"))
+    rows = attach_hot_receivers(rows, hot[RECEIVER])
+    profiled = finish_receivers(sender_history(rows, heat, accounts, hot[SENDER]), hot[RECEIVER])
     previous = F.col("previous")
     age = whole_second_hours if whole_seconds else hours_between
     return profiled.select(
