@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.times import DAY, HOUR, days_between
 from ..operators import joins
-from ..operators.hotkeys import hot_keys
 from ..operators.history import RECEIVER, SENDER, with_clock
-from ..operators.trailing import trailing
+from ..operators.trailing import trailing, trailing_terms
 from ..operators import windows
 from ..plans import features as plan
 from ..sources.fixtures import ACC_SQL, ORDERS_SQL, TX_SQL, accounts, tx_events, tx_orders
@@ -445,9 +444,10 @@ def rolling_left_closed(spark, d):
     one = F.lit(1).cast("long")
     t = with_clock(tx_orders(spark, d)).select("id", "us", SENDER, RECEIVER, "amount")
     t = trailing(t, [RECEIVER], H3D, {"received_3d": one})
-    senders = hot_keys(t, SENDER, us=F.col("us"))
-    t = trailing(t, [SENDER, "amount"], H2D, {"same_amount_2d": one}, hot=senders)
-    t = trailing(t, [SENDER], H1H, {"sent_1h": one}, hot=senders, placed=True)
+    t = trailing_terms(
+        t,
+        [([SENDER], H1H, {"sent_1h": one}), ([SENDER, "amount"], H2D, {"same_amount_2d": one})],
+    )
     return t.select("id", "received_3d", "same_amount_2d", "sent_1h")
 
 

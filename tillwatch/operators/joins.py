@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.times import DAY, HOUR
 from .history import RECEIVER, SENDER, sender_history
 from .hotkeys import DEFAULT_HEAT, Heat, hot_sets, lookup
-from .trailing import trailing
+from .trailing import trailing_terms
 
 
 def enrich_accounts(tx: DataFrame, accounts: DataFrame, heat: Heat = DEFAULT_HEAT) -> DataFrame:
@@ -44,10 +44,9 @@ def or_theta_counts(tx: DataFrame, heat: Heat = DEFAULT_HEAT) -> DataFrame:
         ("amount_pace", [SENDER, "amount"], HOUR),
     ]
     hot = hot_sets(t, [RECEIVER, SENDER], heat, F.col("us"))
-    placed_by = None
-    for name, keys, width in terms:
-        t = trailing(t, keys, width, {name: one}, hot=hot[keys[0]], placed=keys[0] == placed_by)
-        placed_by = keys[0]
+    for lead in (RECEIVER, SENDER):
+        led = [(keys, width, {name: one}) for name, keys, width in terms if keys[0] == lead]
+        t = trailing_terms(t, led, heat, hot[lead])
     union = (
         F.col("by_receiver") + F.col("by_amount") + F.col("by_pace")
         - F.col("receiver_amount") - F.col("receiver_pace") - F.col("amount_pace")

@@ -88,11 +88,7 @@ def add_and_expire(width: int) -> Column:
 
 
 def sweep(rows: DataFrame, keys: list[str], width: int, sums: dict[str, Column]) -> DataFrame:
-    """``rows`` plus the trailing sums; one shuffle on ``keys[0]``, one sort, linear time.
-
-    Partitioned by the first key alone, rows stay in place for a next call whose keys
-    start with the same column.
-    """
+    """``rows`` plus the trailing sums by a running window: one sort, linear time."""
     payload = [c for c in rows.columns if c not in keys]
     marks = (
         rows.select("*", *[v.alias(f"__{n}") for n, v in sums.items()])
@@ -122,44 +118,61 @@ def trailing(
     width: int,
     sums: dict[str, Column],
     heat: Heat = DEFAULT_HEAT,
-    hot: HotSet | None = None,
-    placed: bool = False,
 ) -> DataFrame:
     """``df`` (with ``us``) plus, per entry of ``sums``, the sum over ``[us - width, us)``.
 
-    Rows with a NULL key match nothing and get zeros.  The split by heat follows
-    ``keys[0]``; pass ``hot`` to reuse one count for several calls, and ``placed`` when an
-    earlier call already partitioned the rows by ``keys[0]``.
+    Rows with a NULL key match nothing and get zeros.
     """
-    if hot is None:
-        hot = hot_keys(df, keys[0], heat, F.col("us"))
-    wanted = [*df.columns, *sums]
-    ordinary = without_hot(df, keys[0], hot)
-    cold = sweep(ordinary if placed else ordinary.repartition(keys[0]), keys, width, sums)
-    types = {f.name: f.dataType for f in cold.schema.fields}
+    return trailing_terms(df, [(keys, width, sums)], heat)
 
-    def zero(name: str) -> Column:
-        return F.lit(0).cast(types[name])
 
-    complete = F.lit(True)
-    for k in keys[1:]:
-        complete = complete & F.col(k).isNotNull()
-    if len(keys) > 1:
-        cold = cold.withColumns({n: F.when(complete, F.col(n)).otherwise(zero(n)) for n in sums})
+def trailing_terms(
+    df: DataFrame,
+    terms: list[tuple[list[str], int, dict[str, Column]]],
+    heat: Heat = DEFAULT_HEAT,
+    hot: HotSet | None = None,
+) -> DataFrame:
+    """Several trailing windows whose keys start with the same column.
+
+    The rows are split by that column's heat once, and ordinary rows are shuffled once.
+    """
+    lead = terms[0][0][0]
+    if hot is None:
+        hot = hot_keys(df, lead, heat, F.col("us"))
+    names = [n for _, _, sums in terms for n in sums]
+    wanted = [*df.columns, *names]
+
+    cold = without_hot(df, lead, hot).repartition(lead)
+    for keys, width, sums in terms:
+        cold = _complete(sweep(cold, keys, width, sums), keys, sums)
     parts = [cold.select(*wanted)]
     if hot.rows is not None:
-        rows = only_hot(df, keys[0], hot)
-        parts.append(_heavy_sums(rows, keys, width, sums).select(*wanted))
+        heavy = only_hot(df, lead, hot)
+        for keys, width, sums in terms:
+            heavy = _heavy_sums(heavy, only_hot(df, lead, hot), keys, width, sums)
+        parts.append(heavy.select(*wanted))
     if hot.has_null:
-        unknown = df.where(F.col(keys[0]).isNull())
-        parts.append(unknown.select("*", *[zero(n).alias(n) for n in sums]))
+        types = {f.name: f.dataType for f in cold.schema.fields}
+        zeros = [F.lit(0).cast(types[n]).alias(n) for n in names]
+        parts.append(df.where(F.col(lead).isNull()).select("*", *zeros))
     return union_all(parts)
 
 
+def _complete(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Zero where one of the further keys is NULL."""
+    if len(keys) == 1:
+        return rows
+    whole = F.lit(True)
+    for k in keys[1:]:
+        whole = whole & F.col(k).isNotNull()
+    return rows.withColumns({n: F.when(whole, F.col(n)).otherwise(F.lit(0)) for n in sums})
+
+
 def _heavy_sums(
-    rows: DataFrame, keys: list[str], width: int, sums: dict[str, Column]
+    rows: DataFrame, ledger: DataFrame, keys: list[str], width: int, sums: dict[str, Column]
 ) -> DataFrame:
-    tallied = rows.groupBy(*keys, "us").agg(
+    """``rows`` of hot keys plus the sums, tallied from ``ledger`` (the same rows, unextended)."""
+    tallied = ledger.groupBy(*keys, "us").agg(
         *[F.sum(v).alias(n) for n, v in sums.items()], F.max("lane_us").alias("lane_us")
     )
     marks = tallied.select("*", add_and_expire(width).alias("mark")).select(
@@ -170,6 +183,6 @@ def _heavy_sums(
         *[(F.col(n) * F.col("mark.sign")).alias(n) for n in sums],
     )
     answers = lane_running(marks, keys, list(sums)).withColumnRenamed("at", "us")
-    return rows.drop("lane_us").join(answers, [*keys, "us"], "left").withColumns(
+    return rows.join(answers, [*keys, "us"], "left").withColumns(
         {n: F.coalesce(F.col(n), F.lit(0)) for n in sums}
     )
