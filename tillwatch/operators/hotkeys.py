@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 @dataclass(frozen=True)
 class Heat:
-    min_rows: int = 2_000_000  # a key with fewer rows is never hot
+    min_rows: int = 1_000_000  # a key with fewer rows is never hot
     max_keys: int = 100_000  # size bound of the broadcast set
     lane_rows: int = 500_000  # wanted rows per time lane of a hot key
 

@@ -80,7 +80,7 @@ def assemble(tx: DataFrame, parts: list[DataFrame]) -> DataFrame:
     return whole.fillna(0, counts).fillna(9999.0, ["days_since_last_trans"])
 
 
-def orphans(tx: DataFrame, accounts: DataFrame) -> DataFrame:
+def orphans(tx: DataFrame, accounts: DataFrame, heat: Heat = DEFAULT_HEAT) -> DataFrame:
     """Transaction sides whose account does not exist, as (id, side, account_id)."""
     sides = tx.select(
         "id",
@@ -94,10 +94,11 @@ def orphans(tx: DataFrame, accounts: DataFrame) -> DataFrame:
     # The distinct account ids are checked, not every row: a hub account is looked up once.
     used = sides.select("account_id").where(F.col("account_id").isNotNull()).distinct()
     missing = used.join(accounts.select(F.col("id").alias("account_id")), "account_id", "left_anti")
-    receivers_without_id = sides.where((F.col("side") == "receiver") & F.col("account_id").isNull())
-    return sides.join(missing, "account_id", "left_semi").select(
-        "id", "side", "account_id"
-    ).unionByName(receivers_without_id)
+    flagged = lookup(
+        sides, missing.withColumn("gone", F.lit(True)), "account_id", "account_id", heat
+    )
+    no_receiver = (F.col("side") == "receiver") & F.col("account_id").isNull()
+    return flagged.where(F.col("gone") | no_receiver).drop("gone")
 
 
 def touching(tx: DataFrame, own: DataFrame, heat: Heat = DEFAULT_HEAT) -> DataFrame:

@@ -8,12 +8,16 @@ affected transactions are upserted:
 * the next transaction of each new row's sender, however far ahead (dormancy, speed).
 
 The slice starts three days before the first new row; before it only the latest
-transaction per sender is needed.
+transaction per sender is needed.  Two small tables beside the ledger keep a micro-batch
+from reading all of it: the time span of every earlier batch, and every batch's last
+transaction per sender.  Only batches whose span straddles the start of the slice are
+read row by row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ..functions.times import micros
 from ..operators.history import RECEIVER_WINDOW, SENDER
@@ -21,6 +25,8 @@ from ..operators.hotkeys import DEFAULT_HEAT, Heat
 from ..plans.features import fraud_features
 from .runs import BatchTable, newest_per_key
 
+SPAN = T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
+
 
 def reconcile_sink(
     ledger: BatchTable,
@@ -32,63 +38,87 @@ def reconcile_sink(
 ):
     """foreachBatch handler.  With ``lateness_us``, rows that far behind the newest row
     of earlier batches go to ``late`` and change nothing."""
+    spans = BatchTable(ledger.spark, f"{ledger.path}-spans", SPAN)
+    lasts = BatchTable(ledger.spark, f"{ledger.path}-lasts", ledger.schema)
+
+    def clocked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("us", micros("created_at"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = newest_per_key(batch, "id", ["created_at"]).withColumn("us", micros("created_at"))
+        rows = clocked(newest_per_key(batch, "id", ["created_at"]))
         rows.persist()
         try:
-            _apply(rows, batch_id)
+            span = rows.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
+            if span.lo is None:
+                spans.sink(ledger.spark.createDataFrame([(None, None)], SPAN), batch_id)
+                lasts.sink(rows, batch_id)
+                ledger.sink(rows, batch_id)
+                return
+            _accept(rows, span, batch_id)
         finally:
             rows.unpersist()
+        _recompute(batch_id)
 
-    def _earlier(batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        return ledger.read().where(F.col("batch") < batch_id).drop("batch")
-
-    def _apply(rows: DataFrame, batch_id: int) -> None:
-        past = _earlier(batch_id)
+    def _accept(rows: DataFrame, span, batch_id: int) -> None:
+        """Store the new rows of a batch: neither too late nor seen before."""
         fresh = rows
-        if lateness_us is not None and past is not None:
-            newest = past.agg(F.max(micros("created_at")).alias("us")).first().us
+        if batch_id > 0 and lateness_us is not None:
+            newest = spans.read().where(F.col("batch") < batch_id).agg(F.max("hi")).first()[0]
             if newest is not None:
                 bound = F.lit(newest - lateness_us)
                 late.sink(rows.where(F.col("us") < bound), batch_id)
                 fresh = rows.where(F.col("us") >= bound)
-        if past is not None:
-            # A change event repeats a transaction that is already known.
-            fresh = fresh.join(past.select("id"), "id", "left_anti")
+        if batch_id > 0:
+            # A change event repeats a known transaction at its own time, so only ledger
+            # files that reach into this batch's span are looked at.
+            low, high = (F.timestamp_micros(F.lit(t)) for t in (span.lo, span.hi))
+            known = ledger.read().where(
+                (F.col("batch") < batch_id) & F.col("created_at").between(low, high)
+            )
+            fresh = fresh.join(known.select("id"), "id", "left_anti")
         ledger.sink(fresh, batch_id)
-        added = ledger.read().where(F.col("batch") == batch_id).withColumn("us", micros("created_at"))
-        span = added.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
+        added = clocked(ledger.read().where(F.col("batch") == batch_id).drop("batch"))
+        spans.sink(added.agg(F.min("us").alias("lo"), F.max("us").alias("hi")), batch_id)
+        known_senders = added.where(F.col(SENDER).isNotNull())
+        lasts.sink(newest_per_key(known_senders, SENDER, ["us", "id"]), batch_id)
+
+    def _anchors(start: int, batch_id: int) -> DataFrame:
+        """Each sender's latest transaction before ``start``."""
+        before = spans.read().where((F.col("batch") <= batch_id) & (F.col("lo") < start))
+        closed = before.where(F.col("hi") < start).select("batch")
+        straddling = before.where(F.col("hi") >= start).select("batch")
+        # One row per micro-batch is broadcast; it prunes the folders read.
+        whole = lasts.read().join(F.broadcast(closed), "batch", "left_semi").drop("batch")
+        partly = clocked(
+            ledger.read().join(F.broadcast(straddling), "batch", "left_semi").drop("batch")
+        ).where((F.col("us") < start) & F.col(SENDER).isNotNull())
+        return newest_per_key(clocked(whole).unionByName(partly), SENDER, ["us", "id"])
+
+    def _recompute(batch_id: int) -> None:
+        rows = clocked(ledger.read().where(F.col("batch") <= batch_id))
+        added = rows.where(F.col("batch") == batch_id)
+        rows = rows.drop("batch")
+        span = spans.read().where(F.col("batch") == batch_id).first()
         if span.lo is None:
             return
-        whole = (
-            ledger.read().where(F.col("batch") <= batch_id).drop("batch").withColumn("us", micros("created_at"))
-        )
         reach = span.hi + RECEIVER_WINDOW
         senders = added.select(SENDER).where(F.col(SENDER).isNotNull()).distinct()
+        beyond = rows.where(F.col("created_at") > F.timestamp_micros(F.lit(reach)))
         following = (
-            whole.where(F.col("us") > reach)
-            .join(senders, SENDER, "left_semi")
-            .groupBy(SENDER)
-            .agg(F.min("us").alias("us"))
+            beyond.join(senders, SENDER, "left_semi").groupBy(SENDER).agg(F.min("us").alias("us"))
         )
-        last = following.agg(F.max("us").alias("us")).first().us
+        last = following.agg(F.max("us")).first()[0]
         until = reach if last is None else max(reach, last)
         start = span.lo - RECEIVER_WINDOW
-        slice_rows = whole.where((F.col("us") >= start) & (F.col("us") <= until))
-        anchors = newest_per_key(
-            whole.where((F.col("us") < start) & F.col(SENDER).isNotNull()).select(
-                SENDER, *[c for c in whole.columns if c != SENDER]
-            ),
-            SENDER,
-            ["us", "id"],
-        )
+        low, high = (F.timestamp_micros(F.lit(t)) for t in (start, until))
+        slice_rows = rows.where(F.col("created_at").between(low, high))
         profiled = fraud_features(
-            slice_rows.unionByName(anchors).drop("us"), accounts, heat, keep=("us", SENDER)
+            slice_rows.unionByName(_anchors(start, batch_id)).drop("us"),
+            accounts,
+            heat,
+            keep=("us", SENDER),
         )
-        near = profiled.where((F.col("us") >= span.lo) & (F.col("us") <= reach))
+        near = profiled.where(F.col("us").between(span.lo, reach))
         far = profiled.where(F.col("us") > reach).join(following, [SENDER, "us"], "left_semi")
         features.sink(near.unionByName(far.select(*near.columns)), batch_id)
 
