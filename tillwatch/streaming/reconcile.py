@@ -118,8 +118,8 @@ def reconcile_sink(
             heat,
             keep=("us", SENDER),
         )
-        near = profiled.where(F.col("us").between(span.lo, reach))
-        far = profiled.where(F.col("us") > reach).join(following, [SENDER, "us"], "left_semi")
-        features.sink(near.unionByName(far.select(*near.columns)), batch_id)
+        marked = profiled.join(following.withColumn("follows", F.lit(True)), [SENDER, "us"], "left")
+        changed = F.col("us").between(span.lo, reach) | F.col("follows")
+        features.sink(marked.where(changed), batch_id)
 
     return handle
