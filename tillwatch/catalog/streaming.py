@@ -30,7 +30,7 @@ from ..sources.fixtures import (
 from ..streaming import history, pipeline
 from ..streaming.reconcile import reconcile_sink
 from ..streaming.runs import BatchTable, drain, drain_batches
-from .features import PROFILE_OUT, PROFILE_SQL, WITH, profile, profile_out
+from .features import PROFILE_OUT, PROFILE_SQL, profile, profile_out
 from .learning import SCORED_SQL, TABLE_SQL, THREE_SQL, fitted, points, rounded, three_models
 from .registry import query
 from .rules import SCALED, _alert_sql
