@@ -5,10 +5,12 @@
     differ are a parity count of the samples that differ, which estimates high similarities closely.
 2.  Texts with equal sets form a class; from here on only classes meet.  As many bands as ``MAX_LOSS`` asks for make a
     pair at the threshold meet in at least one bucket.
-3.  In each bucket every class is compared with one pivot, which is linear in the bucket.  Length and sketch, with a wide
-    margin, filter the pairs; full sets confirm them, and components are formed.
-4.  Only where a bucket still holds several components, classes outside its largest one are compared with all classes of
-    other components there, in blocks (large buckets are dealt out by salt).  So every pair that shares a bucket is
+3.  In each bucket every class is compared with one pivot, which is linear in the bucket.  Filters are the lengths, the
+    sketch with a wide margin, and the parity bitmap of the whole set: its differing bits are never more than the sets'
+    differing shingles, so that filter loses nothing.  Full sets confirm the pairs, and components are formed.  Further
+    rounds compare the classes outside a bucket's largest component with another pivot from it.
+4.  Only where a bucket then still holds several components, classes outside its largest one are compared with all classes
+    of other components there, in blocks (large buckets are dealt out by salt).  So every pair that shares a bucket is
     either in one component or has been compared: no link is lost to a cap.
 
 Defined results: a NULL or wordless text has an empty set and links with nothing; fewer words than a shingle make one
@@ -33,6 +35,9 @@ BAND_ROWS = 5
 #: Chance that a pair right at the threshold shares no band.
 MAX_LOSS = 1e-6
 SKETCH_BITS = 512
+PARITY_BITS = 1024
+#: Linear rounds with other pivots before the remaining classes are compared with all.
+ROUNDS = 3
 #: Classes of a bucket per block of the second comparison.
 BLOCK = 2000
 CHUNK = 4096
@@ -57,6 +62,12 @@ def shingle_set(text: bytes | None, size: int, known: WordHashes) -> np.ndarray:
     return np.unique(rolling(known.of(words), min(size, len(words))))
 
 
+def parity(places: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of the places that occur an odd number of times, as 64-bit numbers."""
+    odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Sampler:
     """MinHash samples of a set, and what is made of them."""
 
@@ -81,19 +92,18 @@ class Sampler:
 
     def sketch(self, samples: np.ndarray) -> np.ndarray:
         places = mixed(samples ^ self.terms) % np.uint64(SKETCH_BITS)
-        odd = np.bincount(places.astype(np.int64), minlength=SKETCH_BITS) & 1
-        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+        return parity(places, SKETCH_BITS)
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, key (hash of the text), n (set size), class (fingerprint of the set), band keys and sketch."""
+    """doc_id, key (hash of the text), n (set size), class (fingerprint of the set), band keys, sketch and parity."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sampler = WordHashes(), Sampler(percent)
         for batch in batches:
-            sizes, classes, keys, sketches = [], [], [], []
+            sizes, classes, keys, sketches, parities = [], [], [], [], []
             for text in byte_texts(batch.column(2)):
                 shingles = shingle_set(text, size, known)
                 sizes.append(len(shingles))
@@ -102,17 +112,19 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     classes.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                     keys.append(sampler.keys(samples))
                     sketches.append(sampler.sketch(samples))
+                    parities.append(parity(shingles % np.uint64(PARITY_BITS), PARITY_BITS))
                 else:
                     classes.append(None)
                     keys.append(None)
                     sketches.append(None)
+                    parities.append(None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, longs), pa.array(sketches, longs)],
-                ["doc_id", "key", "n", "class", "bands", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, longs), pa.array(sketches, longs), pa.array(parities, longs)],
+                ["doc_id", "key", "n", "class", "bands", "sketch", "parity"],
             )
 
-    return rows.mapInArrow(sign, f"doc_id {kind}, key long, n long, class binary, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(sign, f"doc_id {kind}, key long, n long, class binary, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -133,13 +145,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(wanted.select("class"), "class", "left_semi")
 
 
-def sketch_distance(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+FACTS = ("n", "sketch", "parity")
+
+
+def differing(a: Column, b: Column, bits: int) -> Column:
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, bits // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def near(n_a: Column, n_b: Column, sketch_a: Column, sketch_b: Column, percent: int) -> Column:
-    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return sizes & (sketch_distance(sketch_a, sketch_b) <= most_different(percent))
+def near(percent: int) -> Column:
+    """Whether the classes a and b may be similar enough, from their facts."""
+    c = F.col
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    sketch = differing(c("sketch_a"), c("sketch_b"), SKETCH_BITS) <= most_different(percent)
+    whole = (100 + percent) * differing(c("parity_a"), c("parity_b"), PARITY_BITS) <= (100 - percent) * (c("n_a") + c("n_b"))
+    return sizes & sketch & whole
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,36 +180,56 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     wanted = members.select("class").distinct().join(classes.select("class", F.col("first.key").alias("key")), "class")
     sets = stored(sets_of(docs, stored(wanted, "neardup-wanted"), size), "neardup-sets")
 
-    facts = classes.select("class", "n", "sketch")
-    side = lambda name: facts.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
-    close = near(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), percent)
-    star = members.where("class != pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    star = star.join(side("b"), "b").join(side("a"), "a").where(close).select("a", "b")
-    edges = stored(confirmed(star, sets, percent), "neardup-links")
-    roots = components(edges)
+    facts = classes.select("class", *FACTS)
+    side = lambda name: facts.select(F.col("class").alias(name), *[F.col(f).alias(f"{f}_{name}") for f in FACTS])
+    close = near(percent)
 
-    # What the pivots did not join: several components in one bucket.
-    placed = members.join(roots, members["class"] == roots["node"], "left")
-    placed = placed.select("bucket", "total", "class", F.coalesce("root", "class").alias("root"))
-    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed_buckets = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_rows = placed.join(mixed_buckets.select("bucket", "largest"), "bucket").join(facts, "class")
-    open_rows = stored(open_rows.withColumn("salts", F.ceil(F.col("total") / BLOCK).cast("int")), "neardup-open")
-    few = open_rows.where("root != largest").select(
-        "bucket", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"),
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(close).select("a", "b")
+        return stored(confirmed(stored(pairs, "neardup-pairs"), sets, percent), "neardup-links")
+
+    edges = linked(members.where("class != pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
+    roots = components(edges)
+    for number in range(ROUNDS + 1):
+        open_rows = stored(unjoined(members, roots, number), "neardup-open")
+        if number == ROUNDS or open_rows.isEmpty():
+            break
+        pivoted = open_rows.where(F.col("root") != F.col("largest")).select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+        found = linked(pivoted)
+        if found.isEmpty():
+            break
+        # The components found so far stand for their links.
+        roots = components(found.unionByName(as_links(roots)))
+
+    few = open_rows.where("root != largest").join(facts, "class").withColumn("salts", F.ceil(F.col("total") / BLOCK).cast("int"))
+    few = few.select(
+        "bucket", F.col("class").alias("a"), F.col("root").alias("root_a"), *[F.col(f).alias(f"{f}_a") for f in FACTS],
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
     )
-    every = open_rows.select(
-        "bucket", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"),
-        "largest", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int").alias("salt"),
+    every = open_rows.join(facts, "class").select(
+        "bucket", F.col("class").alias("b"), F.col("root").alias("root_b"), *[F.col(f).alias(f"{f}_b") for f in FACTS],
+        "largest", F.pmod(F.xxhash64("class"), F.ceil(F.col("total") / BLOCK)).cast("int").alias("salt"),
     )
     once = (F.col("root_b") == F.col("largest")) | (F.col("a") < F.col("b"))
     rest = few.join(every, ["bucket", "salt"]).where((F.col("root_a") != F.col("root_b")) & once & close)
-    more = stored(confirmed(rest.select("a", "b").distinct(), sets, percent), "neardup-links")
-    if more.isEmpty():
-        return roots
-    # The components found so far stand for their links.
-    return components(more.unionByName(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    more = stored(confirmed(stored(rest.select("a", "b").distinct(), "neardup-pairs"), sets, percent), "neardup-links")
+    return roots if more.isEmpty() else components(more.unionByName(as_links(roots)))
+
+
+def as_links(roots: DataFrame) -> DataFrame:
+    return roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def unjoined(members: DataFrame, roots: DataFrame, number: int) -> DataFrame:
+    """The rows of buckets that hold several components: bucket, total, class, root, largest component and a pivot from it."""
+    placed = members.join(roots, members["class"] == roots["node"], "left")
+    placed = placed.select("bucket", "total", "class", F.coalesce("root", "class").alias("root"))
+    turn = F.xxhash64("class", F.lit(number))
+    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(turn.alias("turn"), "class")).alias("first"))
+    largest = F.max_by(F.struct("root", F.col("first.class").alias("pivot")), F.struct("n", "root"))
+    buckets = parts.groupBy("bucket").agg(largest.alias("of"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    out = placed.join(buckets, "bucket")
+    return out.select("bucket", "total", "class", "root", F.col("of.root").alias("largest"), F.col("of.pivot").alias("pivot"))
 
 
 def find_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -198,7 +237,7 @@ def find_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     signed = stored(signatures(docs, size, percent), "neardup-signed")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
     classes = signed.where("n > 0").groupBy("class").agg(
-        F.min(row).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min(row).alias("first"), *[F.first(c).alias(c) for c in ("bands", *FACTS)]
     )
     classes = stored(classes, "neardup-classes")
     roots = links(docs, classes, size, percent)
