@@ -1,0 +1,234 @@
+"""Operators with a result per row, against plain definitions."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm import fixture
+from tillwatch.llm import chat, credentials, decontaminate, licenses, quality, urls
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return fixture.documents(spark).cache()
+
+
+def rows_of(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_license_phrases(docs):
+    want = []
+    for doc_id, text in rows_of(docs):
+        words = fixture.folded_words(text)
+        places, labels = [], set()
+        for phrase, label in licenses.PHRASES:
+            parts = phrase.split()
+            found = [i for i in range(len(words)) if words[i : i + len(parts)] == parts]
+            places += found
+            labels |= {label} if found else set()
+        want.append((doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))))
+    got = licenses.license_digest(docs)
+    assert fixture.plain(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(want, key=repr)
+    found = {r["labels"] for r in got.where(F.col("score") > 0).collect()}
+    assert found == {"mit", "gpl"}  # the passage with an inserted word is found by merged diagonals
+    assert got.where("labels = 'mit' and base_labels = ''").count() == 1
+
+
+def test_license_scan_of_nothing(spark):
+    assert licenses.license_digest(spark.createDataFrame([], fixture.SCHEMA)).count() == 0
+
+
+URLS = [
+    "http://a.com/x", "HTTP://Sub.Example.COM/en/1", "https://www.example.com/en/2?q#z", "https://example.com/de/", "x://net/es/", "x://b.net/es/9",
+    "x://b.net/fr", "x://b.org/en/5", "no scheme", "", None, "http://a.com", "http://a.com?x=/en/", "ftp://xnet/es/1", "x://b.net/es/9", "a://b://c.com/",
+]
+
+
+def plain_rule(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = fixture.ascii_lower(re.match("[^/?#]*", rest)[0])
+    path = re.match("[^/?#]*([^?#]*)", rest)[1]
+    fits = [(h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *max(fits, key=lambda f: len(f[0]), default=(None, None)))
+
+
+def test_url_rules(spark):
+    pages = spark.createDataFrame([(i, u, "<p>", "h") for i, u in enumerate(URLS)] + [(None, URLS[0], None, "h")], "page_id long, url string, html string, host string")
+    got = urls.url_digest(pages).collect()
+    assert len(got) == len(URLS) + 1
+    for row in got:
+        host, path, rule, verdict = plain_rule(URLS[row["page_id"] or 0])
+        assert (row["host"], row["path"], row["rule"]) == (host, path, rule)
+        assert row["verdict"] == verdict if verdict else row["verdict"] in ("allow", "block")
+        if not host:
+            assert row["verdict"] == "block"
+
+
+def test_url_model_learns_the_rules(spark):
+    kept, cut = [f"http://shop{i}.com/item/{i}" for i in range(60)], [f"http://spam{i}.net/es/{i}" for i in range(60)]
+    unknown = ["http://spam7.org/es/7", "http://shop9.org/item/9"]
+    pages = spark.createDataFrame(list(enumerate(kept + cut + unknown)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.url_digest(pages).collect()}
+    assert (got[120], got[121]) == ("block", "allow")
+    assert urls.url_digest(pages.limit(0)).count() == 0
+
+
+def test_url_model_matches_brute_force(spark):
+    pages = spark.createDataFrame([(i, f"http://{'ab'[i % 2]}{i % 7}.{'com' if i % 2 else 'net'}/{'es' if i % 3 else 'fr'}/{i}") for i in range(40)], "page_id long, url string")
+    import math
+    import zlib
+
+    def grams(url):
+        host, path, _, _ = plain_rule(url)
+        text = "^" * urls.ORDER + (host + path).lower().translate(str.maketrans("123456789", "0" * 9))
+        codes = [urls.ALPHABET.find(c) + 1 for c in text]
+        return [tuple(codes[i : i + urls.ORDER + 1]) for i in range(len(codes) - urls.ORDER)]
+
+    rows = {r["page_id"]: r["url"] for r in pages.collect()}
+    counts = {"allow": Counter(), "block": Counter()}
+    for url in rows.values():
+        verdict = plain_rule(url)[3]
+        if verdict and zlib.crc32(url.encode()) % urls.CALIBRATION_FOLDS:
+            counts[verdict].update(grams(url))
+
+    def p(kind, gram):
+        out = 1 / urls.SYMBOLS
+        for k in range(urls.ORDER + 1):
+            tail = gram[len(gram) - k - 1 :]
+            n = sum(c for g, c in counts[kind].items() if g[len(g) - k - 1 :] == tail)
+            of = sum(c for g, c in counts[kind].items() if g[len(g) - k - 1 : -1] == tail[:-1])
+            out = (n + urls.SMOOTHING * out) / (of + urls.SMOOTHING)
+        return out
+
+    for row in urls.url_digest(pages).collect():
+        own = grams(rows[row["page_id"]])
+        want = sum(math.log(p("allow", g)) - math.log(p("block", g)) for g in own) / len(own)
+        assert row["score"] == pytest.approx(want, abs=1e-5)
+
+
+def test_chat_round_trip(spark):
+    odd = ["", "\\", "\\\\[INST]", "[\\INST]", "<|im_end|>", "<<|im_end|>", "a<|im_sep|>b", "</s></s>", "\n\nx", "<|im_", None]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t, "x") for i, t in enumerate(odd)]
+    rows += [(2, 0, "<|im_sep|>", "t", "x"), (2, None, None, None, "x"), (3, 0, "system", "s", "x"), (3, 1, "user", "u", "x"), (3, 2, "assistant", "a", "x"), (3, 2, "assistant", "a", "x"), (None, 0, "user", "q", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, state string")
+    got = {r["conv_id"]: r for r in chat.chat_digest(chat.with_probe(turns)).collect()}
+    by_conv = {}
+    for c, n, role, text, _ in rows + [(-7, 0, "user", "</s>[INST] ok [/INST]", ""), (-7, 1, "assistant", "</s>[INST] ok [/INST]", "")]:
+        by_conv.setdefault(c, []).append((n is not None, n or 0, role or "", text or ""))
+    assert set(got) == set(by_conv)
+    for conv, said in by_conv.items():
+        said.sort()
+        loss = "".join(t for *_, role, t in said if role == "assistant")
+        row = got[conv]
+        assert row["n_turns"] == len(said)
+        assert row["turns_sha256"] == sha("".join(f"{role}\n{t}\n" for *_, role, t in said))
+        assert (row["loss_chars"], row["loss_sha256"]) == (len(loss), sha(loss))
+    assert {c: r["valid"] for c, r in got.items()} == {1: False, 2: False, 3: False, None: False, -7: True}
+    assert chat.chat_digest(turns.limit(0)).count() == 0
+
+
+def plain_leaks(text, items):
+    words = fixture.folded_words(text)
+    hit, found = set(), set()
+    for item, said in items:
+        own = fixture.folded_words(said)
+        size = min(10, len(own))
+        windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if size else set()
+        for i in range(len(words) - size + 1):
+            if tuple(words[i : i + size]) in windows:
+                hit |= set(range(i, i + size))
+                if item is not None:
+                    found.add(str(item))
+    return len(words), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
+
+
+def test_decontamination(spark, docs, monkeypatch):
+    rows = rows_of(docs)
+    items = [(1, " ".join(rows[0][1].upper().split()[3:17]) if rows[0][1] else "x"), (2, "one"), (10, "ham, toast; jam spam"), (3, None), (4, "..."), (None, "of a few words"), (2, "one"), (5, "never seen before here")]
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, leak_items string")
+    want = sorted([(d, *plain_leaks(t, items)) for d, t in rows], key=repr)
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert fixture.plain(decontaminate.leak_digest(docs, benchmark), *columns) == want
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 40)  # several blocks, several passes
+    assert fixture.plain(decontaminate.leak_digest(docs, benchmark), *columns) == want
+    kept = decontaminate.drop_leaking(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(not w[-1] for w in want)
+    cut = decontaminate.cut_leaks(docs, benchmark)
+    assert cut.count() == len(rows)
+    assert decontaminate.leak_digest(cut, benchmark).agg(F.sum("n_words")).first()[0] == sum(w[1] - w[2] for w in want)
+    assert decontaminate.leak_digest(docs, benchmark.limit(0)).where("contaminated").count() == 0
+
+
+def plain_stats(text):
+    words = fixture.plain_words(text)
+    spans = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    repeat = {j for i in range(len(words) - 4) if spans[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [line for line in (text or "").split("\n") if fixture.plain_words(line)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeat)
+
+
+def test_quality_statistics(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality.quality_digest(docs, labels)
+    want = []
+    for doc_id, text in rows_of(docs):
+        stats = plain_stats(text)
+        failed = stats[0] < 10 or 100 * stats[4] > 20 * stats[0]
+        want.append((doc_id, *stats, failed, not failed))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert fixture.plain(got, *columns) == sorted(want, key=repr)
+
+
+def test_quality_rules_learn_symbols(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(w + ("###" if i % 4 == 0 else "") for w in fixture.babble(rng, 40))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 200)] + [(None, 0), (3, None)], "doc_id long, quality int")
+    rules = quality.learn(quality.text_stats(docs), labels)
+    assert rules and len(rules[0]) == 1
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_digest(docs, labels).collect()}
+    assert got == {i: i % 4 != 0 for i in range(200)}
+
+
+def plain_base(text):
+    found = [("assign", m) for m in credentials.ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [("hex", m) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found, key=lambda f: (f[1].start(), credentials.KINDS.index(f[0])))
+
+
+def plain_links(text):
+    """All spans, the added ones by comparing every pair of parts."""
+    base = credentials.base_spans(text)
+    weak = credentials.weak_spans(text, base)
+    role = lambda s: credentials.ROLE_OF.get(credentials.KINDS[s[2]], credentials.KINDS[s[2]])
+    parts = [s for s in base + weak if s[2] != 2]
+    added = [w for w in weak if any(role(w) != role(p) and abs(w[0] - p[0]) <= credentials.SCOPE for p in parts)]
+    return ",".join(f"{credentials.KINDS[k]}:{s}:{e}" for s, e, k in sorted(base + added, key=lambda s: (s[0], s[2])))
+
+
+def test_secrets(spark, docs):
+    want = []
+    for doc_id, text in rows_of(docs):
+        base = plain_base(text or "")
+        kinds = Counter(k for k, _ in base)
+        listed = ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in base)
+        want.append((doc_id, kinds["assign"], kinds["access"], kinds["hex"], sha(listed), plain_links(text or "")))
+    got = credentials.secret_digest(docs)
+    assert fixture.plain(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == sorted(want, key=repr)
+    linked = [w[-1] for w in want if "identifier" in w[-1]]
+    assert len(linked) == 1 and linked[0].count("secret") == 1  # the far secret has no partner
+    assert credentials.secret_digest(docs.limit(0)).count() == 0

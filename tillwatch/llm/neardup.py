@@ -7,8 +7,8 @@
     pair at the threshold meet in at least one bucket.
 3.  In each bucket every class is compared with one pivot, which is linear in the bucket.  Filters are the lengths, the
     sketch with a wide margin, and the parity bitmap of the whole set: its differing bits are never more than the sets'
-    differing shingles, so that filter loses nothing.  Full sets confirm the pairs, and components are formed.  Further
-    rounds compare the classes outside a bucket's largest component with another pivot from it.
+    differing shingles, so that filter loses nothing.  Full sets confirm the pairs, and components are formed.  A further
+    round compares the classes outside a bucket's largest component with another pivot from it.
 4.  Only where a bucket then still holds several components, classes outside its largest one are compared with all classes
     of other components there, in blocks (large buckets are dealt out by salt).  So every pair that shares a bucket is
     either in one component or has been compared: no link is lost to a cap.
@@ -37,7 +37,7 @@ MAX_LOSS = 1e-6
 SKETCH_BITS = 512
 PARITY_BITS = 1024
 #: Linear rounds with other pivots before the remaining classes are compared with all.
-ROUNDS = 3
+ROUNDS = 1
 #: Classes of a bucket per block of the second comparison.
 BLOCK = 2000
 CHUNK = 4096
@@ -224,7 +224,8 @@ def unjoined(members: DataFrame, roots: DataFrame, number: int) -> DataFrame:
     """The rows of buckets that hold several components: bucket, total, class, root, largest component and a pivot from it."""
     placed = members.join(roots, members["class"] == roots["node"], "left")
     placed = placed.select("bucket", "total", "class", F.coalesce("root", "class").alias("root"))
-    turn = F.xxhash64("class", F.lit(number))
+    # Another pivot in each bucket, so that a class meets several of a large component in one round.
+    turn = F.xxhash64("class", "bucket", F.lit(number))
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(turn.alias("turn"), "class")).alias("first"))
     largest = F.max_by(F.struct("root", F.col("first.class").alias("pivot")), F.struct("n", "root"))
     buckets = parts.groupBy("bucket").agg(largest.alias("of"), F.count(F.lit(1)).alias("parts")).where("parts > 1")

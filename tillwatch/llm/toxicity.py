@@ -42,6 +42,8 @@ MIN_STEM, MAX_STEM = 4, 8
 #: A class's own unit is in this share of its documents, and so many times more often than in the other's.
 MIN_SHARE = 0.03
 MIN_RATIO = 8.0
+#: Its count times the logarithm of that ratio; less can be chance among the many units of a small sample.
+MIN_EVIDENCE = 12.0
 LEVEL = 3
 DECISION = 0.7
 RIDGE = 1e-4
@@ -154,8 +156,8 @@ def dictionaries(sample: DataFrame, size: int = DICTIONARY_UNITS) -> tuple[list[
     def best(own: str, other: str) -> list[bytes]:
         here, there = n[own == "toxic"], n[other == "toxic"]
         odds = ((F.col(own) + 0.5) / (here + 1)) / ((F.col(other) + 0.5) / (there + 1))
-        enough = (F.col(own) >= max(2, math.ceil(MIN_SHARE * here))) & (odds >= MIN_RATIO)
         speaks = F.round(F.col(own) * F.log(odds), 6)
+        enough = (F.col(own) >= MIN_SHARE * here) & (odds >= MIN_RATIO) & (speaks >= MIN_EVIDENCE)
         top = counts.where(enough).orderBy(speaks.desc(), F.length("unit").desc(), "unit").limit(8 * size)
         chosen: list[bytes] = []
         for row in top.select("unit").collect():
