@@ -3,7 +3,7 @@
 Texts are cut into windows of ``WINDOW`` words.  A word is written as a 16-byte hash code (word-based compression) of the
 longest *unit* it begins with, a unit being a word or a word's beginning that one of the dictionaries holds, or of itself;
 so a window shortens only by units found in a dictionary, and not by the accidents of letter statistics.  A dictionary is
-the codes of the units most used in its class, after those whose document frequency speaks for the class.  A window's
+the codes of the units that are usual in both classes, and of those whose document frequency speaks for its own.  A window's
 distance is its length compressed with the ordinary dictionary less its length with the toxic one.  A document has two
 figures, the largest distance and the mean of the positive ones; a logistic curve over both is fitted to the labelled
 sample, and shifted so that the threshold that separates the sample best has the score ``DECISION``.
@@ -166,7 +166,10 @@ def dictionaries(sample: DataFrame, size: int = DICTIONARY_UNITS) -> tuple[list[
                 chosen.append(unit)
         return chosen
 
-    common = [r["unit"].encode() for r in counts.orderBy((F.col("toxic") / n[True] + F.col("ordinary") / n[False]).desc(), "unit").limit(COMMON_UNITS).collect()]
+    # Units as usual in one class as in the other stand in both dictionaries.
+    both = F.least(F.col("toxic") / n[True], F.col("ordinary") / n[False])
+    shared = counts.where(both >= MIN_SHARE).orderBy(both.desc(), "unit").limit(COMMON_UNITS)
+    common = [r["unit"].encode() for r in shared.collect()]
     toxic, ordinary = best("toxic", "ordinary"), best("ordinary", "toxic")
     return (common + toxic, common + ordinary) if toxic else ([], [])
 
