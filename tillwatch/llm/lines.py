@@ -175,18 +175,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     heads = {f"y_{c}": F.first(f"x_{c}").over(in_list) for c in ("number", "size", "at", "bitmap")}
     lists = postings.withColumns({**heads, "more": F.lead("x_number").over(after)})
     shared = (F.col("x_number") != F.col("y_number")) | F.col("more").isNotNull() | (F.col("salt") > 0)
-    lists = stored(lists.where(shared).drop("more"), "lines-lists")
+    candidate = (F.col("x_number") > F.col("y_number")) & may_match("x", "y")
+    mine = [f"x_{c}" for c in ("number", "size", "at", "bitmap")]
+    lists = stored(lists.where(shared).select("token", *mine, F.col("y_number").alias("head"), candidate.alias("candidate")), "lines-lists")
 
-    star = lists.where((F.col("x_number") > F.col("y_number")) & may_match("x", "y"))
-    settled = stored(confirmed(docs, classes, star.select(F.col("x_number").alias("later"), F.col("y_number").alias("earlier"))), "lines-settled")
+    star = lists.where("candidate").select(F.col("x_number").alias("later"), F.col("head").alias("earlier"))
+    settled = stored(confirmed(docs, classes, star), "lines-settled")
 
-    mine = [F.col(f"x_{c}").alias(f"x_{c}") for c in ("number", "size", "at", "bitmap")]
-    unsettled = lists.join(settled, lists["x_number"] == settled["later"], "left_anti")
-    unsettled = unsettled.select("token", *mine, F.col("y_number").alias("head"))
-    others = lists.select(F.col("token").alias("t"), *[F.col(f"x_{c}").alias(f"y_{c}") for c in ("number", "size", "at", "bitmap")])
-    met = unsettled.join(
-        others, (F.col("token") == F.col("t")) & (F.col("x_number") > F.col("y_number")) & (F.col("y_number") != F.col("head")) & may_match("x", "y")
-    )
+    unsettled = lists.join(settled, lists["x_number"] == settled["later"], "left_anti").select("token", *mine, "head")
+    others = lists.select(F.col("token").alias("t"), *[F.col(c).alias(c.replace("x_", "y_")) for c in mine])
+    earlier = (F.col("x_number") > F.col("y_number")) & (F.col("y_number") != F.col("head"))
+    met = unsettled.join(others, (F.col("token") == F.col("t")) & earlier & may_match("x", "y"))
     rest = confirmed(docs, classes, met.select(F.col("x_number").alias("later"), F.col("y_number").alias("earlier")))
     gone = settled.unionByName(rest).distinct()
 

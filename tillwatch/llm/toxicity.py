@@ -43,7 +43,7 @@ MIN_STEM, MAX_STEM = 4, 8
 MIN_SHARE = 0.03
 MIN_RATIO = 8.0
 #: Its count times the logarithm of that ratio; less can be chance among the many units of a small sample.
-MIN_EVIDENCE = 12.0
+MIN_EVIDENCE = 25.0
 LEVEL = 3
 DECISION = 0.7
 RIDGE = 1e-4
