@@ -13,7 +13,8 @@ from tillwatch.session import work_dir
 from tillwatch.sources import cdc, tables
 from tillwatch.sources.fixtures import far_future_change
 from tillwatch.streaming import history, pipeline
-from tillwatch.streaming.reconcile import reconcile_sink
+from tillwatch.catalog.streaming import LEDGER_COLUMNS, reconcile_tables
+from tillwatch.streaming.reconcile import VERSION, reconcile_sink
 from tillwatch.streaming.runs import BatchTable, drain, drain_batches
 
 BASE_MS = int(EPOCH.timestamp() * 1000)
@@ -136,6 +137,39 @@ def test_reconcile_out_of_order(spark):
     assert answers(features.current("transaction_id", ["us"])) == brute.profile(rows)
 
 
+def test_reconcile_updates(spark):
+    """A newer version moves, re-prices and re-routes a transaction; an older one and a NULL time change nothing."""
+    rows = ms_rows(23, 40)
+    minute = 60_000_000
+    changed = {}
+    for n in (3, 11, 19):
+        i, amount, s, r, lat, lon, us = rows[n]
+        changed[i] = (i, amount + 500, r, s, lat, lon, us + (n - 10) * 30 * minute)
+    late_by = 10 * 24 * 3600 * 1000
+    path = work_dir(spark, "arrivals")
+    publish(spark, path, [change(r) for r in rows[::2]])
+    publish(spark, path, [change(r) for r in rows[1::2]])
+    publish(spark, path, [change(r, "u", late_by) for r in changed.values()])
+    lost = json.loads(change(("lost", 1, "a", "b", None, None, 0)))
+    lost["after"]["created_at"] = None
+    publish(spark, path, [change(rows[3]), change(rows[4]), json.dumps(lost)])
+    stream = cdc.transactions(tables.line_stream(spark, path, files_per_batch=1), *VERSION)
+    ledger, late, profiles = reconcile_tables(spark, stream.select(*LEDGER_COLUMNS, *VERSION))
+    handle = reconcile_sink(ledger, profiles, make_accounts(spark, ["a", "b"]), None, late)
+    drain_batches(stream.select(*LEDGER_COLUMNS, *VERSION), "updates", handle)
+    current = [changed.get(r[0], r) for r in rows]
+    assert answers(profiles.current("transaction_id", [])) == brute.profile(current)
+    assert [r.id for r in late.read().collect()] == ["lost"]
+
+
+def test_missing_amounts_add_nothing():
+    import pandas as pd
+
+    rows = pd.DataFrame({"us": [1, 2, 3], "id": ["a", "b", "c"], "cents": [100, None, None], "lat": None, "lon": None})
+    got = history.sender_answers(rows, rows.assign(us=10, cents=[None, None, 100.0]))
+    assert list(got["cents"]) == [100] * 3 and list(got["repeats"]) == [0, 0, 1]
+
+
 def test_upsert_is_idempotent(spark):
     schema = spark.createDataFrame([], "id string, v long").schema
     table = BatchTable(spark, work_dir(spark, "upserts"), schema)

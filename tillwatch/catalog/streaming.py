@@ -28,7 +28,7 @@ from ..sources.fixtures import (
     tx_events,
 )
 from ..streaming import history, pipeline
-from ..streaming.reconcile import reconcile_sink
+from ..streaming.reconcile import VERSION, reconcile_sink
 from ..streaming.runs import BatchTable, drain, drain_batches
 from .features import PROFILE_OUT, PROFILE_SQL, profile, profile_out
 from .learning import SCORED_SQL, TABLE_SQL, THREE_SQL, fitted, points, rounded, three_models
@@ -399,7 +399,7 @@ def reconcile_tables(spark, stream):
     ledger = BatchTable(spark, work_dir(spark, "ledger"), stream.schema)
     late = BatchTable(spark, work_dir(spark, "late"), stream.schema)
     out = plan.fraud_features(
-        spark.createDataFrame([], stream.schema),
+        spark.createDataFrame([], stream.schema).drop(*VERSION),
         spark.createDataFrame([], "id string, created_at timestamp"),
         keep=("us", SENDER),
     )
@@ -415,10 +415,10 @@ def stream_reconciled_features(spark, d):
     """Micro-batches in arbitrary time order; every affected profile is recomputed."""
     lines = transaction_changes(spark, d).repartition(3)
     path = published(spark, lines, "transaction-changes")
-    stream = cdc.transactions(tables.line_stream(spark, path, files_per_batch=1)).select(*LEDGER_COLUMNS)
+    stream = cdc.transactions(tables.line_stream(spark, path, files_per_batch=1), *VERSION).select(*LEDGER_COLUMNS, *VERSION)
     ledger, _, profiles = reconcile_tables(spark, stream)
     drain_batches(stream, "reconcile", reconcile_sink(ledger, profiles, text_accounts(spark, d)))
-    return ms_out(profiles.current("transaction_id", ["us"]))
+    return ms_out(profiles.current("transaction_id", []))
 
 
 @query("S4_stream_stateful_features", f"{MS_PROFILE_SQL} {MS_OUT}")
@@ -551,7 +551,7 @@ def late_data(spark, d):
         cdc.change_lines(rows, TRANSACTION, F.lit("c"), F.lit(0), never).write.mode("append").text(path)
 
     publish(tx.where(newer))
-    stream = cdc.transactions(tables.line_stream(spark, path)).select(*LEDGER_COLUMNS)
+    stream = cdc.transactions(tables.line_stream(spark, path), *VERSION).select(*LEDGER_COLUMNS, *VERSION)
     ledger, late, profiles = reconcile_tables(spark, stream)
     handle = reconcile_sink(ledger, profiles, text_accounts(spark, d), LATENESS, late)
     progress = work_dir(spark, "late-progress")
@@ -561,7 +561,7 @@ def late_data(spark, d):
         run = stream.writeStream.foreachBatch(handle).option("checkpointLocation", progress)
         run.trigger(availableNow=True).start().awaitTermination()
     shown = ["receiver_txn_count_last_3d", "multi_same_amt_count_2d", "gap_ms", "geo_speed_kmh"]
-    on_time = ms_out(profiles.current("transaction_id", ["us"])).select(
+    on_time = ms_out(profiles.current("transaction_id", [])).select(
         "transaction_id", F.lit("on time").alias("status"), *shown
     )
     refused = late.read().select(

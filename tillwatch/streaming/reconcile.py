@@ -4,14 +4,19 @@ Each micro-batch is added to a ledger table, then the batch plan (with its hot-k
 handling) runs over the slice of the ledger that can matter, and the profiles of the
 affected transactions are upserted:
 
-* every transaction from the first new one up to three days past the last new one, and
-* the next transaction of each new row's sender, however far ahead (dormancy, speed).
+* every transaction from the first touched row up to three days past the last one, and
+* the next transaction of each touched row's sender, however far ahead (dormancy, speed).
 
-The slice starts three days before the first new row; before it only the latest
+A newer version of a known transaction replaces it: the ledger keeps both, the table of
+replaced rows says which to skip, and both the old and the new version count as touched.
+An older version, or the same one again, changes nothing.  Rows without a time go to the
+late table where there is one.
+
+The slice starts three days before the first touched row; before it only the latest
 transaction per sender is needed.  Two small tables beside the ledger keep a micro-batch
 from reading all of it: the time span of every earlier batch, and every batch's last
-transaction per sender.  Only batches whose span straddles the start of the slice are
-read row by row.
+transaction per sender.  Only batches whose span straddles the start of the slice, or
+that lost a row to a newer version, are read row by row.
 """
 
 from __future__ import annotations
@@ -28,6 +33,17 @@ from .runs import BatchTable, newest_per_key
 SPAN = T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
 
 
+VERSION = ("ts_ms", "ts_us", "ts_ns")
+REPLACED = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("of_batch", T.LongType()),
+        T.StructField("us", T.LongType()),
+        T.StructField(SENDER, T.StringType()),
+    ]
+)
+
+
 def reconcile_sink(
     ledger: BatchTable,
     features: BatchTable,
@@ -37,46 +53,64 @@ def reconcile_sink(
     heat: Heat = DEFAULT_HEAT,
 ):
     """foreachBatch handler.  With ``lateness_us``, rows that far behind the newest row
-    of earlier batches go to ``late`` and change nothing."""
+    of earlier batches go to ``late`` and change nothing.  The version of a row is its
+    change time, or its own time where the ledger doesn't carry the former."""
     spans = BatchTable(ledger.spark, f"{ledger.path}-spans", SPAN)
     lasts = BatchTable(ledger.spark, f"{ledger.path}-lasts", ledger.schema)
+    replaced = BatchTable(ledger.spark, f"{ledger.path}-replaced", REPLACED)
+    version = [c for c in VERSION if c in ledger.schema.names] or ["created_at"]
 
     def clocked(rows: DataFrame) -> DataFrame:
         return rows.withColumn("us", micros("created_at"))
 
+    def alive(batch_id: int) -> DataFrame:
+        """The ledger's current rows after a batch, with the ``batch`` they came in."""
+        gone = replaced.read().where(F.col("batch") <= batch_id)
+        gone = gone.select("id", F.col("of_batch").alias("batch")).distinct()
+        rows = clocked(ledger.read().where(F.col("batch") <= batch_id))
+        return rows.join(gone, ["id", "batch"], "left_anti")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = clocked(newest_per_key(batch, "id", ["created_at"]))
+        rows = clocked(newest_per_key(batch, "id", version))
         rows.persist()
         try:
-            span = rows.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
-            if span.lo is None:
-                spans.sink(ledger.spark.createDataFrame([(None, None)], SPAN), batch_id)
-                lasts.sink(rows, batch_id)
-                ledger.sink(rows, batch_id)
-                return
-            _accept(rows, span, batch_id)
+            _accept(rows, batch_id)
         finally:
             rows.unpersist()
         _recompute(batch_id)
 
-    def _accept(rows: DataFrame, span, batch_id: int) -> None:
-        """Store the new rows of a batch: neither too late nor seen before."""
+    def _accept(rows: DataFrame, batch_id: int) -> None:
+        """Store the new rows of a batch: neither too late nor older than what is known."""
         fresh = rows
-        if batch_id > 0 and lateness_us is not None:
-            newest = spans.read().where(F.col("batch") < batch_id).agg(F.max("hi")).first()[0]
-            if newest is not None:
-                bound = F.lit(newest - lateness_us)
-                late.sink(rows.where(F.col("us") < bound), batch_id)
-                fresh = rows.where(F.col("us") >= bound)
+        if late is not None:
+            behind = F.col("us").isNull()
+            if batch_id > 0 and lateness_us is not None:
+                newest = spans.read().where(F.col("batch") < batch_id).agg(F.max("hi")).first()[0]
+                if newest is not None:
+                    behind = behind | (F.col("us") < newest - lateness_us)
+            late.sink(rows.where(behind), batch_id)
+            fresh = rows.where(~behind)
         if batch_id > 0:
-            # A change event repeats a known transaction at its own time, so only ledger
-            # files that reach into this batch's span are looked at.
-            low, high = (F.timestamp_micros(F.lit(t)) for t in (span.lo, span.hi))
-            known = ledger.read().where(
-                (F.col("batch") < batch_id) & F.col("created_at").between(low, high)
+            known = alive(batch_id - 1).join(fresh.select("id"), "id", "left_semi")
+            known = known.select(
+                "id",
+                F.struct(*version).alias("known"),
+                F.col("batch").alias("of_batch"),
+                F.col("us").alias("old_us"),
+                F.col(SENDER).alias("old_sender"),
             )
-            fresh = fresh.join(known.select("id"), "id", "left_anti")
+            fresh = fresh.join(known, "id", "left").where(
+                F.col("known").isNull() | (F.struct(*version) > F.col("known"))
+            )
+            fresh.persist()
+            old = fresh.where(F.col("known").isNotNull())
+            old = old.select("id", "of_batch", F.col("old_us").alias("us"), F.col("old_sender").alias(SENDER))
+        else:
+            old = ledger.spark.createDataFrame([], REPLACED)
+        # Both read what earlier batches stored only, so a repeated batch writes the same.
+        replaced.sink(old, batch_id)
         ledger.sink(fresh, batch_id)
+        fresh.unpersist()
         added = clocked(ledger.read().where(F.col("batch") == batch_id).drop("batch"))
         spans.sink(added.agg(F.min("us").alias("lo"), F.max("us").alias("hi")), batch_id)
         known_senders = added.where(F.col(SENDER).isNotNull())
@@ -84,25 +118,27 @@ def reconcile_sink(
 
     def _anchors(start: int, batch_id: int) -> DataFrame:
         """Each sender's latest transaction before ``start``."""
+        holed = replaced.read().where(F.col("batch") <= batch_id)
+        holed = holed.select(F.col("of_batch").alias("batch")).distinct().withColumn("holed", F.lit(True))
         before = spans.read().where((F.col("batch") <= batch_id) & (F.col("lo") < start))
-        closed = before.where(F.col("hi") < start).select("batch")
-        straddling = before.where(F.col("hi") >= start).select("batch")
-        # One row per micro-batch is broadcast; it prunes the folders read.
-        whole = lasts.read().join(F.broadcast(closed), "batch", "left_semi").drop("batch")
-        partly = clocked(
-            ledger.read().join(F.broadcast(straddling), "batch", "left_semi").drop("batch")
-        ).where((F.col("us") < start) & F.col(SENDER).isNotNull())
+        before = before.join(holed, "batch", "left")
+        by_row = (F.col("hi") >= start) | F.col("holed").isNotNull()
+        whole = lasts.read().join(before.where(~by_row).select("batch"), "batch", "left_semi").drop("batch")
+        partly = alive(batch_id).join(before.where(by_row).select("batch"), "batch", "left_semi")
+        partly = partly.where((F.col("us") < start) & F.col(SENDER).isNotNull()).select(*ledger.schema.names, "us")
         return newest_per_key(clocked(whole).unionByName(partly), SENDER, ["us", "id"])
 
     def _recompute(batch_id: int) -> None:
-        rows = clocked(ledger.read().where(F.col("batch") <= batch_id))
-        added = rows.where(F.col("batch") == batch_id)
-        rows = rows.drop("batch")
-        span = spans.read().where(F.col("batch") == batch_id).first()
+        rows = alive(batch_id)
+        touched = rows.where(F.col("batch") == batch_id).select("us", SENDER)
+        old = replaced.read().where(F.col("batch") == batch_id)
+        touched = touched.unionByName(old.select("us", SENDER))
+        span = touched.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
         if span.lo is None:
             return
+        rows = rows.drop("batch")
         reach = span.hi + RECEIVER_WINDOW
-        senders = added.select(SENDER).where(F.col(SENDER).isNotNull()).distinct()
+        senders = touched.select(SENDER).where(F.col(SENDER).isNotNull()).distinct()
         beyond = rows.where(F.col("created_at") > F.timestamp_micros(F.lit(reach)))
         following = (
             beyond.join(senders, SENDER, "left_semi").groupBy(SENDER).agg(F.min("us").alias("us"))
@@ -111,9 +147,9 @@ def reconcile_sink(
         until = reach if last is None else max(reach, last)
         start = span.lo - RECEIVER_WINDOW
         low, high = (F.timestamp_micros(F.lit(t)) for t in (start, until))
-        slice_rows = rows.where(F.col("created_at").between(low, high))
+        slice_rows = rows.where(F.col("created_at").between(low, high)).select(*ledger.schema.names, "us")
         profiled = fraud_features(
-            slice_rows.unionByName(_anchors(start, batch_id)).drop("us"),
+            slice_rows.unionByName(_anchors(start, batch_id)).drop("us", *VERSION),
             accounts,
             heat,
             keep=("us", SENDER),
