@@ -224,30 +224,25 @@ def fraud_features(spark, d):
     return profile_out(profile(spark, d))
 
 
-CONDITIONAL = f"""SELECT t.id AS transaction_id, CAST(t.amount AS DOUBLE) AS trans_amount,
-  round(trunc((t.us - a.us) / 1000000.0) / 3600.0, 4) AS age_hours_open_acc,
-  count(CASE WHEN p.receiver_account_id = t.receiver_account_id
-    AND p.us >= t.us - {H3D} AND p.us < t.us THEN p.id END) AS receiver_txn_count_last_3d,
-  count(DISTINCT CASE WHEN p.receiver_account_id = t.receiver_account_id
-    AND p.us >= t.us - {H3D} AND p.us < t.us THEN p.sender_account_id END) AS unique_senders_last_3d,
-  count(CASE WHEN p.sender_account_id = t.sender_account_id AND p.amount = t.amount
-    AND p.us >= t.us - {H2D} AND p.us < t.us THEN p.id END) AS multi_same_amt_count_2d,
-  count(CASE WHEN p.sender_account_id = t.sender_account_id
-    AND p.us >= t.us - {H1H} AND p.us < t.us THEN p.id END) AS sender_txn_count_last_1h,
-  round(CAST(coalesce(sum(CASE WHEN p.sender_account_id = t.sender_account_id
-    AND p.us >= t.us - {H1H} AND p.us < t.us THEN p.amount END), 0) AS DOUBLE), 2)
-    AS sender_volume_last_1h"""
-OR_JOIN = f"""LEFT JOIN tx p ON p.id <> t.id AND (
-  (p.receiver_account_id = t.receiver_account_id AND p.us >= t.us - {H3D} AND p.us < t.us)
-  OR (p.sender_account_id = t.sender_account_id AND p.amount = t.amount
-      AND p.us >= t.us - {H2D} AND p.us < t.us)
-  OR (p.sender_account_id = t.sender_account_id AND p.us >= t.us - {H1H} AND p.us < t.us))"""
+# The three conditions of the stream's self-join, each as pairs of a transaction and an earlier one.
+PAIRS = f"""pairs AS (
+  SELECT x.id AS id, y.id AS other, 'receiver' AS rule FROM tx x JOIN tx y USING (receiver_account_id)
+  WHERE x.us - y.us BETWEEN 1 AND {H3D}
+  UNION ALL SELECT x.id, y.id, 'amount' FROM tx x JOIN tx y USING (sender_account_id, amount)
+  WHERE x.us - y.us BETWEEN 1 AND {H2D}
+  UNION ALL SELECT x.id, y.id, 'pace' FROM tx x JOIN tx y USING (sender_account_id)
+  WHERE x.us - y.us BETWEEN 1 AND {H1H})"""
 
 
 @query(
     "B11_stream_feature_row",
-    f"""{WITH} {CONDITIONAL} FROM tx t LEFT JOIN acc a ON a.id = t.sender_account_id {OR_JOIN}
-GROUP BY t.id, t.amount, t.us, a.us""",
+    f"""{WITH}, {RECEIVER_CTE}, {SAME_CTE}, {PACE_CTE}
+SELECT id AS transaction_id, CAST(tx.amount AS DOUBLE) AS trans_amount,
+  round(trunc((tx.us - acc.us) / 1000000.0) / 3600.0, 4) AS age_hours_open_acc,
+  rcv.n AS receiver_txn_count_last_3d, rcv.u AS unique_senders_last_3d, same.n AS multi_same_amt_count_2d,
+  pace.n AS sender_txn_count_last_1h, round(CAST(pace.v AS DOUBLE), 2) AS sender_volume_last_1h
+FROM tx JOIN rcv USING (id) JOIN same USING (id) JOIN pace USING (id)
+  LEFT JOIN acc ON acc.id = tx.sender_account_id""",
 )
 def stream_feature_row(spark, d):
     row = plan.stream_feature_row(tx_events(spark, d), accounts(spark, d))
@@ -314,14 +309,12 @@ def join_range_self(spark, d):
 
 @query(
     "C3_join_or_theta_self",
-    f"""WITH {TX_SQL} SELECT t.id, count(p.id) AS matched_rows,
-  count(CASE WHEN p.receiver_account_id = t.receiver_account_id AND p.us >= t.us - {H3D} THEN 1 END)
-    AS by_receiver,
-  count(CASE WHEN p.sender_account_id = t.sender_account_id AND p.amount = t.amount
-    AND p.us >= t.us - {H2D} THEN 1 END) AS by_amount,
-  count(CASE WHEN p.sender_account_id = t.sender_account_id AND p.us >= t.us - {H1H} THEN 1 END)
-    AS by_pace
-FROM tx t {OR_JOIN} GROUP BY t.id""",
+    f"""WITH {TX_SQL}, {PAIRS}
+SELECT tx.id, count(DISTINCT other) AS matched_rows,
+  count(*) FILTER (WHERE rule = 'receiver') AS by_receiver,
+  count(*) FILTER (WHERE rule = 'amount') AS by_amount,
+  count(*) FILTER (WHERE rule = 'pace') AS by_pace
+FROM tx LEFT JOIN pairs ON pairs.id = tx.id GROUP BY tx.id""",
 )
 def join_or_theta_self(spark, d):
     return joins.or_theta_counts(with_clock(tx_events(spark, d)))
