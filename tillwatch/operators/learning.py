@@ -169,10 +169,13 @@ def preprocess_stages(columns: list[str]) -> list:
     ]
 
 
-def estimators(cfg: ModelConfig, label: str = "label") -> dict[str, object]:
+def estimators(cfg: ModelConfig, total_weight: float, label: str = "label") -> dict[str, object]:
+    """The candidate models; an L2 penalty of strength 1 on the summed loss is 1 / total_weight on the mean."""
     common = {"featuresCol": "features", "labelCol": label, "weightCol": "weight"}
     return {
-        "logistic_regression": LogisticRegression(maxIter=cfg.logistic_iterations, **common),
+        "logistic_regression": LogisticRegression(
+            maxIter=cfg.logistic_iterations, regParam=1.0 / total_weight, standardization=False, **common
+        ),
         "random_forest": RandomForestClassifier(
             numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth, seed=cfg.seed, **common
         ),
@@ -200,7 +203,8 @@ def fit_binary(train: DataFrame, name: str, cfg: ModelConfig = ModelConfig()) ->
         "label",
     )
     stages = [derive_step([*PROFILE], fit_cap(train)), *preprocess_stages(MODEL_COLUMNS)]
-    return _fit(rows, stages, estimators(cfg)[name])
+    total_weight = max(1.0, rows.agg(F.sum("weight")).first()[0] or 0.0)
+    return _fit(rows, stages, estimators(cfg, total_weight)[name])
 
 
 def _fit(rows: DataFrame, stages: list, estimator) -> PipelineModel:
