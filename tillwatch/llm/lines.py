@@ -118,25 +118,24 @@ def may_match(x: str, y: str) -> Column:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """number and tokens of the wanted classes, from the texts of their first lines."""
-    texts = docs.select(F.xxhash64("text").alias("own"), "text")
-    texts = texts.join(checked_broadcast(wanted.select(F.col("first.key").alias("k")).distinct()), F.col("own") == F.col("k"), "left_semi")
+    """number and tokens of the wanted classes, read from their first lines only."""
+    places = F.collect_list(F.struct(F.col("first.line").alias("line"), "number")).alias("places")
+    by_text = stored(wanted.groupBy(F.col("first.key").alias("k")).agg(places), "lines-wanted")
+    texts = docs.select(F.xxhash64("text").alias("own"), "text").join(checked_broadcast(by_text), F.col("own") == F.col("k"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            classes, sets = [], []
-            for text in byte_texts(batch.column(1)):
-                for line in text.split(b"\n") if text else ():
-                    tokens = line_tokens(line, known)
-                    if len(tokens) >= MIN_TOKENS:
-                        classes.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                        sets.append(tokens.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["class", "tokens"])
-
-    found = texts.mapInArrow(read, "class binary, tokens array<long>")
-    # Only wanted classes pass; equal lines give one row.
-    found = found.join(checked_broadcast(wanted.select("class", "number")), "class")
+            numbers, sets = [], []
+            for text, found in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist()):
+                lines = text.split(b"\n")
+                for place in found:
+                    numbers.append(place["number"])
+                    sets.append(line_tokens(lines[place["line"]], known).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["number", "tokens"])
+
+    # Copies of a text give its lines again.
+    found = texts.select("text", "places").mapInArrow(read, "number long, tokens array<long>")
     return found.groupBy("number").agg(F.first("tokens").alias("tokens"))
 
 
@@ -144,7 +143,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     """The numbers of the later classes of the pairs (later, earlier) whose sets are similar enough."""
     pairs = stored(pairs.distinct(), "lines-pairs")
     numbers = pairs.select(F.explode(F.array("later", "earlier")).alias("number")).distinct()
-    wanted = stored(classes.select("number", "class", "first").join(numbers, "number"), "lines-wanted")
+    wanted = classes.select("number", "first").join(numbers, "number")
     sets = stored(token_sets(docs, wanted), "lines-sets")
     both = pairs.join(sets.select(F.col("number").alias("later"), F.col("tokens").alias("x")), "later")
     both = both.join(sets.select(F.col("number").alias("earlier"), F.col("tokens").alias("y")), "earlier")
@@ -182,7 +181,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     star = lists.where("candidate").select(F.col("x_number").alias("later"), F.col("head").alias("earlier"))
     settled = stored(confirmed(docs, classes, star), "lines-settled")
 
-    unsettled = lists.join(settled, lists["x_number"] == settled["later"], "left_anti").select("token", *mine, "head")
+    unsettled = lists.join(checked_broadcast(settled), lists["x_number"] == settled["later"], "left_anti").select("token", *mine, "head")
     others = lists.select(F.col("token").alias("t"), *[F.col(c).alias(c.replace("x_", "y_")) for c in mine])
     earlier = (F.col("x_number") > F.col("y_number")) & (F.col("y_number") != F.col("head"))
     met = unsettled.join(others, (F.col("token") == F.col("t")) & earlier & may_match("x", "y"))
