@@ -326,6 +326,16 @@ def feature_importance(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "M17_importance_totals",
+    "SELECT model, 1.0::DOUBLE AS total FROM (VALUES ('random_forest'), ('gradient_boosting')) AS t(model)",
+)
+def importance_totals(spark, d):
+    """The importances of a tree model add up to 1."""
+    trees = feature_importance(spark, d).where(F.col("model") != "logistic_regression")
+    return trees.groupBy("model").agg(F.round(F.sum("importance"), 6).alias("total"))
+
+
 @query("M18_model_persist")
 def model_persist(spark, d):
     """Scores of the saved and reloaded pipeline next to those of the one in memory."""
@@ -340,6 +350,13 @@ def model_persist(spark, d):
     return before.select("transaction_id", "score").join(after, "transaction_id")
 
 
+@query("M18_scores_apart", "SELECT CAST(0 AS BIGINT) AS rows_apart")
+def scores_apart(spark, d):
+    """Rows that the reloaded pipeline scores otherwise than the one in memory."""
+    both = model_persist(spark, d)
+    return both.agg(F.count_if(F.abs(F.col("score") - F.col("loaded_score")) > 1e-9).alias("rows_apart"))
+
+
 @query("M19_score_batch")
 def score_batch(spark, d):
     trained, types, features, _ = fitted(spark, d)
@@ -350,3 +367,13 @@ def score_batch(spark, d):
 def score_report(spark, d):
     trained, types, features, _ = fitted(spark, d)
     return scoring.score_report(scoring.score_batch(features, trained.best_model, types))
+
+
+@query("M19_decisions_apart", "SELECT CAST(0 AS BIGINT) AS flags_apart, CAST(0 AS BIGINT) AS types_apart")
+def decisions_apart(spark, d):
+    """Rows whose flag isn't the probability's, and rows that have a scenario without being flagged."""
+    flagged = F.col("fraud_probability") > 0.5
+    return score_batch(spark, d).agg(
+        F.count_if(F.col("is_fraud") != flagged).alias("flags_apart"),
+        F.count_if(~F.col("is_fraud") & F.col("fraud_type").isNotNull()).alias("types_apart"),
+    )
