@@ -111,12 +111,13 @@ def best_threshold(bins: list[tuple[int, int, int]]) -> float:
     if not accepted or not rejected:
         return 0.0
     # Below the first bin everything is allowed; each step moves one bin to the rejected side.
-    right_allow, right_block, best, at = accepted, 0, -1.0, 0.0
+    right_allow, right_block, best, at, below = accepted, 0, -1.0, 0.0, None
     for score, allow, block in sorted(bins):
         balanced = right_allow / accepted + right_block / rejected
         if balanced > best:
-            best, at = balanced, score / STEPS
-        right_allow, right_block = right_allow - allow, right_block + block
+            # Half-way through the gap to the bin below.
+            best, at = balanced, (score if below is None else (below + 1 + score) / 2) / STEPS
+        right_allow, right_block, below = right_allow - allow, right_block + block, score
     return at
 
 
