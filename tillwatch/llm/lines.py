@@ -7,7 +7,8 @@ at least ``PERCENT`` / 100 - whether or not that earlier line stays.
 1.  Words are counted over all documents, in ``COUNT_BUCKETS`` hash buckets: the bounded table that orders tokens by
     rarity (bucket count, then hash - a total order, so the prefix filter stays exact whatever falls together).
 2.  Lines with equal sets form a class, numbered in the order of their first lines.  Each class is posted under the
-    tokens of its prefix, rarest first, with set size, position and a 64-bit bitmap of its tokens.
+    tokens of its prefix, rarest first, with set size, position and a 64-bit parity bitmap of its tokens.
+    Posted tokens are cut to 32 bits: what falls together there adds candidates and loses none.
 3.  In each token's list a class is compared with the list's first class; this is linear, and settles the large groups of
     near copies.  Very frequent tokens are salted, each part having a first class of its own.
 4.  Classes still unsettled are joined with all earlier classes of their lists.  Length, position and bitmap (an exact
@@ -20,6 +21,7 @@ where there is one, follows the text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ MIN_TOKENS = 5
 COUNT_BUCKETS = 1 << 18
 #: A token is salted from so many lines on, and from so many times the mean bucket on.
 HOT_LINES, HOT_FACTOR = 200_000, 8
+#: Words that are sorted together when lines are split.
+BLOCK_WORDS = 1 << 18
 
 
 def line_tokens(line: bytes, known: WordHashes) -> np.ndarray:
@@ -45,12 +49,21 @@ def token_counts(docs: DataFrame) -> np.ndarray:
     """How many words of the corpus fall into each hash bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, totals = WordHashes(), np.zeros(COUNT_BUCKETS, dtype=np.int64)
+        words, totals = Counter(), np.zeros(COUNT_BUCKETS, dtype=np.int64)
+
+        def settle() -> None:
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+            places = (hashes % np.uint64(COUNT_BUCKETS)).astype(np.int64)
+            np.add.at(totals, places, np.fromiter(words.values(), dtype=np.int64, count=len(words)))
+            words.clear()
+
         for batch in batches:
             for text in byte_texts(batch.column(0)):
                 if text:
-                    places = (known.of(text.lower().split()) % np.uint64(COUNT_BUCKETS)).astype(np.int64)
-                    np.add.at(totals, places, 1)
+                    words.update(text.lower().split())
+                    if len(words) > WordHashes.LIMIT:
+                        settle()
+        settle()
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], ["bucket", "n"])
 
@@ -65,6 +78,25 @@ def prefix_size(size: int) -> int:
     return size + (-size * PERCENT // 100) + 1  # size - ceil(size * PERCENT / 100) + 1
 
 
+def line_blocks(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[int], list[bytes], list[int]]]:
+    """Row, line number, words (one after another) and word count of the lines, some ``BLOCK_WORDS`` words at a time."""
+    rows, numbers, words, n_words = [], [], [], []
+    for row, text in enumerate(texts):
+        for number, line in enumerate(text.lower().split(b"\n") if text else ()):
+            found = line.split()
+            if len(found) < MIN_TOKENS:
+                continue
+            rows.append(row)
+            numbers.append(number)
+            words += found
+            n_words.append(len(found))
+            if len(words) >= BLOCK_WORDS:
+                yield rows, numbers, words, n_words
+                rows, numbers, words, n_words = [], [], [], []
+    if rows:
+        yield rows, numbers, words, n_words
+
+
 def split_lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """One row per line that takes part: doc_id, key, line, class (of the set), size, bitmap, prefix tokens and salts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -75,33 +107,41 @@ def split_lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         known, df = WordHashes(), shared.value
         hot = max(HOT_LINES, HOT_FACTOR * int(df.mean()))
         for batch in batches:
-            at, numbers, classes, sizes, bitmaps, prefixes, salts = [], [], [], [], [], [], []
-            for row, text in enumerate(byte_texts(batch.column(2))):
-                for number, line in enumerate(text.split(b"\n") if text else ()):
-                    tokens = line_tokens(line, known)
-                    size = len(tokens)
-                    if size < MIN_TOKENS:
-                        continue
-                    often = df[(tokens % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
-                    first = np.lexsort((tokens, often))[: prefix_size(size)]
-                    digest = xxhash.xxh3_128_digest(tokens.tobytes())
-                    at.append(row)
-                    numbers.append(number)
-                    classes.append(digest)
-                    sizes.append(size)
-                    bits = np.bitwise_or.reduce(np.uint64(1) << (tokens >> np.uint64(58)))
-                    bitmaps.append(int(bits.view(np.int64)))
-                    prefixes.append(tokens[first].view(np.int64))
-                    parts = often[first] // hot + 1
-                    salts.append((int.from_bytes(digest[:4], "little") % parts).astype(np.int32))
-            places = pa.array(at, pa.int32())
-            columns = [
-                batch.column(0).take(places), batch.column(1).take(places), pa.array(numbers, pa.int32()), pa.array(classes, pa.binary()),
-                pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "class", "size", "bitmap", "prefix", "salts"])
-
-    schema = f"doc_id {kind}, key long, line int, class binary, size int, bitmap long, prefix array<long>, salts array<int>"
+            for at, numbers, words, n_words in line_blocks(byte_texts(batch.column(2))):
+                # The block's tokens by rarity; a line's set is then its distinct ranks in rising order.
+                hashes, place = np.unique(known.of(words), return_inverse=True)
+                often = df[(hashes % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
+                order = np.lexsort((hashes, often))
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = np.arange(len(order))
+                line, ranks = np.divmod(np.unique(np.repeat(np.arange(len(at)), n_words) * len(order) + rank[place]), len(order))
+                size = np.bincount(line, minlength=len(at))
+                taking = size >= MIN_TOKENS
+                if not taking.any():
+                    continue
+                ranks, size = ranks[taking[line]], size[taking]
+                tokens, often = hashes[order][ranks], often[order][ranks]
+                ends = np.cumsum(size)
+                bitmaps = np.bitwise_xor.reduceat(np.uint64(1) << (tokens >> np.uint64(58)), ends - size)
+                raw = tokens.tobytes()
+                classes = [xxhash.xxh3_128_digest(raw[8 * (e - n) : 8 * e]) for e, n in zip(ends.tolist(), size.tolist())]
+
+                n_first = prefix_size(size)
+                first = np.arange(len(tokens)) - np.repeat(ends - size, size) < np.repeat(n_first, size)
+                parts = often[first] // hot + 1
+                turn = np.frombuffer(b"".join(c[:4] for c in classes), dtype=np.uint32).astype(np.int64)
+                salts = np.where(parts > 1, np.repeat(turn, n_first) % parts + 1, 0).astype(np.int32)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(n_first))).astype(np.int32))
+                short = pa.array(tokens[first].astype(np.uint32).view(np.int32))
+
+                places = pa.array(np.array(at, dtype=np.int32)[taking])
+                columns = [
+                    batch.column(0).take(places), batch.column(1).take(places), pa.array(np.array(numbers, dtype=np.int32)[taking]), pa.array(classes, pa.binary()),
+                    pa.array(size.astype(np.int32)), pa.array(bitmaps.view(np.int64)), pa.ListArray.from_arrays(offsets, short), pa.ListArray.from_arrays(offsets, pa.array(salts)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "class", "size", "bitmap", "prefix", "salts"])
+
+    schema = f"doc_id {kind}, key long, line int, class binary, size int, bitmap long, prefix array<int>, salts array<int>"
     return rows.mapInArrow(split, schema)
 
 
@@ -172,17 +212,22 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     in_list = Window.partitionBy("token", "salt").orderBy("x_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy("token", "salt").orderBy("x_number")
     heads = {f"y_{c}": F.first(f"x_{c}").over(in_list) for c in ("number", "size", "at", "bitmap")}
-    lists = postings.withColumns({**heads, "more": F.lead("x_number").over(after)})
-    shared = (F.col("x_number") != F.col("y_number")) | F.col("more").isNotNull() | (F.col("salt") > 0)
+    lists = postings.withColumns({**heads, "place": F.row_number().over(after), "more": F.lead("x_number").over(after).isNotNull()})
     candidate = (F.col("x_number") > F.col("y_number")) & may_match("x", "y")
+    # Beyond the first of its list, a class can meet earlier ones from the third place on, and later ones up to the last but
+    # one.  The parts of a salted token (its salts start at 1) meet one another, so there all rows ask and answer.
+    salted = F.col("salt") > 0
+    asks, answers = salted | (F.col("place") > 2), salted | ((F.col("place") > 1) & F.col("more"))
     mine = [f"x_{c}" for c in ("number", "size", "at", "bitmap")]
-    lists = stored(lists.where(shared).select("token", *mine, F.col("y_number").alias("head"), candidate.alias("candidate")), "lines-lists")
+    roles = {"candidate": candidate, "asks": asks, "answers": answers}
+    lists = lists.select("token", *mine, F.col("y_number").alias("head"), *[c.alias(name) for name, c in roles.items()])
+    lists = stored(lists.where("candidate or asks or answers"), "lines-lists")
 
     star = lists.where("candidate").select(F.col("x_number").alias("later"), F.col("head").alias("earlier"))
     settled = stored(confirmed(docs, classes, star), "lines-settled")
 
-    unsettled = lists.join(checked_broadcast(settled), lists["x_number"] == settled["later"], "left_anti").select("token", *mine, "head")
-    others = lists.select(F.col("token").alias("t"), *[F.col(c).alias(c.replace("x_", "y_")) for c in mine])
+    unsettled = lists.where("asks").join(checked_broadcast(settled), lists["x_number"] == settled["later"], "left_anti").select("token", *mine, "head")
+    others = lists.where("answers").select(F.col("token").alias("t"), *[F.col(c).alias(c.replace("x_", "y_")) for c in mine])
     earlier = (F.col("x_number") > F.col("y_number")) & (F.col("y_number") != F.col("head"))
     met = unsettled.join(others, (F.col("token") == F.col("t")) & earlier & may_match("x", "y"))
     rest = confirmed(docs, classes, met.select(F.col("x_number").alias("later"), F.col("y_number").alias("earlier")))
