@@ -114,6 +114,15 @@ def test_line_dedup(docs, monkeypatch, hot):
     assert fixture.plain(got, "doc_id", "n_lines", "n_removed", "removed_lines") == sorted(expected, key=repr)
 
 
+def test_lines_alone_in_their_salts_meet(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_LINES", 2)
+    monkeypatch.setattr(lines, "HOT_FACTOR", 0)
+    pairs = 12  # of words of their own, so that each list holds one pair, in equal or in different salts
+    texts = [" ".join(f"p{n}w{i}" for i in range(start, start + 10)) for n in range(pairs) for start in (0, 1)]
+    got = lines.line_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {i: i % 2 for i in range(2 * pairs)}
+
+
 def test_line_dedup_texts(docs):
     rows = [r for r in rows_of(docs) if r[0] is not None]
     want = plain_removed(rows)
