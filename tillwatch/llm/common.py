@@ -24,9 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: one evaluation, and no lineage to lose with an executor."""
+    """Write to the shared folder and read back: one evaluation, and no lineage to lose with an executor.
+
+    The shuffle files behind the written table are not needed any more, but Spark keeps them until the driver's JVM
+    collects the plans that refer to them; asking for that here keeps the disk to one step's shuffles.
+    """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path, compression="zstd")
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -21,49 +21,86 @@ where there is one, follows the text.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwatch.llm.common import WordHashes, byte_texts, checked_broadcast, stored
+from tillwatch.llm.common import checked_broadcast, stored
 
 PERCENT = 80
 MIN_TOKENS = 5
 COUNT_BUCKETS = 1 << 18
 #: A token is salted from so many lines on, and from so many times the mean bucket on.
 HOT_LINES, HOT_FACTOR = 200_000, 8
-#: Words that are sorted together when lines are split.
-BLOCK_WORDS = 1 << 18
-
-
-def line_tokens(line: bytes, known: WordHashes) -> np.ndarray:
-    return np.unique(known.of(line.lower().split()))
+#: Bytes of text whose lines are split together.
+BLOCK_BYTES = 1 << 22
+
+
+def text_blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """First row and texts of runs of some ``BLOCK_BYTES`` bytes, or of one longer text; NULL is an empty text."""
+    texts = texts.fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")), start + 1)
+        yield start, texts.slice(start, stop - start)
+        start = stop
+
+
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the distinct words, and each word's place among them."""
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary
+    raw = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct.cast(pa.binary())), b"")[0].as_py()
+    ends = np.cumsum(pc.binary_length(distinct).to_numpy(zero_copy_only=False)).tolist()
+    hashed = (xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip([0, *ends], ends))
+    hashes = np.fromiter(hashed, dtype=np.uint64, count=len(distinct))
+    return hashes, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def words_only(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of lists of pieces, and the list each stands in."""
+    flat, parent = pieces.flatten(), pc.list_parent_indices(pieces).to_numpy(zero_copy_only=False)
+    words = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(words), parent[words.to_numpy(zero_copy_only=False)]
+
+
+def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and number of each line; line and place of each word; hashes by place."""
+    lines = pc.split_pattern(pc.ascii_lower(texts), "\n")
+    rows = pc.list_parent_indices(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    words, line = words_only(pc.ascii_split_whitespace(lines.flatten()))
+    hashes, place = word_hashes(words)
+    return rows, numbers, line.astype(np.int64), place, hashes
+
+
+def line_sets(line: np.ndarray, place: np.ndarray, hashes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' distinct tokens, line after line in the given order of the hashes: line and place in ``hashes[order]``."""
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    bits = len(order).bit_length()
+    both = np.sort(line << bits | rank[place])
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+    return both >> bits, both & ((1 << bits) - 1)
 
 
 def token_counts(docs: DataFrame) -> np.ndarray:
     """How many words of the corpus fall into each hash bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, totals = Counter(), np.zeros(COUNT_BUCKETS, dtype=np.int64)
-
-        def settle() -> None:
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-            places = (hashes % np.uint64(COUNT_BUCKETS)).astype(np.int64)
-            np.add.at(totals, places, np.fromiter(words.values(), dtype=np.int64, count=len(words)))
-            words.clear()
-
+        totals = np.zeros(COUNT_BUCKETS, dtype=np.int64)
         for batch in batches:
-            for text in byte_texts(batch.column(0)):
-                if text:
-                    words.update(text.lower().split())
-                    if len(words) > WordHashes.LIMIT:
-                        settle()
-        settle()
+            for _, texts in text_blocks(batch.column(0)):
+                words, _ = words_only(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
+                hashes, place = word_hashes(words)
+                np.add.at(totals, (hashes % np.uint64(COUNT_BUCKETS)).astype(np.int64), np.bincount(place, minlength=len(hashes)))
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], ["bucket", "n"])
 
@@ -78,25 +115,6 @@ def prefix_size(size: int) -> int:
     return size + (-size * PERCENT // 100) + 1  # size - ceil(size * PERCENT / 100) + 1
 
 
-def line_blocks(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[int], list[bytes], list[int]]]:
-    """Row, line number, words (one after another) and word count of the lines, some ``BLOCK_WORDS`` words at a time."""
-    rows, numbers, words, n_words = [], [], [], []
-    for row, text in enumerate(texts):
-        for number, line in enumerate(text.lower().split(b"\n") if text else ()):
-            found = line.split()
-            if len(found) < MIN_TOKENS:
-                continue
-            rows.append(row)
-            numbers.append(number)
-            words += found
-            n_words.append(len(found))
-            if len(words) >= BLOCK_WORDS:
-                yield rows, numbers, words, n_words
-                rows, numbers, words, n_words = [], [], [], []
-    if rows:
-        yield rows, numbers, words, n_words
-
-
 def split_lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """One row per line that takes part: doc_id, key, line, class (of the set), size, bitmap, prefix tokens and salts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -104,18 +122,16 @@ def split_lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df = WordHashes(), shared.value
+        df = shared.value
         hot = max(HOT_LINES, HOT_FACTOR * int(df.mean()))
         for batch in batches:
-            for at, numbers, words, n_words in line_blocks(byte_texts(batch.column(2))):
+            for first_row, texts in text_blocks(batch.column(2)):
+                rows, numbers, line, place, hashes = line_words(texts)
                 # The block's tokens by rarity; a line's set is then its distinct ranks in rising order.
-                hashes, place = np.unique(known.of(words), return_inverse=True)
                 often = df[(hashes % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
                 order = np.lexsort((hashes, often))
-                rank = np.empty(len(order), dtype=np.int64)
-                rank[order] = np.arange(len(order))
-                line, ranks = np.divmod(np.unique(np.repeat(np.arange(len(at)), n_words) * len(order) + rank[place]), len(order))
-                size = np.bincount(line, minlength=len(at))
+                line, ranks = line_sets(line, place, hashes, order)
+                size = np.bincount(line, minlength=len(rows))
                 taking = size >= MIN_TOKENS
                 if not taking.any():
                     continue
@@ -134,9 +150,9 @@ def split_lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n_first))).astype(np.int32))
                 short = pa.array(tokens[first].astype(np.uint32).view(np.int32))
 
-                places = pa.array(np.array(at, dtype=np.int32)[taking])
+                places = pa.array(first_row + rows[taking])
                 columns = [
-                    batch.column(0).take(places), batch.column(1).take(places), pa.array(np.array(numbers, dtype=np.int32)[taking]), pa.array(classes, pa.binary()),
+                    batch.column(0).take(places), batch.column(1).take(places), pa.array(numbers[taking].astype(np.int32)), pa.array(classes, pa.binary()),
                     pa.array(size.astype(np.int32)), pa.array(bitmaps.view(np.int64)), pa.ListArray.from_arrays(offsets, short), pa.ListArray.from_arrays(offsets, pa.array(salts)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "class", "size", "bitmap", "prefix", "salts"])
@@ -164,15 +180,20 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64("text").alias("own"), "text").join(checked_broadcast(by_text), F.col("own") == F.col("k"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            numbers, sets = [], []
-            for text, found in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist()):
-                lines = text.split(b"\n")
-                for place in found:
-                    numbers.append(place["number"])
-                    sets.append(line_tokens(lines[place["line"]], known).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["number", "tokens"])
+            for first_row, texts in text_blocks(batch.column(0)):
+                rows, _, line, place, hashes = line_words(texts)
+                asked = batch.column(1).slice(first_row, len(texts))
+                row, asked = pc.list_parent_indices(asked).to_numpy(zero_copy_only=False), asked.flatten()
+                at = np.searchsorted(rows, row) + asked.field("line").to_numpy(zero_copy_only=False)
+                wanted = np.isin(np.arange(len(rows)), at)
+                mine = wanted[line]
+                order = np.argsort(hashes)
+                line, ranks = line_sets(line[mine], place[mine], hashes, order)
+                ends = np.cumsum(np.bincount(line, minlength=len(rows))[wanted])
+                sets = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(hashes[order][ranks].view(np.int64)))
+                found = sets.take(pa.array(np.cumsum(wanted)[at] - 1))
+                yield pa.RecordBatch.from_arrays([asked.field("number"), found], ["number", "tokens"])
 
     # Copies of a text give its lines again.
     found = texts.select("text", "places").mapInArrow(read, "number long, tokens array<long>")
