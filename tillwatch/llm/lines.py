@@ -12,7 +12,7 @@ at least ``PERCENT`` / 100 - whether or not that earlier line stays.
 3.  In each token's list a class is compared with the list's first class; this is linear, and settles the large groups of
     near copies.  Very frequent tokens are salted, each part having a first class of its own.
 4.  Classes still unsettled are joined with all earlier classes of their lists.  Length, position and bitmap (an exact
-    lower bound of the sets' difference) filter inside both joins; the full sets confirm.
+    lower bound of the sets' difference) filter inside both joins; a bitmap of 256 bits, then the full sets confirm.
 
 Defined results: a NULL text has no lines and stays NULL; repeated rows (same id and text) are one document here and get the
 same result; documents without an id come last; a NULL id is an id like another; other columns are kept, and ``n_chars``,
@@ -22,6 +22,8 @@ where there is one, follows the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,9 @@ MIN_TOKENS = 5
 COUNT_BUCKETS = 1 << 18
 #: A token is salted from so many lines on, and from so many times the mean bucket on.
 HOT_LINES, HOT_FACTOR = 200_000, 8
+#: 64-bit words of the parity bitmap that candidate pairs are compared by before their sets.
+WIDE = 4
+WIDE_NAMES = tuple(f"wide_{k}" for k in range(WIDE))
 #: Bytes of text whose lines are split together.
 BLOCK_BYTES = 1 << 22
 
@@ -174,7 +179,7 @@ def may_match(x: str, y: str) -> Column:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """number and tokens of the wanted classes, read from their first lines only."""
+    """number, tokens and wide parity bitmap of the wanted classes, read from their first lines only."""
     places = F.collect_list(F.struct(F.col("first.line").alias("line"), "number")).alias("places")
     by_text = stored(wanted.groupBy(F.col("first.key").alias("k")).agg(places), "lines-wanted")
     texts = docs.select(F.xxhash64("text").alias("own"), "text").join(checked_broadcast(by_text), F.col("own") == F.col("k"))
@@ -192,12 +197,18 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 line, ranks = line_sets(line[mine], place[mine], hashes, order)
                 ends = np.cumsum(np.bincount(line, minlength=len(rows))[wanted])
                 sets = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(hashes[order][ranks].view(np.int64)))
-                found = sets.take(pa.array(np.cumsum(wanted)[at] - 1))
-                yield pa.RecordBatch.from_arrays([asked.field("number"), found], ["number", "tokens"])
+                index = hashes[order][ranks] >> np.uint64(56)
+                bit = np.uint64(1) << (index & np.uint64(63))
+                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+                wide = [np.bitwise_xor.reduceat(np.where(index >> np.uint64(6) == k, bit, np.uint64(0)), starts) for k in range(WIDE)]
+                place = np.cumsum(wanted)[at] - 1
+                columns = [asked.field("number"), sets.take(pa.array(place)), *[pa.array(w[place].view(np.int64)) for w in wide]]
+                yield pa.RecordBatch.from_arrays(columns, ["number", "tokens", *WIDE_NAMES])
 
     # Copies of a text give its lines again.
-    found = texts.select("text", "places").mapInArrow(read, "number long, tokens array<long>")
-    return found.groupBy("number").agg(F.first("tokens").alias("tokens"))
+    schema = ", ".join(["number long", "tokens array<long>", *[f"{c} long" for c in WIDE_NAMES]])
+    found = texts.select("text", "places").mapInArrow(read, schema)
+    return found.groupBy("number").agg(*[F.first(c).alias(c) for c in ("tokens", *WIDE_NAMES)])
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -205,9 +216,18 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     pairs = stored(pairs.distinct(), "lines-pairs")
     numbers = pairs.select(F.explode(F.array("later", "earlier")).alias("number")).distinct()
     wanted = classes.select("number", "first").join(numbers, "number")
-    sets = stored(token_sets(docs, wanted), "lines-sets")
-    both = pairs.join(sets.select(F.col("number").alias("later"), F.col("tokens").alias("x")), "later")
-    both = both.join(sets.select(F.col("number").alias("earlier"), F.col("tokens").alias("y")), "earlier")
+    sets = stored(token_sets(docs, wanted).withColumn("n", F.size("tokens")), "lines-sets")
+
+    def side(own: str, prefix: str, columns: tuple[str, ...]) -> DataFrame:
+        return sets.select(F.col("number").alias(own), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+
+    # Most pairs fall to the wide bitmaps (a lower bound of the difference), which are small beside the sets.
+    near = pairs.join(side("later", "x_", ("n", *WIDE_NAMES)), "later").join(side("earlier", "y_", ("n", *WIDE_NAMES)), "earlier")
+    apart = reduce(add, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in WIDE_NAMES])
+    near = near.where((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("x_n") + F.col("y_n"))).select("later", "earlier")
+    near = stored(near, "lines-near")
+    both = side("later", "x_", ("tokens",)).join(checked_broadcast(near), "later").join(side("earlier", "y_", ("tokens",)), "earlier")
+    both = both.withColumnsRenamed({"x_tokens": "x", "y_tokens": "y"})
     both = both.select("later", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
     return both.where(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common"))).select("later").distinct()
 
