@@ -123,6 +123,18 @@ def test_lines_alone_in_their_salts_meet(spark, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {i: i % 2 for i in range(2 * pairs)}
 
 
+def test_short_lines_are_compared(spark):
+    page = "Home\nabout us\n\nall rights reserved\none two three four"
+    texts = [page, "HOME", "us about", "rights reserved", "four three two one five", "all rights reserved now", page, "na na na na na\n \nna"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {r["doc_id"]: r["removed_lines"] for r in lines.line_digest(docs).collect()}
+    assert removed == {0: "", 1: "0", 2: "0", 3: "", 4: "0", 5: "", 6: "0,1,3,4", 7: "2"}
+    assert removed == {d: ",".join(map(str, gone)) for (d, _), gone in plain_removed(rows).items()}
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    assert kept == {0: page, 3: texts[3], 5: texts[5], 7: "na na na na na\n "}
+
+
 def test_line_dedup_texts(docs):
     rows = [r for r in rows_of(docs) if r[0] is not None]
     want = plain_removed(rows)

@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines, and removal of later matches.
 
-A line is the set of its words, lower-cased (A-Z).  Lines of fewer than ``MIN_TOKENS`` different words are left alone.  A
+A line is the set of its words, lower-cased (A-Z).  Every line with a word takes part; lines without one are left alone.  A
 line goes if a line that stands earlier, by (doc_id, text hash, line number), has the same set or a Jaccard similarity of
 at least ``PERCENT`` / 100 - whether or not that earlier line stays.
 
@@ -8,7 +8,8 @@ at least ``PERCENT`` / 100 - whether or not that earlier line stays.
     rarity (bucket count, then hash - a total order, so the prefix filter stays exact whatever falls together).
 2.  Lines with equal sets form a class, numbered in the order of their first lines.  Each class is posted under the
     tokens of its prefix, rarest first, with set size, position and a 64-bit parity bitmap of its tokens.
-    Posted tokens are cut to 32 bits: what falls together there adds candidates and loses none.
+    Posted tokens are cut to 32 bits: what falls together there adds candidates and loses none.  Sets smaller than
+    ``LEAST_POSTED`` are similar to equal sets only; their class says all, and they are not posted.
 3.  In each token's list a class is compared with the list's first class; this is linear, and settles the large groups of
     near copies.  Very frequent tokens are salted, each part having a first class of its own.
 4.  Classes still unsettled are joined with all earlier classes of their lists.  Length, position and bitmap (an exact
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from tillwatch.llm.common import checked_broadcast, stored
 
 PERCENT = 80
-MIN_TOKENS = 5
+MIN_TOKENS = 1
+#: The smallest set that a set of one token more can be similar to.
+LEAST_POSTED = -(-PERCENT // (100 - PERCENT))
 COUNT_BUCKETS = 1 << 18
 #: A token is salted from so many lines on, and from so many times the mean bucket on.
 HOT_LINES, HOT_FACTOR = 200_000, 8
@@ -147,7 +150,7 @@ def split_lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 raw = tokens.tobytes()
                 classes = [xxhash.xxh3_128_digest(raw[8 * (e - n) : 8 * e]) for e, n in zip(ends.tolist(), size.tolist())]
 
-                n_first = prefix_size(size)
+                n_first = np.where(size >= LEAST_POSTED, prefix_size(size), 0)
                 first = np.arange(len(tokens)) - np.repeat(ends - size, size) < np.repeat(n_first, size)
                 parts = often[first] // hot + 1
                 turn = np.frombuffer(b"".join(c[:4] for c in classes), dtype=np.uint32).astype(np.int64)
