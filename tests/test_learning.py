@@ -106,3 +106,14 @@ def test_train_save_score(spark, features):
     before = {r.transaction_id: r.score for r in training.score_rows(trained.best_model, features, "m").collect()}
     after = {r.transaction_id: r.score for r in training.score_rows(model, features, "m").collect()}
     assert before == after
+
+
+def test_model_queries_fit_the_full_sizes(monkeypatch, spark):
+    from tests.conftest import TINY
+    from tillwatch.catalog import learning as catalog
+
+    used = []
+    monkeypatch.setattr(catalog.training, "train", lambda rows, config: used.append(config))
+    monkeypatch.setattr(catalog.learning, "fit_fraud_type", lambda rows, config: used.append(config))
+    catalog._fitted.__wrapped__("test", TINY)
+    assert used == [catalog.ModelConfig()] * 2

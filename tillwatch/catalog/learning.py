@@ -17,9 +17,8 @@ from ..sources.fixtures import TX_SQL, tx_events
 from .features import PROFILE_SQL, profile, profile_out
 from .registry import query
 
-# Ensembles small enough to fit in seconds; ModelConfig() holds the full sizes.
-QUICK = ModelConfig(forest_trees=20, forest_depth=8, boost_iterations=10, boost_depth=5,
-                    logistic_iterations=100)
+# The full sizes: every model query reports on the job as it would be run.
+FULL = ModelConfig()
 
 SCORED_SQL = f"""WITH {TX_SQL}, scored AS (SELECT id, CAST(is_fraud AS INTEGER) AS label,
   ((id * 7919) % 1000) / 1000.0 AS score FROM tx),
@@ -119,7 +118,7 @@ def stratified_split(spark, d):
 def preprocess(spark, d):
     """Every profile row imputed and scaled with statistics of the training rows only."""
     features = training.materialise(learning.as_reals(profile(spark, d)), "features")
-    train, _ = training.split(features, QUICK)
+    train, _ = training.split(features, FULL)
     cap = learning.fit_cap(train)
     fitted = Pipeline(stages=learning.preprocess_stages(learning.MODEL_COLUMNS)).fit(
         learning.derived_features(train, cap)
@@ -142,9 +141,9 @@ def _fitted(app_id: str, sf_dir: str):
     """One training run per session and data folder serves all the model queries."""
     spark = SparkSession.getActiveSession()
     features = training.materialise(profile(spark, sf_dir), "features")
-    trained = training.train(features, QUICK)
-    rows, test = training.split(features, QUICK)
-    return trained, learning.fit_fraud_type(rows, QUICK), features, test
+    trained = training.train(features, FULL)
+    rows, test = training.split(features, FULL)
+    return trained, learning.fit_fraud_type(rows, FULL), features, test
 
 
 def fitted(spark, d):
