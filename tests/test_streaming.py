@@ -220,3 +220,20 @@ def test_session_expiry(spark):
     tx = pipeline.transaction_stream(tables.line_stream(spark, path))
     closed = drain(pipeline.idle_sessions(tx, "sender_account_id"), "idle").collect()
     assert sorted(r.n for r in closed if r.sender_account_id == "a") == [1, 2]
+
+
+def test_unreadable_feature_messages_go_to_quarantine(spark, monkeypatch):
+    good = json.dumps({"transaction_id": "t1", "trans_amount": 5, "computed_us": 1})
+    raw = spark.createDataFrame([(x,) for x in (good, good[:20], "junk", "{}", None)], "value string")
+    rows = pipeline.feature_stream(raw)
+    # Neither rules nor a model are needed to see where a message goes.
+    checked = lambda df: df.withColumn("valid", F.lit(False)).withColumn("reasons", F.lit("refused"))
+    monkeypatch.setattr(pipeline.quality, "check_requests", checked)
+    monkeypatch.setattr(pipeline.rules, "alerts", lambda df, _: df.withColumns({"scenarios": F.array(F.lit("")), "risk_score": F.lit(0), "action": F.lit("")}))
+    monkeypatch.setattr(pipeline.scoring, "score_batch", lambda df, *_: df)
+    monkeypatch.setattr(pipeline.scoring, "event_value", lambda _: F.lit(""))
+    events = BatchTable(spark, work_dir(spark, "events"), spark.createDataFrame([], "key string").schema)
+    refused = BatchTable(spark, work_dir(spark, "refused"), spark.createDataFrame([], "transaction_id string, reasons string, unreadable string").schema)
+    pipeline.scoring_sink(events, refused, None, None, None)(rows, 0)
+    got = {(r.transaction_id, r.reasons, r.unreadable) for r in refused.read().collect()}
+    assert got == {("t1", "refused", None), *[(None, "unreadable message", x) for x in (good[:20], "junk", "{}")]}

@@ -457,7 +457,7 @@ def streamed_predictions(spark, d):
     refused = BatchTable(
         spark,
         work_dir(spark, "quarantine"),
-        spark.createDataFrame([], "transaction_id string, reasons string").schema,
+        spark.createDataFrame([], "transaction_id string, reasons string, unreadable string").schema,
     )
     drain_batches(
         stream, "score", pipeline.scoring_sink(events, refused, trained.best_model, types, SCALED)
