@@ -232,3 +232,23 @@ def test_secrets(spark, docs):
     linked = [w[-1] for w in want if "identifier" in w[-1]]
     assert len(linked) == 1 and linked[0].count("secret") == 1  # the far secret has no partner
     assert credentials.secret_digest(docs.limit(0)).count() == 0
+
+
+def test_secret_parts_of_any_length_link(spark):
+    identifier, long_secret, url = "QX7B2KLM9PZ0RT4V", "aB3" * 150, "https://example.com/" + "z" * 450
+    dsn = "https://0123456789abcdef0123@example.com/1"
+    texts = [
+        f"{identifier} {long_secret}", f"{url} {identifier}", f"{identifier} {url}", f"{dsn} {identifier}", f"{dsn} {url}",
+        url + " " * 200 + identifier, url + " " * 201 + identifier, f"{identifier} {'.' * 150} {url} {long_secret}",
+    ]
+    got = {r["doc_id"]: r["spans"] for r in credentials.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {
+        0: "identifier:0:16,secret:17:467",
+        1: "endpoint:0:470,identifier:471:487",
+        2: "identifier:0:16,endpoint:17:487",
+        3: "hex:8:28,identifier:43:59",
+        4: "hex:8:28",
+        5: "endpoint:0:470,identifier:670:686",
+        6: "",
+        7: "identifier:0:16,endpoint:168:638,secret:639:1089",
+    }

@@ -2,9 +2,10 @@
 
 Base kinds are found by pattern: assignments of a secret, access identifiers, hexadecimal runs.  The method adds weak
 candidates - identifier-like, secret-like and endpoint parts that would be noise alone - and reports one only where a
-complementary part of another role starts within ``SCOPE`` characters.  The link is an interval join of the parts on
-document and scope bucket: a part is put in its own and both neighbouring buckets.  Parts are of at least
-``MIN_PART`` characters and don't overlap within a role, so a scope holds a bounded number of them and the join stays
+complementary part of another role is at most ``SCOPE`` characters away, from the end of one to the start of the other.
+An endpoint that a base span overlaps is not reported, but parts beside it are.  The link is an interval join of the parts
+on document and scope bucket: a part is put in all buckets it covers and both neighbouring ones.  Parts are of at least
+``MIN_PART`` characters and don't overlap within a role, so a bucket holds a bounded number of them and the join stays
 linear in the text.
 
 Defined results: a NULL text is empty and has no spans; offsets are code points; repeated rows give a row each, as parts
@@ -32,12 +33,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 # Weak parts.
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{12,32}(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[^\s]*[0-9])(?=[^\s]*[A-Z])(?=[^\s]*[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[^\s]*[0-9])(?=[^\s]*[A-Z])(?=[^\s]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"\b(?:https?|s3|wss?)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}")
 
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "identifier", "secret", "endpoint")
-ROLE_OF = {"assign": "secret", "access": "identifier"}
+#: A "link" is an endpoint that only links others.
+KINDS = (*BASE_KINDS, "identifier", "secret", "endpoint", "link")
+ROLE_OF = {"assign": "secret", "access": "identifier", "link": "endpoint"}
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))
 SCANNED = "doc_id {id}, key long, base array<struct<start:int,end:int,kind:int>>, weak array<struct<start:int,end:int,kind:int>>"
@@ -68,8 +70,14 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def link_parts(text: str, weak: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The endpoints that are no weak parts, because a base span overlaps them."""
+    reported = {(start, end) for start, end, kind in weak if kind == 5}
+    return [(*m.span(), 6) for m in ENDPOINT.finditer(text) if m.span() not in reported]
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), base spans and weak parts of every text."""
+    """doc_id, key (hash of the text), base spans, and weak and link parts of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
@@ -79,7 +87,9 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch.column(2).to_pylist():
                 strong = base_spans(text or "")
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in strong])
-                weak.append([{"start": s, "end": e, "kind": k} for s, e, k in weak_spans(text or "", strong)])
+                parts = weak_spans(text or "", strong)
+                parts += link_parts(text or "", parts)
+                weak.append([{"start": s, "end": e, "kind": k} for s, e, k in parts])
             columns = [batch.column(0), batch.column(1), pa.array(base, SPANS), pa.array(weak, SPANS)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "base", "weak"])
 
@@ -90,11 +100,12 @@ def linked(scanned: DataFrame) -> DataFrame:
     """doc_id, key and the weak spans that have a part of another role within the scope."""
     role = F.element_at(F.array(*[F.lit(ROLE_OF.get(k, k)) for k in KINDS]), F.col("part.kind") + 1)
     parts = scanned.select("doc_id", "key", F.explode(F.concat("base", "weak")).alias("part")).where(F.col("part.kind") != 2)
-    bucket = F.floor(F.col("part.start") / SCOPE)
-    parts = parts.select("doc_id", "key", "part", role.alias("role"), bucket.alias("bucket")).distinct()
-    weak = parts.where(F.col("part.kind") > 2).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "part", "role", "bucket")
-    near = parts.select("doc_id", "key", F.col("part").alias("other"), F.col("role").alias("other_role"), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("in"))
-    close = F.abs(F.col("part.start") - F.col("other.start")) <= SCOPE
+    parts = parts.select("doc_id", "key", "part", role.alias("role")).distinct()
+    first, last = F.floor(F.col("part.start") / SCOPE), F.floor(F.col("part.end") / SCOPE)
+    weak = parts.where(F.col("part.kind").between(3, 5))
+    weak = weak.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "part", "role", F.explode(F.sequence(first, last)).alias("bucket"))
+    near = parts.select("doc_id", "key", F.col("part").alias("other"), F.col("role").alias("other_role"), F.explode(F.sequence(first - 1, last + 1)).alias("in"))
+    close = F.greatest(F.col("part.start") - F.col("other.end"), F.col("other.start") - F.col("part.end")) <= SCOPE
     pairs = weak.join(
         near,
         weak["d"].eqNullSafe(near["doc_id"]) & (F.col("k") == F.col("key")) & (F.col("bucket") == F.col("in")) & (F.col("role") != F.col("other_role")) & close,
