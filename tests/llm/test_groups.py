@@ -210,6 +210,24 @@ def test_toxicity(spark):
     assert nothing.where("score > 0").count() == 0
 
 
+def test_toxic_words_of_any_script():
+    assert toxicity.words_of("“ПОДЛО” ÉTÉ—Ab1c 天地毒骂，x".encode()) == ["подло", "été", "ab", "c", "天地", "地毒", "毒骂", "x"]
+    assert toxicity.units_of("Μισητός".encode())[1:] == ["μιση", "μισητ", "μισητό"]
+    bad = ("подло", "гнусн", "毒骂", "été")
+    tools = toxicity.Compressors(toxicity.Model(bad, ()))
+    for text in ("ПОДЛО ГНУСНО ÉTÉ", "“подло” …гнусно—été", "天地毒骂人山 гнусно подло"):
+        assert tools.measure(text.encode())[0] > 0, text
+    assert tools.measure("天地人山 слово Όμορφος été".replace("été", "eté").encode())[0] <= 0
+
+
+def test_toxic_cyrillic_capitals_are_found(spark):
+    docs, labels = toxic_tables(spark)
+    said = docs.select("doc_id", F.replace(F.replace(F.replace("text", F.lit("vilewort"), F.lit("подлослов")), F.lit("grimslur"), F.lit("гнусность")), F.lit("foulterm"), F.lit("скверна")).alias("text"))
+    more = spark.createDataFrame([(2000, "ПОДЛОСЛОВ ГНУСНОСТЬ СКВЕРНА " * 3), (2001, "“подлослов” “гнусность” “скверна” " * 3)], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxic_digest(said.unionByName(more), labels).collect()}
+    assert got[2000] == got[2001] == 1 and got[1] == 0 and got[5] == 1
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     tables = {
         "documents": docs.drop(*[c.split()[0] for c in fixture.EXTRA.split(", ")]),

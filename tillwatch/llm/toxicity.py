@@ -2,7 +2,9 @@
 
 Texts are cut into windows of ``WINDOW`` words.  A word is written as a 16-byte hash code (word-based compression) of the
 longest *unit* it begins with, a unit being a word or a word's beginning that one of the dictionaries holds, or of itself;
-so a window shortens only by units found in a dictionary, and not by the accidents of letter statistics.  A dictionary is
+so a window shortens only by units found in a dictionary, and not by the accidents of letter statistics.  Training and
+scoring take the words from one function: lower-cased by Unicode, cut at punctuation, symbols and blanks of any script;
+a run in a script without word spaces gives its overlapping pairs of characters.  A dictionary is
 the codes of the units that are usual in both classes, and of those whose document frequency speaks for its own.  A window's
 distance is its length compressed with the ordinary dictionary less its length with the toxic one.  A document has two
 figures, the largest distance and the mean of the positive ones; a logistic curve over both is fitted to the labelled
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.llm.common import byte_texts, split_words, stored
+from tillwatch.llm.common import byte_texts, stored
 
 SAMPLE = 4000
 WINDOW = 24
@@ -47,19 +50,37 @@ MIN_EVIDENCE = 25.0
 LEVEL = 3
 DECISION = 0.7
 RIDGE = 1e-4
-WORD = re.compile(rb"[a-z\x80-\xff]+")
+#: Scripts written without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED_RANGES = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+#: No part of a word beyond ASCII: punctuation, symbols, blanks and controls, by ranges.
+BREAKS = "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c)[0] in "PSZ" or unicodedata.category(c) == "Cc")
+BREAKS += "\u200b\ufeff\U0001f000-\U0001faff"
+WORD = re.compile(f"(?:(?=[{UNSPACED_RANGES}])[^\\x00-\\x7f{BREAKS}])+|(?:(?![{UNSPACED_RANGES}])[^\\x00-`{{-\\x7f{BREAKS}])+")
+ASCII_WORD = re.compile("[a-z]+")
+UNSPACED = re.compile(f"[{UNSPACED_RANGES}]")
 #: The compressor starts no match in the last bytes of a window.
 PADDING = b"\0" * 8
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return WORD.findall(text.lower()) if text else []
+def words_of(text: bytes | None) -> list[str]:
+    if not text:
+        return []
+    lowered = text.decode("utf-8", "replace").lower()
+    if lowered.isascii():
+        return ASCII_WORD.findall(lowered)
+    out = []
+    for word in WORD.findall(lowered):
+        if len(word) > 2 and UNSPACED.match(word):
+            out += [word[i : i + 2] for i in range(len(word) - 1)]
+        else:
+            out.append(word)
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
-    toxic: tuple[bytes, ...]
-    ordinary: tuple[bytes, ...]
+    toxic: tuple[str, ...]
+    ordinary: tuple[str, ...]
     #: The logistic curve: intercept, weight of the largest distance, weight of the mean; None if not fitted.
     curve: tuple[float, float, float] | None = None
 
@@ -69,16 +90,16 @@ class Codes(dict):
 
     LIMIT = 200_000
 
-    def __init__(self, units: tuple[bytes, ...]):
+    def __init__(self, units: tuple[str, ...]):
         super().__init__()
         self.units = frozenset(units)
         self.lengths = sorted({len(u) for u in units}, reverse=True)
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
         unit = next((word[:n] for n in self.lengths if word[:n] in self.units), word)
-        code = self[word] = xxhash.xxh3_128_digest(unit)
+        code = self[word] = xxhash.xxh3_128_digest(unit.encode())
         return code
 
 
@@ -90,11 +111,11 @@ class Compressors:
         self.ordinary = self._compressor(model.ordinary)
         self.toxic = self._compressor(model.toxic)
 
-    def _compressor(self, units: tuple[bytes, ...]) -> zstandard.ZstdCompressor:
+    def _compressor(self, units: tuple[str, ...]) -> zstandard.ZstdCompressor:
         plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         if not units:
             return zstandard.ZstdCompressor(level=LEVEL, **plain)
-        content = b"".join(xxhash.xxh3_128_digest(u) for u in units)
+        content = b"".join(xxhash.xxh3_128_digest(u.encode()) for u in units)
         data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         data.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(dict_data=data, level=LEVEL, **plain)
@@ -126,21 +147,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return found.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.col("__toxic").alias("toxic"))
 
 
-def units_of(text: Column) -> Column:
+def units_of(text: bytes | None) -> list[str]:
     """The distinct words of a text and their beginnings of MIN_STEM to MAX_STEM letters."""
-    words = F.array_distinct(split_words(F.lower(text), r"[^a-z\x{80}-\x{10FFFF}]+"))
+    words = dict.fromkeys(words_of(text))
+    stems = (w[:n] for w in words for n in range(MIN_STEM, min(len(w) - 1, MAX_STEM) + 1))
+    return list(words | dict.fromkeys(stems))
 
-    def stems(word: Column) -> Column:
-        sizes = F.sequence(F.lit(MIN_STEM), F.least(F.length(word) - 1, F.lit(MAX_STEM)))
-        return F.when(F.length(word) > MIN_STEM, F.transform(sizes, lambda n: F.substr(word, F.lit(1), n)))
 
-    nested = F.transform(words, lambda w: F.coalesce(stems(w), F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(words, F.flatten(nested)))
+def with_units(sample: DataFrame) -> DataFrame:
+    """doc_id, toxic and the units of the sample's texts."""
+    kind = sample.schema["doc_id"].dataType.simpleString()
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([units_of(t) for t in byte_texts(batch.column(2))], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["doc_id", "toxic", "units"])
+
+    return sample.select("doc_id", "toxic", "text").mapInArrow(units, f"doc_id {kind}, toxic boolean, units array<string>")
 
 
-def dictionaries(sample: DataFrame, size: int = DICTIONARY_UNITS) -> tuple[list[bytes], list[bytes]]:
+def dictionaries(sample: DataFrame, size: int = DICTIONARY_UNITS) -> tuple[list[str], list[str]]:
     """The units of the toxic and of the ordinary dictionary."""
-    rows = sample.select("doc_id", "toxic", units_of(F.col("text")).alias("units")).where(F.size("units") > 0)
+    rows = with_units(sample).where(F.size("units") > 0)
     longest = F.array_max(F.transform("units", lambda u: F.struct(F.length(u), u)))
     first = F.min_by("units", F.struct("doc_id", F.xxhash64("units")))
     rows = stored(rows.groupBy(longest.alias("mark"), "toxic").agg(first.alias("units")), "toxic-sample")
@@ -153,15 +181,15 @@ def dictionaries(sample: DataFrame, size: int = DICTIONARY_UNITS) -> tuple[list[
     )
     counts = stored(counts.where((F.col("toxic") >= MIN_SHARE * n[True]) | (F.col("ordinary") >= MIN_SHARE * n[False])), "toxic-units")
 
-    def best(own: str, other: str) -> list[bytes]:
+    def best(own: str, other: str) -> list[str]:
         here, there = n[own == "toxic"], n[other == "toxic"]
         odds = ((F.col(own) + 0.5) / (here + 1)) / ((F.col(other) + 0.5) / (there + 1))
         speaks = F.round(F.col(own) * F.log(odds), 6)
         enough = (F.col(own) >= MIN_SHARE * here) & (odds >= MIN_RATIO) & (speaks >= MIN_EVIDENCE)
         top = counts.where(enough).orderBy(speaks.desc(), F.length("unit").desc(), "unit").limit(8 * size)
-        chosen: list[bytes] = []
+        chosen: list[str] = []
         for row in top.select("unit").collect():
-            unit = row["unit"].encode()
+            unit = row["unit"]
             if len(chosen) < size and not any(unit.startswith(c) or c.startswith(unit) for c in chosen):
                 chosen.append(unit)
         return chosen
@@ -169,7 +197,7 @@ def dictionaries(sample: DataFrame, size: int = DICTIONARY_UNITS) -> tuple[list[
     # Units as usual in one class as in the other stand in both dictionaries.
     both = F.least(F.col("toxic") / n[True], F.col("ordinary") / n[False])
     shared = counts.where(both >= MIN_SHARE).orderBy(both.desc(), "unit").limit(COMMON_UNITS)
-    common = [r["unit"].encode() for r in shared.collect()]
+    common = [r["unit"] for r in shared.collect()]
     toxic, ordinary = best("toxic", "ordinary"), best("ordinary", "toxic")
     return (common + toxic, common + ordinary) if toxic else ([], [])
 
