@@ -70,6 +70,12 @@ def test_one_document_of_each_group_stays(docs):
     assert neardup.group_digest(docs.limit(0)).count() == 0
 
 
+def test_documents_without_words_all_stay(spark):
+    rows = [(None, None), (None, None), (None, ""), (None, ""), (2, " \n"), (2, " \n"), (1, "a b c"), (1, "a b c"), (None, "a b c")]
+    out = neardup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert fixture.plain(out, "doc_id", "text") == sorted([*rows[:6], (1, "a b c")], key=repr)
+
+
 def test_samples_estimate_similarity():
     known = neardup.WordHashes()
     sampler = neardup.Sampler(85)

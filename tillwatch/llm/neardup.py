@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.llm.common import MULTIPLIER, WordHashes, byte_texts, checked_broadcast, components, mixed, rolling, stored
+from tillwatch.llm.common import MULTIPLIER, PLAIN_WORD, WordHashes, byte_texts, checked_broadcast, components, mixed, rolling, stored
 
 BAND_ROWS = 5
 #: Chance that a pair right at the threshold shares no band.
@@ -253,11 +253,12 @@ def drop_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """One document of each group, with all its columns; documents without words all stay."""
     groups = find_groups(docs, size, percent)
     mine = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
-    kept = groups.where(mine).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), (F.col("n") == 0).alias("__empty")).distinct()
-    rows = docs.withColumn("__own", F.xxhash64("text"))
-    rows = rows.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
+    kept = groups.where(mine & (F.col("n") > 0)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    worded = F.coalesce(F.col("text").rlike(PLAIN_WORD), F.lit(False))
+    rows = docs.where(worded).withColumn("__own", F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
     # Repeated rows of a document that stands for its group are copies of it too.
-    return rows.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    return rows.dropDuplicates(["__id", "__key"]).select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def group_digest(docs: DataFrame) -> DataFrame:
