@@ -181,6 +181,18 @@ def test_targets_share_what_caps_cut_off():
     assert mixing.targets([("a", 0)]) == {"a": 0.0}
 
 
+def test_budgets_equal_the_plain_targets(spark):
+    for sizes in ([("a", 100), ("b", 100), ("c", 100)], [(None, 10), ("a", 1000), ("b", 5)], [("a", 0)], [(f"s{i:02d}", i * i % 37 * 50) for i in range(40)]):
+        got = mixing.budgets(spark.createDataFrame(sizes, "source string, size long"), 3).collect()
+        assert {r["source"]: r["target"] for r in got} == mixing.targets(sizes)
+        assert all(r["epochs"] * r["source_size"] + r["rest"] in (int(r["target"]), 0) for r in got)
+
+
+def test_mixing_collects_nothing(docs, monkeypatch):
+    monkeypatch.setattr(type(docs), "collect", lambda self: pytest.fail("rows were collected"))
+    mixing.mix(docs)
+
+
 def toxic_tables(spark):
     import random
 
