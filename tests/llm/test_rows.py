@@ -83,6 +83,14 @@ def test_url_model_learns_the_rules(spark):
     assert urls.url_digest(pages.limit(0)).count() == 0
 
 
+def test_url_model_reads_query_and_fragment(spark):
+    kept, cut = [f"http://shop{i}.com/item/{i}?ok=yes" for i in range(60)], [f"http://spam{i}.net/es/{i}?bad=zoo" for i in range(60)]
+    unknown = [f"http://x.org/a{tail}" for tail in ("?ok=yes", "", "?bad=zoo", "?q\n#ok=yes", "?q\n#bad=zoo")]
+    pages = spark.createDataFrame(list(enumerate(kept + cut + unknown)), "page_id long, url string")
+    score = {r["page_id"]: r["score"] for r in urls.url_digest(pages).collect()}
+    assert score[120] > score[121] > score[122] and score[123] > score[124]
+
+
 def test_url_model_matches_brute_force(spark):
     pages = spark.createDataFrame([(i, f"http://{'ab'[i % 2]}{i % 7}.{'com' if i % 2 else 'net'}/{'es' if i % 3 else 'fr'}/{i}") for i in range(40)], "page_id long, url string")
     import math

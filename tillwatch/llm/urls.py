@@ -1,7 +1,7 @@
 """URL filter: rules by host and path, and a ratio of character language models where no rule fits.
 
 Two smoothed variable-order Markov models over characters are trained, one on the accepted and one on the rejected URLs
-(those a rule decides).  The alphabet is folded to ``len(ALPHABET) + 1`` symbols and contexts reach ``ORDER`` symbols, so
+(those a rule decides); they read the whole URL after ``://``, with query and fragment.  The alphabet is folded to ``len(ALPHABET) + 1`` symbols and contexts reach ``ORDER`` symbols, so
 a model has at most (len(ALPHABET) + 1) ** (ORDER + 1) rows whatever the input; that bound is why the table of
 log-likelihood differences may be broadcast.  Each order is smoothed towards the next lower one (a Dirichlet prior of
 weight ``SMOOTHING``).  A URL's score is the mean difference per character; the threshold is the one with the best
@@ -64,9 +64,16 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.select("*", rule.alias("rule"), verdict.alias("rule_verdict"))
 
 
-def symbols_of(host: Column, path: Column) -> Column:
+def tail_of(url: Column) -> Column:
+    """Query and fragment: what follows host and path."""
+    at = F.locate("://", url)
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+    return F.coalesce(F.regexp_extract(rest, r"(?s)^[^?#]*(.*)$", 1), F.lit(""))
+
+
+def symbols_of(host: Column, path: Column, tail: Column) -> Column:
     """The folded characters as numbers below SYMBOLS, after ORDER start marks."""
-    plain = F.translate(F.lower(F.concat(host, path)), "123456789^", "000000000~")
+    plain = F.translate(F.lower(F.concat(host, path, tail)), "123456789^", "000000000~")
     return F.transform(F.split(F.concat(F.lit("^" * ORDER), plain), ""), lambda c: F.instr(F.lit(ALPHABET), c).cast("long"))
 
 
@@ -124,7 +131,7 @@ def best_threshold(bins: list[tuple[int, int, int]]) -> float:
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, url, host, path, rule, verdict and score (mean difference per character, in nats) of every row."""
     rows = judged(pages, rules)
-    rows = rows.withColumn("symbols", symbols_of(F.col("host"), F.col("path")))
+    rows = rows.withColumn("symbols", symbols_of(F.col("host"), F.col("path"), tail_of(F.col("url"))))
     rows = rows.withColumn("grams", grams_of("symbols", F.size("symbols") - ORDER)).drop("symbols")
     fold = F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(CALIBRATION_FOLDS))
     each = rows.withColumn("code", F.explode_outer("grams")).withColumn("length", F.size("grams")).drop("grams")
