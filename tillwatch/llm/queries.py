@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillwatch.llm.centroids import CENTROIDS, ROUNDS, cluster_digest
 from tillwatch.llm.chat import Template, chat_digest, with_probe
 from tillwatch.llm.common import table
 from tillwatch.llm.credentials import secret_digest
@@ -14,9 +15,11 @@ from tillwatch.llm.licenses import license_digest
 from tillwatch.llm.lines import line_digest
 from tillwatch.llm.mixing import SEED, mix_digest
 from tillwatch.llm.neardup import group_digest
+from tillwatch.llm.personal import personal_digest
 from tillwatch.llm.quality import quality_digest
 from tillwatch.llm.toxicity import toxic_digest
 from tillwatch.llm.urls import url_digest
+from tillwatch.llm.whitening import whitening_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +64,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
@@ -72,6 +87,9 @@ QUERIES: dict[str, Query] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_personal_data": op11_personal_data,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_whitening": op13_whitening,
 }
 
 _TEMPLATE = Template()
@@ -85,6 +103,25 @@ def _escapes(text: str) -> str:
 
 _MARKERS = sum(len(m) for m in (_TEMPLATE.start, _TEMPLATE.middle, _TEMPLATE.end))
 
+
+def _nearest(i: int) -> str:
+    """SQL for the i-th assignment: each kept row's nearest centroid of c{i}."""
+    return f"""a{i} AS (
+    SELECT r, c, d FROM (
+        SELECT x.r, c.c, sum((x.x - c.x) * (x.x - c.x)) AS d FROM flat x JOIN c{i} c USING (i) GROUP BY x.r, c.c
+    ) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+)"""
+
+
+def _moved(i: int) -> str:
+    """SQL for the next centroids: exact floors of the means, the old ones where no row came."""
+    return f"""c{i + 1} AS (
+    SELECT o.c, o.i, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, o.x) AS x FROM c{i} o LEFT JOIN (
+        SELECT a.c, x.i, CAST(sum(x.x) AS BIGINT) AS s, count(*) AS n FROM a{i} a JOIN flat x USING (r) GROUP BY a.c, x.i
+    ) m USING (c, i)
+)"""
+
+
 ORACLES: dict[str, str] = {
     "op5_chat_format": f"""
 WITH turns AS (
@@ -110,6 +147,25 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum({_MARKERS} + length(role) + {_escapes("role")} + length(text) + {_escapes("text")}) AS BIGINT) AS formatted_chars,
        any_value(valid) AS valid
 FROM numbered JOIN machine USING (conv_id) GROUP BY conv_id
+""",
+    "op12_centroid_clusters": f"""
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding FROM embeddings
+    WHERE len(embedding) = 64 AND list_count(embedding) = 64
+      AND len(list_filter(embedding, lambda e: isnan(e) OR isinf(e))) = 0
+), flat AS (
+    SELECT r, i, CAST(floor(64 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM kept, range(1, 65) t(i)
+), firsts AS (
+    SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id), embedding) - 1 AS c FROM kept
+    QUALIFY c < {CENTROIDS}
+), c0 AS (
+    SELECT f.c, x.i, x.x FROM firsts f JOIN flat x USING (r)
+), {", ".join(f"{_nearest(i)}, {_moved(i)}" for i in range(ROUNDS))}, {_nearest(ROUNDS)}
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       h.centroid_sha256
+FROM a{ROUNDS} a JOIN kept k USING (r)
+     JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{ROUNDS} GROUP BY c) h USING (c)
 """,
     "op8_mix_sources": f"""
 WITH docs AS (
