@@ -76,36 +76,119 @@ def test_latest_state(spark):
     assert [(r.id, float(r.amount)) for r in rows] == [("t1", 7.0)]
 
 
-@pytest.mark.parametrize("busy", [([], []), (["hub", "x"], ["a"])], ids=["plain", "salted"])
-def test_stateful_equals_brute_force_over_two_arrivals(spark, busy):
-    rows = sorted(ms_rows(21, 120), key=lambda r: r[6])
-    half = len(rows) // 2
-    # The second arrival reaches back behind the end of the first, within the watermark.
-    first, second = rows[: half + 10 : 1], rows[half + 10 :]
-    held = first[-5:]
-    first, second = first[:-5], held + second
-    path, progress, out = (work_dir(spark, n) for n in ("arrivals", "progress", "partials"))
-    stream = None
-    sentinel = [r.value for r in far_future_change(spark).collect()]
-    for lines in (
-        [change(r) for r in first] + [change(first[0], "u", 3)],
-        [change(r) for r in second] + [change(second[0], "u", 3)],
-        sentinel,
-    ):
+def follow(spark, arrivals, path=None, **options):
+    """Arrivals, one list of messages after the other, through a flow."""
+    path = path or work_dir(spark, "arrivals")
+    flow = None
+    for lines in arrivals:
         publish(spark, path, lines)
-        raw = tables.line_stream(spark, path)
-        stream = history.stateful_partials(
-            pipeline.transaction_stream(raw, "4 days"), *busy, salts=3
-        )
-        stream.writeStream.format("parquet").option("path", out).option(
-            "checkpointLocation", progress
-        ).trigger(availableNow=True).start().awaitTermination()
-    partials = spark.read.schema(stream.schema).parquet(out)
-    ledger = cdc.transactions(spark.read.text(path)).where(F.col("id") != "sentinel")
-    full = pipeline.complete_features(
-        history.combine_partials(partials), ledger, make_accounts(spark, ["a", "b"])
-    )
-    assert answers(full) == brute.profile(rows)
+        if flow is None:
+            raw = tables.line_stream(spark, path)
+            flow = pipeline.FeatureFlow(raw, work_dir(spark, "flow"), make_accounts(spark, ["a", "b"]), shards=2, **options)
+        flow.advance()
+    return flow
+
+
+@pytest.mark.parametrize("busy_rows", [10**9, 15], ids=["plain", "salted"])
+def test_flow_follows_corrections_out_of_order(spark, busy_rows):
+    rows = ms_rows(21, 120)
+    minute = 60_000_000
+    changed = {}
+    for n in range(0, 120, 6):  # new amount and label, other receiver, other time, swapped accounts
+        i, amount, s, r, lat, lon, us = rows[n]
+        changed[i] = [
+            (i, amount + 500, s, r, lat, lon, us),
+            (i, amount, s, "hub" if r != "hub" else "x", lat, lon, us),
+            (i, amount, s, r, lat, lon, us + (n - 60) * 30 * minute),
+            (i, amount, r, s, lat, lon, us),
+        ][n // 6 % 4]
+    day = 86_400_000
+    updates = [change(r, "u", 30 * day) for r in changed.values()]
+    back = [change(rows[n], "u", 10 * day) for n in (0, 18)]  # outdone, whenever it comes
+    arrivals = [
+        [change(r) for r in rows[::3]] + back[:1],
+        [change(r) for r in rows[1::3]] + updates[:8],
+        [change(r) for r in rows[2::3]] + updates[8:] + [change(rows[5])],
+        back[1:] + updates[3:5] + [change(rows[7])],
+    ]
+    flow = follow(spark, arrivals, lateness_us=90 * DAY, correctable_us=90 * DAY, busy_rows=busy_rows, salts=3)
+    current = [changed.get(r[0], r) for r in rows]
+    assert answers(flow.features()) == brute.profile(current)
+    assert flow.intake.busy.read().isEmpty() == (busy_rows > 1000)
+    assert {r.id: float(r.amount) for r in flow.newest().collect()} == {r[0]: float(r[1]) for r in current}
+
+
+def test_flow_forgets_what_can_not_change(spark):
+    """Buckets behind the clock leave the state, answers stay those of the whole ledger, dormancy has no limit."""
+    rows = [(f"t{k:03}", 10, "ab"[k % 2], "x", "11.5", "104.9", k * 6 * 3_600_000_000) for k in range(160)]  # 40 days
+    rows += [("u0", 5, "rests", "x", "11.0", "104.0", 0), ("u1", 5, "rests", "x", "12.0", "104.0", 39 * DAY)]
+    ordered = sorted(rows, key=lambda r: r[6])
+    arrivals = [[change(r) for r in ordered[i : i + 27]] for i in range(0, len(ordered), 27)]
+    path = work_dir(spark, "arrivals")
+    flow = follow(spark, arrivals, path, lateness_us=DAY, correctable_us=DAY)
+    assert answers(flow.features()) == brute.profile(rows)
+    late = flow.intake.late.read()
+    assert late.isEmpty()
+    publish(spark, path, [change(("v", 1, "a", "x", None, None, 40 * DAY))])
+    flow.start_intake(availableNow=True).awaitTermination()
+    flow.start_versions(availableNow=True).awaitTermination()
+    run = flow.start_answers(availableNow=True)
+    run.awaitTermination()
+    # Of 40 days and two key spaces, the last few days' buckets are left.
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] < 60
+
+
+def test_flow_puts_each_message_in_one_place(spark):
+    rows = ms_rows(25, 30)
+    first = max(r[6] for r in rows)
+    old = ("old", 5, "a", "b", None, None, first - 3 * 3_600_000_000)
+    gone = json.loads(change(("gone", 5, "a", "b", None, None, first)))
+    gone["after"]["created_at"] = None
+    nameless = json.loads(change((None, 5, "a", "b", None, None, first)))
+    delete = json.loads(change(rows[0], "d"))
+    broken = [json.dumps(gone), json.dumps(nameless), change(rows[0])[:40], "", "junk"]
+    arrivals = [[change(r) for r in rows], [change(old), change((*old[:1], 6, *old[2:]), "u", 5), *broken, json.dumps(delete)], [change(max(rows, key=lambda r: r[6]))]]
+    flow = follow(spark, arrivals[:1] + [arrivals[1][:1] + arrivals[1][2:]] + arrivals[2:], lateness_us=2 * 3_600_000_000)
+    assert [r.id for r in flow.intake.late.read().collect()] == ["old"]
+    assert sorted(r.reason for r in flow.intake.quarantine.read().collect()) == ["no id", "no time", *["unreadable message"] * 3]
+    assert flow.intake.accepted.read().count() == len(rows) + 1
+    assert answers(flow.features()) == brute.profile(rows)
+    # Its correction may come later than a first version.
+    flow = follow(spark, arrivals, lateness_us=2 * 3_600_000_000)
+    assert answers(flow.features()) == brute.profile([*rows, (*old[:1], 6, *old[2:])])
+
+
+def test_a_batch_again_changes_nothing(spark):
+    rows = ms_rows(26, 40)
+    flow = follow(spark, [[change(r) for r in rows[:25]], [change(r) for r in rows[25:]]], lateness_us=90 * DAY)
+    for table in (flow.versions, flow.partials):
+        batch = table.read().where("batch >= 0")
+        last = batch.agg(F.max("batch")).first()[0]
+        table.sink(batch.where(F.col("batch") == last).drop("batch").cache(), last + 1000)  # delivered again
+    assert answers(flow.features()) == brute.profile(rows)
+    flow.start_answers(availableNow=True).awaitTermination()  # reads the versions that came again
+    assert answers(flow.features()) == brute.profile(rows)
+
+
+def test_scores_follow_the_answers(spark, monkeypatch):
+    """The newest event of each transaction stands on its newest profile."""
+    rows = ms_rows(27, 30)
+    monkeypatch.setattr(pipeline.quality, "check_requests", lambda df: df.withColumn("valid", F.lit(True)).withColumn("reasons", F.lit("")))
+    monkeypatch.setattr(pipeline.rules, "alerts", lambda df, _: df.withColumns({"scenarios": F.array(F.lit("")), "risk_score": F.col("receiver_txn_count_last_3d").cast("int"), "action": F.lit("")}))
+    monkeypatch.setattr(pipeline.scoring, "score_batch", lambda df, *_: df)
+    monkeypatch.setattr(pipeline.scoring, "event_value", lambda _: F.lit(""))
+    path = work_dir(spark, "arrivals")
+    events = BatchTable(spark, work_dir(spark, "events"), spark.createDataFrame([], "key string, risk_score int").schema)
+    refused = BatchTable(spark, work_dir(spark, "refused"), spark.createDataFrame([], "transaction_id string").schema)
+    flow = None
+    for part in (rows[::2], rows[1::2]):
+        publish(spark, path, [change(r) for r in part])
+        if flow is None:
+            flow = pipeline.FeatureFlow(tables.line_stream(spark, path), work_dir(spark, "flow"), make_accounts(spark, ["a", "b"]), lateness_us=90 * DAY, shards=2)
+        flow.advance()
+        flow.start_scoring(events, refused, None, None, None, availableNow=True).awaitTermination()
+    kept = {r.key: r.risk_score for r in events.current("key", ["batch"]).collect()}
+    assert kept == {i: a[0] for i, a in brute.profile(rows).items()}
 
 
 def test_reconcile_out_of_order(spark):
@@ -165,7 +248,7 @@ def test_reconcile_updates(spark):
 def test_missing_amounts_add_nothing():
     import pandas as pd
 
-    rows = pd.DataFrame({"us": [1, 2, 3], "id": ["a", "b", "c"], "cents": [100, None, None], "lat": None, "lon": None})
+    rows = pd.DataFrame({"code": 0, "us": [1, 2, 3], "id": ["a", "b", "c"], "cents": [100, None, None], "lat": None, "lon": None})
     got = history.sender_answers(rows, rows.assign(us=10, cents=[None, None, 100.0]))
     assert list(got["cents"]) == [100] * 3 and list(got["repeats"]) == [0, 0, 1]
 

@@ -9,25 +9,29 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions.times import DAY
+from ..functions.times import DAY, HOUR
 from ..operators import metrics
 from ..operators.history import RECEIVER, SENDER
 from ..plans import scoring
 from ..plans import features as plan
-from ..plans.training import MODEL_VERSION, materialise
+from ..plans.training import MODEL_VERSION
 from ..schemas import ACCOUNT, FEATURE_ROW, FRAUD_TYPES, PROFILE, TRANSACTION
 from ..session import work_dir
 from ..sources import cdc, tables
 from ..sources.fixtures import (
     ACC_SQL,
+    CORRECTED_SQL,
     TX_SQL,
     account_changes,
     accounts,
+    broken_changes,
+    corrections,
+    creations,
     far_future_change,
     transaction_changes,
     tx_events,
 )
-from ..streaming import history, pipeline
+from ..streaming import pipeline
 from ..streaming.reconcile import VERSION, reconcile_sink
 from ..streaming.runs import BatchTable, drain, drain_batches
 from .features import PROFILE_OUT, PROFILE_SQL, profile, profile_out
@@ -377,16 +381,50 @@ def event_time_parse(spark, d):
     )
 
 
+# Rows held back until others two hours newer have come: of these, those of a first version are late.
+HELD = 37
+LATE_BY = 2 * HOUR
+HELD_SQL = f"(SELECT id FROM first_tx WHERE id % {HELD} = 5 AND us < (SELECT max(us) FROM first_tx WHERE id % {HELD} <> 5) - {LATE_BY})"
+FIRST_SQL = TX_SQL.replace("tx AS", "first_tx AS", 1).replace("epoch_us(ts) AS us", "epoch_us(ts) // 1000 * 1000 AS us")
+# A correction of a late transaction is on time, so what counts is whether any version was.
+NEWEST_SQL = CORRECTED_SQL.replace("FROM first_tx)", f"FROM first_tx WHERE id NOT IN {HELD_SQL} OR id % 10 = 0)")
+NEWEST_PROFILE_SQL = PROFILE_SQL.replace(TX_SQL, f"{FIRST_SQL}, {NEWEST_SQL}")
+
+
+def corrected_flow(spark, d, answers=True):
+    """A ledger that arrives in two parts: the second has corrections, late rows and damage."""
+    tx = tx_events(spark, d)
+    path = work_dir(spark, "transaction-changes")
+    newest = tx.where(F.col("id") % HELD != 5).agg(F.max(F.unix_millis("created_at"))).first()[0] * 1000
+    held = (F.col("id") % HELD == 5) & (F.unix_millis("created_at") * 1000 < newest - LATE_BY)
+    arrivals = [
+        creations(tx.where(~held)),
+        creations(tx.where(held)).unionByName(corrections(tx)).unionByName(broken_changes(tx)),
+    ]
+    flow = None
+    for lines in arrivals:
+        lines.write.mode("append").text(path)
+        if flow is None:
+            raw = tables.line_stream(spark, path)
+            flow = pipeline.FeatureFlow(raw, work_dir(spark, "flow"), text_accounts(spark, d))
+        flow.advance(answers)
+    return flow
+
+
 @query(
     "S2_stream_dedup",
-    f"WITH {TX_SQL} SELECT id, epoch_us(created_at) // 1000 * 1000 AS event_us FROM tx",
+    f"""WITH {FIRST_SQL}, {NEWEST_SQL} SELECT id, us AS event_us, CAST(amount AS DOUBLE) AS amount,
+  receiver_account_id, is_fraud, fraud_type FROM tx""",
 )
 def stream_dedup(spark, d):
-    path = published(spark, transaction_changes(spark, d), "transaction-changes")
-    tx = pipeline.transaction_stream(tables.line_stream(spark, path))
-    return drain(
-        tx.select(F.col("id").cast("long").alias("id"), F.unix_micros("event_time").alias("event_us")),
-        "deduplicated",
+    """The newest version of each transaction, whichever came first."""
+    return corrected_flow(spark, d, answers=False).newest().select(
+        F.col("id").cast("long").alias("id"),
+        F.col("us").alias("event_us"),
+        F.col("amount").cast("double").alias("amount"),
+        F.col(RECEIVER).cast("long").alias(RECEIVER),
+        "is_fraud",
+        "fraud_type",
     )
 
 
@@ -410,10 +448,14 @@ def text_accounts(spark, d):
     return accounts(spark, d).withColumn("id", F.col("id").cast("string"))
 
 
-@query("S3_stream_reconciled_features", f"{MS_PROFILE_SQL} {MS_OUT}")
+CORRECTED_PROFILE_SQL = PROFILE_SQL.replace(TX_SQL, f"{FIRST_SQL}, {CORRECTED_SQL}")
+
+
+@query("S3_stream_reconciled_features", f"{CORRECTED_PROFILE_SQL} {MS_OUT}")
 def stream_reconciled_features(spark, d):
-    """Micro-batches in arbitrary time order; every affected profile is recomputed."""
-    lines = transaction_changes(spark, d).repartition(3)
+    """Micro-batches in arbitrary time order, corrections among them; every affected profile is recomputed."""
+    tx = tx_events(spark, d)
+    lines = creations(tx).unionByName(corrections(tx)).unionByName(broken_changes(tx)).repartition(3)
     path = published(spark, lines, "transaction-changes")
     stream = cdc.transactions(tables.line_stream(spark, path, files_per_batch=1), *VERSION).select(*LEDGER_COLUMNS, *VERSION)
     ledger, _, profiles = reconcile_tables(spark, stream)
@@ -421,17 +463,32 @@ def stream_reconciled_features(spark, d):
     return ms_out(profiles.current("transaction_id", []))
 
 
-@query("S4_stream_stateful_features", f"{MS_PROFILE_SQL} {MS_OUT}")
+@query("S4_stream_stateful_features", f"{NEWEST_PROFILE_SQL} {MS_OUT}")
 def stream_stateful_features(spark, d):
-    lines = transaction_changes(spark, d).unionByName(far_future_change(spark))
-    path = published(spark, lines, "transaction-changes")
-    ledger = materialise(cdc.transactions(spark.read.text(path)), "ledger")
-    stream = pipeline.transaction_stream(tables.line_stream(spark, path))
-    partials = drain(history.stateful_partials(stream, *history.busy_keys(ledger)), "partials")
-    full = pipeline.complete_features(
-        history.combine_partials(partials), ledger, text_accounts(spark, d)
-    )
-    return ms_out(full)
+    """Keyed state that answers again what a correction changes."""
+    return ms_out(corrected_flow(spark, d).features())
+
+
+@query(
+    "S4_stream_outcomes",
+    f"""WITH {FIRST_SQL}, held AS {HELD_SQL}, rows AS (
+  SELECT id, 1 AS version FROM first_tx UNION ALL SELECT id, 3 FROM first_tx WHERE id % 10 = 0
+  UNION ALL SELECT id, 2 FROM first_tx WHERE id % 50 = 0
+), on_time AS (SELECT * FROM rows WHERE version > 1 OR id NOT IN (FROM held))
+SELECT 'answered' AS outcome, count(DISTINCT id) AS n FROM on_time
+UNION ALL SELECT 'outdone', count(*) - count(DISTINCT id) FROM on_time
+UNION ALL SELECT 'late', count(*) FROM rows WHERE version = 1 AND id IN (FROM held)
+UNION ALL SELECT 'quarantine', count(*) FROM first_tx WHERE id % 500 = 0""",
+)
+def stream_outcomes(spark, d):
+    """Where each message went: every one is in exactly one place."""
+    flow = corrected_flow(spark, d)
+    answered = flow.features().select(F.lit("answered").alias("outcome"))
+    outdone = flow.intake.accepted.read().groupBy("id").count().select(F.lit("outdone").alias("outcome"), (F.col("count") - 1).alias("n"))
+    counted = answered.withColumn("n", F.lit(1).cast("long")).unionByName(outdone)
+    for name, table in (("late", flow.intake.late), ("quarantine", flow.intake.quarantine)):
+        counted = counted.unionByName(table.read().select(F.lit(name).alias("outcome"), F.lit(1).cast("long").alias("n")))
+    return counted.groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
 def feature_lines(spark, d):
@@ -443,10 +500,7 @@ def feature_lines(spark, d):
     return tables.upsert_messages(cast, "transaction_id").select("value")
 
 
-def streamed_predictions(spark, d):
-    trained, types, _, _ = fitted(spark, d)
-    path = published(spark, feature_lines(spark, d), "features")
-    stream = pipeline.feature_stream(tables.line_stream(spark, path))
+def prediction_tables(spark):
     events = BatchTable(
         spark,
         work_dir(spark, "predictions"),
@@ -459,12 +513,37 @@ def streamed_predictions(spark, d):
         work_dir(spark, "quarantine"),
         spark.createDataFrame([], "transaction_id string, reasons string, unreadable string").schema,
     )
+    return events, refused
+
+
+def streamed_predictions(spark, d):
+    trained, types, _, _ = fitted(spark, d)
+    path = published(spark, feature_lines(spark, d), "features")
+    stream = pipeline.feature_stream(tables.line_stream(spark, path))
+    events, refused = prediction_tables(spark)
     drain_batches(
         stream, "score", pipeline.scoring_sink(events, refused, trained.best_model, types, SCALED)
     )
     return events, refused
 
 
+@query(
+    "S5_stream_from_changes",
+    _alert_sql()
+    .replace(PROFILE_SQL, NEWEST_PROFILE_SQL)
+    .replace("risk_score FROM profile)", f"risk_score FROM profile WHERE {_reasons_sql()} = '')"),
+)
+def stream_from_changes(spark, d):
+    """From change messages to prediction events in one chain of streams; the newest event of each transaction."""
+    trained, types, _, _ = fitted(spark, d)
+    flow = corrected_flow(spark, d)
+    events, refused = prediction_tables(spark)
+    flow.start_scoring(events, refused, trained.best_model, types, SCALED, availableNow=True).awaitTermination()
+    return events.current("key", ["batch"]).select(
+        F.col("key").cast("long").alias("transaction_id"), "scenarios", "risk_score", "action"
+    )
+
+
 @query("S5_stream_score")
 def stream_score(spark, d):
     """Feature messages to prediction events with model scores."""

@@ -163,6 +163,46 @@ def transaction_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return created.unionByName(updated).unionByName(gone).unionByName(_damaged(broken))
 
 
+# Corrections: of the transactions that are corrected at all, one kind of change each.
+def corrected(rows: DataFrame) -> DataFrame:
+    """The ledger after its corrections: new amounts, receivers and labels."""
+    turn = F.col("id") % 50
+    flipped = turn == 20
+    fraud = F.when(flipped, ~F.col("is_fraud")).otherwise(F.col("is_fraud"))
+    return rows.withColumns(
+        {
+            "amount": F.when(turn == 0, F.col("amount") + 500).otherwise(F.col("amount")).cast(MONEY),
+            "receiver_account_id": F.when(turn == 10, (F.col("receiver_account_id") + 1) % 100).otherwise(F.col("receiver_account_id")),
+            "is_fraud": fraud,
+            "fraud_type": F.when(flipped, F.when(fraud, "VELOCITY_SPIKE")).otherwise(F.col("fraud_type")),
+        }
+    )
+
+
+CORRECTED_SQL = """tx AS (SELECT * REPLACE (
+    CAST(CASE WHEN id % 50 = 0 THEN amount + 500 ELSE amount END AS DECIMAL(18,2)) AS amount,
+    CASE WHEN id % 50 = 10 THEN (receiver_account_id + 1) % 100 ELSE receiver_account_id END AS receiver_account_id,
+    CASE WHEN id % 50 = 20 THEN NOT is_fraud ELSE is_fraud END AS is_fraud,
+    CASE WHEN id % 50 <> 20 THEN fraud_type WHEN is_fraud THEN NULL ELSE 'VELOCITY_SPIKE' END AS fraud_type)
+  FROM first_tx)"""
+
+
+def creations(rows: DataFrame) -> DataFrame:
+    return change_lines(rows, TRANSACTION, F.lit("c"), F.lit(0), F.lit(False))
+
+
+def corrections(rows: DataFrame) -> DataFrame:
+    """A day after its creation, the correction of every transaction that has one; before it, an older one that it outdoes."""
+    some = rows.where(F.col("id") % 50 % 10 == 0)
+    last = change_lines(corrected(some), TRANSACTION, F.lit("u"), F.lit(86_400_000), F.lit(False))
+    outdone = some.where(F.col("id") % 50 == 0).withColumn("amount", (F.col("amount") + 7).cast(MONEY))
+    return last.unionByName(change_lines(outdone, TRANSACTION, F.lit("u"), F.lit(1000), F.lit(False)))
+
+
+def broken_changes(rows: DataFrame) -> DataFrame:
+    return _damaged(creations(rows.where(F.col("id") % 500 == 0)))
+
+
 def far_future_change(spark: SparkSession) -> DataFrame:
     """One transaction a year later, of accounts nobody uses: it moves the watermark past
     every real row so that a finite stream drains."""

@@ -67,6 +67,10 @@ class BatchTable:
         schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
         return self.spark.read.schema(schema).parquet(self.path)
 
+    def stream(self, **options) -> DataFrame:
+        """The rows of each micro-batch as they come."""
+        return self.spark.readStream.schema(self.schema).options(recursiveFileLookup="true", **options).parquet(self.path)
+
     def current(self, key: str, version: list[str]) -> DataFrame:
         """Merge on read: per key the newest row, of equals the one that came last."""
         return newest_per_key(self.read(), key, [*version, "batch"]).drop("batch")
