@@ -9,7 +9,7 @@ from tillwatch.functions.times import DAY, HOUR
 from tillwatch.operators import joins, windows
 from tillwatch.operators.history import RECEIVER, SENDER, sender_history, with_clock
 from tillwatch.operators.hotkeys import DEFAULT_HEAT, Heat, hot_sets, lookup
-from tillwatch.operators.trailing import trailing
+from tillwatch.operators.trailing import in_lanes, trailing
 from tillwatch.plans.features import (
     account_age,
     fraud_features,
@@ -115,7 +115,7 @@ def test_lookup_keeps_every_row(spark):
 
 def test_hot_set_is_bounded_and_reports_nulls(spark):
     tx = with_clock(make_ledger(spark, random_rows(3)))
-    found = hot_sets(tx, [RECEIVER, SENDER], Heat(min_rows=2, max_keys=1, lane_rows=5), F.col("us"))
+    found = hot_sets(tx, [RECEIVER, SENDER], Heat(min_rows=2, max_keys=1, lane_rows=5))
     assert found[SENDER].has_null and not found[RECEIVER].has_null
     assert found[RECEIVER].rows.count() + found[SENDER].rows.count() <= 4
     none = hot_sets(tx, [RECEIVER], DEFAULT_HEAT)
@@ -141,6 +141,28 @@ def test_trailing_equals_sliding_frame(spark, heat):
     )
 
 
+def test_lanes_hold_so_many_rows_however_they_lie(spark):
+    """Nine in ten rows of a key within an hour, one moment of many rows, and a key of few."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 50 == 0, "small").otherwise("hub").alias("k"),
+        F.when(F.col("id") % 10 == 0, F.col("id") * 97_000_000)
+        .when(F.col("id") % 7 == 0, 5 * HOUR)
+        .otherwise(5 * HOUR + F.col("id") * 7919 % HOUR)
+        .alias("us"),
+        "id",
+    )
+    laned = in_lanes(rows, ["k"], ["us", "id"], 300).collect()
+    sizes, ends = {}, {}
+    for r in laned:
+        sizes[r.k, r.lane] = sizes.get((r.k, r.lane), 0) + 1
+        low, high = ends.get((r.k, r.lane), ((r.us, r.id), (r.us, r.id)))
+        ends[r.k, r.lane] = min(low, (r.us, r.id)), max(high, (r.us, r.id))
+    assert len(laned) == 20_000 and max(sizes.values()) <= 300
+    for k in ("hub", "small"):  # lanes follow one another
+        spans = [ends[x] for x in sorted(ends) if x[0] == k]
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_or_join_counts_equal_brute_force(spark):
     rows = random_rows(5, 90)
     for heat in (DEFAULT_HEAT, EAGER):

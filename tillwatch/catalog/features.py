@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.times import DAY, HOUR, days_between
 from ..operators import joins
 from ..operators.history import RECEIVER, SENDER, with_clock
+from ..operators.hotkeys import Heat
 from ..operators.trailing import trailing, trailing_terms
 from ..operators import windows
 from ..plans import features as plan
-from ..sources.fixtures import ACC_SQL, ORDERS_SQL, TX_SQL, accounts, tx_events, tx_orders
+from ..sources.fixtures import ACC_SQL, ORDERS_SQL, SKEWED_SQL, TX_SQL, accounts, tx_events, tx_orders, tx_skewed
 from .registry import query
 
 WITH = f"WITH {TX_SQL},\n{ACC_SQL}"
@@ -507,3 +508,56 @@ def first_per_group(spark, d):
 )
 def distinct_rows(spark, d):
     return tx_events(spark, d).select(SENDER, RECEIVER).distinct()
+
+
+# --- a ledger with a hub --------------------------------------------------------------
+
+# The hub is hot at every scale of the tables, and its rush hour holds many lanes.
+HUB_HEAT = Heat(min_rows=100, max_keys=1000, lane_rows=100)
+
+
+@query("B10_fraud_features_skewed", f"{PROFILE_SQL.replace(TX_SQL, SKEWED_SQL)} {PROFILE_OUT}")
+def fraud_features_skewed(spark, d):
+    return profile_out(plan.fraud_features(tx_skewed(spark, d), accounts(spark, d), HUB_HEAT))
+
+
+@query(
+    "C1_join_left_equi_skewed",
+    f"""WITH {SKEWED_SQL}, {ACC_SQL} SELECT t.id, s.account_number AS sender_account, s.account_type AS sender_type,
+  r.account_number AS receiver_account
+FROM tx t LEFT JOIN acc s ON s.id = t.sender_account_id LEFT JOIN acc r ON r.id = t.receiver_account_id""",
+)
+def join_left_equi_skewed(spark, d):
+    return joins.enrich_accounts(tx_skewed(spark, d), accounts(spark, d), HUB_HEAT).select(
+        "id", "sender_account", "sender_type", "receiver_account"
+    )
+
+
+@query(
+    "C3_join_or_theta_self_skewed",
+    f"""WITH {SKEWED_SQL}, {PAIRS}
+SELECT tx.id, count(DISTINCT other) AS matched_rows,
+  count(*) FILTER (WHERE rule = 'receiver') AS by_receiver,
+  count(*) FILTER (WHERE rule = 'amount') AS by_amount,
+  count(*) FILTER (WHERE rule = 'pace') AS by_pace
+FROM tx LEFT JOIN pairs ON pairs.id = tx.id GROUP BY tx.id""",
+)
+def join_or_theta_self_skewed(spark, d):
+    return joins.or_theta_counts(with_clock(tx_skewed(spark, d)), HUB_HEAT)
+
+
+@query(
+    "W3_lag_by_key_skewed",
+    f"""WITH {SKEWED_SQL} SELECT id, lag(us) OVER w AS previous_us, lag(id) OVER w AS previous_id,
+  round(coalesce((us - lag(us) OVER w) / 86400000000.0, 9999.0), 4) AS days_since
+FROM tx WINDOW w AS (PARTITION BY sender_account_id ORDER BY us, id)""",
+)
+def lag_by_key_skewed(spark, d):
+    lagged = windows.lag_by_key(with_clock(tx_skewed(spark, d)).select("id", "us", SENDER), SENDER, HUB_HEAT)
+    gap = days_between(F.col("us"), F.col("previous.us"))
+    return lagged.select(
+        "id",
+        F.col("previous.us").alias("previous_us"),
+        F.col("previous.id").alias("previous_id"),
+        F.round(F.coalesce(gap, F.lit(9999.0)), 4).alias("days_since"),
+    )

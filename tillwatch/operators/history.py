@@ -21,7 +21,7 @@ from .hotkeys import (
     union_all,
     without_hot,
 )
-from .trailing import add_and_expire, lane_running, lane_start, strictly_before
+from .trailing import add_and_expire, in_lanes, lane_running, strictly_before
 
 RECEIVER = "receiver_account_id"
 SENDER = "sender_account_id"
@@ -38,13 +38,10 @@ def with_clock(tx: DataFrame) -> DataFrame:
 # --- receiver side -----------------------------------------------------------------
 
 
-def _hot_receiver_answers(hot_rows: DataFrame) -> DataFrame:
+def _hot_receiver_answers(hot_rows: DataFrame, lane_rows: int) -> DataFrame:
     """(receiver, us) -> incoming count and distinct senders, for hot receivers."""
-    seen = (
-        hot_rows.groupBy(RECEIVER, SENDER, "us")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("lane_us").alias("lane_us"))
-        .withColumn("lane", lane_start(F.col("us"), F.col("lane_us")))
-    )
+    seen = hot_rows.groupBy(RECEIVER, SENDER, "us").agg(F.count(F.lit(1)).alias("n"))
+    seen = in_lanes(seen, [RECEIVER, SENDER], ["us"], lane_rows)
     # The next time the same sender pays the same receiver ends the earlier
     # payment's claim on the distinct count.  Within a lane that is LEAD; the last
     # payment of a lane looks at the head of the pair's next lane.
@@ -56,7 +53,6 @@ def _hot_receiver_answers(hot_rows: DataFrame) -> DataFrame:
         "lane",
         F.lead("head").over(over_lanes).alias("us"),
         F.lit(None).cast("long").alias("n"),
-        F.lit(None).cast("long").alias("lane_us"),
     ).where(F.col("us").isNotNull())
     in_lane = Window.partitionBy(RECEIVER, SENDER, "lane").orderBy("us")
     claims = (
@@ -73,7 +69,6 @@ def _hot_receiver_answers(hot_rows: DataFrame) -> DataFrame:
 
     marks = claims.select(
         RECEIVER,
-        "lane_us",
         F.inline(
             F.array(
                 mark(F.col("us"), True, F.col("n"), one),
@@ -82,7 +77,7 @@ def _hot_receiver_answers(hot_rows: DataFrame) -> DataFrame:
             )
         ),
     )
-    return lane_running(marks, [RECEIVER], ["n", "d"]).select(
+    return lane_running(marks, [RECEIVER], ["n", "d"], lane_rows).select(
         RECEIVER, F.col("at").alias("us"), F.col("n").alias("hot_count"), F.col("d").alias("hot_senders")
     )
 
@@ -92,13 +87,11 @@ def attach_hot_receivers(tx: DataFrame, hot: HotSet) -> DataFrame:
     blank = [F.lit(None).cast("long").alias(c) for c in ("hot_count", "hot_senders")]
     if hot.rows is None:
         return tx.select("*", *blank)
-    answers = _hot_receiver_answers(
-        only_hot(tx.select(RECEIVER, SENDER, "us"), RECEIVER, hot)
-    )
+    answers = _hot_receiver_answers(only_hot(tx.select(RECEIVER, SENDER, "us"), RECEIVER, hot), hot.lane_rows)
     ordinary = tx.join(
         F.broadcast(hot.rows), F.col(RECEIVER) == F.col("hot_key"), "left_anti"
     ).select("*", *blank)
-    heavy = only_hot(tx, RECEIVER, hot).drop("lane_us").join(answers, [RECEIVER, "us"], "left")
+    heavy = only_hot(tx, RECEIVER, hot).join(answers, [RECEIVER, "us"], "left")
     return ordinary.unionByName(heavy)
 
 
@@ -154,7 +147,7 @@ def finish_receivers(tx: DataFrame, hot: HotSet) -> DataFrame:
 
 
 def receiver_history(tx: DataFrame, heat: Heat = DEFAULT_HEAT) -> DataFrame:
-    hot = hot_keys(tx, RECEIVER, heat, F.col("us"))
+    hot = hot_keys(tx, RECEIVER, heat)
     return finish_receivers(attach_hot_receivers(tx, hot), hot)
 
 
@@ -231,47 +224,41 @@ def _ordinary_senders(rows: DataFrame) -> DataFrame:
     )
 
 
-def _heavy_senders(rows: DataFrame) -> DataFrame:
+def _heavy_senders(rows: DataFrame, lane_rows: int) -> DataFrame:
     """The same columns for hot senders, from tallies joined back by (sender, time)."""
     paced = rows.groupBy(SENDER, "us").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("amount").alias("v"),
         F.max(_place()).alias("place"),
-        F.max("lane_us").alias("lane_us"),
     )
     marks = paced.select("*", add_and_expire(VELOCITY_WINDOW).alias("m")).select(
         SENDER,
-        "lane_us",
         (F.col("us") + F.col("m.shift")).alias("at"),
         (F.col("m.sign") == 1).alias("own"),
         (F.col("n") * F.col("m.sign")).alias("n"),
         (F.col("v") * F.col("m.sign")).alias("v"),
         F.when(F.col("m.sign") == 1, F.col("place")).alias("place"),
     )
-    velocity = lane_running(marks, [SENDER], ["n", "v"], last="place").select(
+    velocity = lane_running(marks, [SENDER], ["n", "v"], lane_rows, last="place").select(
         SENDER,
         F.col("at").alias("us"),
         F.col("n").alias("sender_txn_count_last_1h"),
         F.col("v").cast("decimal(28,2)").alias("sender_volume_last_1h"),
         F.col("place").alias("previous"),
     )
-    same = rows.where(F.col("amount").isNotNull()).groupBy(SENDER, "amount", "us").agg(
-        F.count(F.lit(1)).alias("n"), F.max("lane_us").alias("lane_us")
-    )
+    same = rows.where(F.col("amount").isNotNull()).groupBy(SENDER, "amount", "us").agg(F.count(F.lit(1)).alias("n"))
     marks = same.select("*", add_and_expire(SAME_AMOUNT_WINDOW).alias("m")).select(
         SENDER,
         "amount",
-        "lane_us",
         (F.col("us") + F.col("m.shift")).alias("at"),
         (F.col("m.sign") == 1).alias("own"),
         (F.col("n") * F.col("m.sign")).alias("n"),
     )
-    repeats = lane_running(marks, [SENDER, "amount"], ["n"]).select(
+    repeats = lane_running(marks, [SENDER, "amount"], ["n"], lane_rows).select(
         SENDER, "amount", F.col("at").alias("us"), F.col("n").alias("multi_same_amt_count_2d")
     )
     return (
-        rows.drop("lane_us")
-        .join(velocity, [SENDER, "us"], "left")
+        rows.join(velocity, [SENDER, "us"], "left")
         .join(repeats, [SENDER, "amount", "us"], "left")
         .fillna(0, ["multi_same_amt_count_2d"])
     )
@@ -288,7 +275,7 @@ def sender_history(
     With ``accounts`` also ``opened_us``: for ordinary senders that join is keyed like
     the windows, so a sort-merge join and the windows use the same shuffle.
     """
-    hot = hot if hot is not None else hot_keys(tx, SENDER, heat, F.col("us"))
+    hot = hot if hot is not None else hot_keys(tx, SENDER, heat)
     id_type = tx.schema["id"].dataType.simpleString()
     opened = None
     if accounts is not None:
@@ -308,7 +295,7 @@ def sender_history(
         few = None
         if opened is not None:
             few = F.broadcast(only_listed(opened, "account_key", hot))
-        parts.append(_heavy_senders(meet(only_hot(tx, SENDER, hot), few)))
+        parts.append(_heavy_senders(meet(only_hot(tx, SENDER, hot), few), hot.lane_rows))
     if hot.has_null:
         blank = {
             "sender_txn_count_last_1h": F.lit(0).cast("long"),

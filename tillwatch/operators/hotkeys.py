@@ -14,14 +14,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 @dataclass(frozen=True)
 class Heat:
     min_rows: int = 1_000_000  # a key with fewer rows is never hot
     max_keys: int = 100_000  # size bound of the broadcast set
-    lane_rows: int = 500_000  # wanted rows per time lane of a hot key
+    lane_rows: int = 500_000  # most rows of a hot key that one window group holds
 
 
 DEFAULT_HEAT = Heat()
@@ -31,56 +31,50 @@ DEFAULT_HEAT = Heat()
 class HotSet:
     """What one count per key found: the heavy keys, and whether NULL keys occur.
 
-    ``rows`` is (hot_key, lane_us) with at most ``Heat.max_keys`` rows, or None when no
-    key is heavy; plans then leave the hot branch out altogether.  ``lane_us`` is a
-    time-slice width that holds about ``lane_rows`` rows of the key.
+    ``rows`` is (hot_key) with at most ``Heat.max_keys`` rows, or None when no key is
+    heavy; plans then leave the hot branch out altogether.
     """
 
     rows: DataFrame | None
     has_null: bool
+    lane_rows: int = Heat.lane_rows
 
 
-def hot_keys(
-    df: DataFrame, key: str, heat: Heat = DEFAULT_HEAT, us: Column | None = None
-) -> HotSet:
+def hot_keys(df: DataFrame, key: str, heat: Heat = DEFAULT_HEAT) -> HotSet:
     """Count rows per key (combined map-side) and fetch the bounded list of heavy keys."""
-    return hot_sets(df, [key], heat, us)[key]
+    return hot_sets(df, [key], heat)[key]
 
 
-def hot_sets(
-    df: DataFrame, keys: list[str], heat: Heat = DEFAULT_HEAT, us: Column | None = None
-) -> dict[str, HotSet]:
+def hot_sets(df: DataFrame, keys: list[str], heat: Heat = DEFAULT_HEAT) -> dict[str, HotSet]:
     """``hot_keys`` for several key columns of one table, in one pass over it.
 
     The heaviest ``max_keys`` per column are listed together, so a key left out holds at
     most ``rows / max_keys`` rows, whichever column it belongs to.
     """
-    clock = us if us is not None else F.lit(0).cast("long")
-    width = F.ceil((F.col("hi") - F.col("lo") + 1).cast("double") * heat.lane_rows / F.col("n"))
     entries = [F.struct(F.lit(k).alias("key"), F.col(k).alias("hot_key")) for k in keys]
     found = (
-        df.select(clock.alias("us"), F.inline(F.array(*entries)))
+        df.select(F.inline(F.array(*entries)))
         .groupBy("key", "hot_key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .where((F.col("n") >= heat.min_rows) | F.col("hot_key").isNull())
         .orderBy(F.col("hot_key").isNotNull(), F.desc("n"), "key", "hot_key")
         .limit(len(keys) * (heat.max_keys + 1))
-        .select("key", "hot_key", F.greatest(F.lit(1).cast("long"), width).alias("lane_us"))
+        .select("key", "hot_key")
     )
     schema = found.drop("key").schema
     listed = found.collect()
     sets = {}
     for key in keys:
-        mine = [(r.hot_key, r.lane_us) for r in listed if r.key == key]
+        mine = [(r.hot_key,) for r in listed if r.key == key]
         heavy = [r for r in mine if r[0] is not None]
         rows = df.sparkSession.createDataFrame(heavy, schema=schema) if heavy else None
-        sets[key] = HotSet(rows, has_null=len(heavy) < len(mine))
+        sets[key] = HotSet(rows, len(heavy) < len(mine), heat.lane_rows)
     return sets
 
 
 def only_hot(df: DataFrame, key: str, hot: HotSet) -> DataFrame:
-    """Rows of hot keys, with their lane width."""
-    return df.join(F.broadcast(hot.rows), F.col(key) == F.col("hot_key"), "inner").drop("hot_key")
+    """Rows of hot keys."""
+    return df.join(F.broadcast(hot.rows), F.col(key) == F.col("hot_key"), "left_semi")
 
 
 def without_hot(df: DataFrame, key: str, hot: HotSet) -> DataFrame:
@@ -127,7 +121,7 @@ def lookup(
 
     parts = [meet(without_hot(left, key, hot), dim)]
     if hot.rows is not None:
-        heavy = only_hot(left, key, hot).drop("lane_us")
+        heavy = only_hot(left, key, hot)
         parts.append(meet(heavy, F.broadcast(only_listed(dim, dim_key, hot))))
     if hot.has_null:
         parts.append(

@@ -43,7 +43,7 @@ def or_theta_counts(tx: DataFrame, heat: Heat = DEFAULT_HEAT) -> DataFrame:
         ("by_pace", [SENDER], HOUR),
         ("amount_pace", [SENDER, "amount"], HOUR),
     ]
-    hot = hot_sets(t, [RECEIVER, SENDER], heat, F.col("us"))
+    hot = hot_sets(t, [RECEIVER, SENDER], heat)
     for lead in (RECEIVER, SENDER):
         led = [(keys, width, {name: one}) for name, keys, width in terms if keys[0] == lead]
         t = trailing_terms(t, led, heat, hot[lead])

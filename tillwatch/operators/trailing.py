@@ -7,15 +7,17 @@ sweeps instead: each row adds its value at ``t`` and takes it back at ``t + w``,
 one running sum answers every row in linear time.
 
 ``lane_running`` is the hot-key plan.  Rows are first tallied per (key, instant),
-which the map side combines; the tallies are cut into time lanes; lane totals
-(small) are accumulated per key and enter each lane as one carry row; the running
-sum then needs only (key, lane) groups.  No task ever sees a whole hot key.
+which the map side combines; the tallies are cut into lanes of so many rows; lane
+totals (small) are accumulated per key and enter each lane as one carry row; the running
+sum then needs only (key, lane) groups.  No task ever sees a whole hot key, however its
+rows lie in time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
 from .hotkeys import DEFAULT_HEAT, Heat, HotSet, hot_keys, only_hot, union_all, without_hot
 
 
@@ -25,39 +27,41 @@ def strictly_before(*keys: str, order: str = "at"):
     )
 
 
-def lane_start(at: Column, lane_us: Column) -> Column:
-    return at - F.pmod(at, lane_us)
+def in_lanes(rows: DataFrame, keys: list[str], order: list[str], lane_rows: int) -> DataFrame:
+    """``rows`` with ``lane``: per key, runs of at most ``lane_rows`` rows in ``order``; a later run has a greater lane.
+
+    Two levels: a range partitioning by key and order, whose bounds Spark takes from the rows' own quantiles, and within
+    a partition the rank of the row.  The result is written to the shared folder, as bounds may fall
+    elsewhere when they are taken again and everyone has to see the same lanes.
+    """
+    place = F.monotonically_increasing_id()  # the partition in the upper bits, the rank in the lower 33
+    rank = F.lit(1 << 33)
+    cut = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("lane", place)
+    inside = F.pmod("lane", rank)
+    lane = F.col("lane") - inside + F.floor(inside / F.lit(lane_rows))
+    return materialise(cut.withColumn("lane", lane.cast("long")), "lanes")
 
 
 def lane_running(
-    marks: DataFrame, keys: list[str], sums: list[str], last: str | None = None
+    marks: DataFrame, keys: list[str], sums: list[str], lane_rows: int, last: str | None = None
 ) -> DataFrame:
     """Running totals strictly before each instant, in bounded groups.
 
-    ``marks`` has the keys, ``at`` (micros), ``lane_us``, ``own`` (is this a time some
-    row asks about), the delta columns ``sums`` and optionally a struct ``last`` whose
-    greatest earlier value is wanted.  One result row per (keys, at) with ``own``.
+    ``marks`` has the keys, ``at`` (micros), ``own`` (is this a time some row asks
+    about), the delta columns ``sums`` and optionally a struct ``last`` whose greatest
+    earlier value is wanted.  One result row per (keys, at) with ``own``.
     """
     pick = [F.max(last).alias(last)] if last else []
-    tally = (
-        marks.groupBy(*keys, "at")
-        .agg(
-            *[F.sum(s).alias(s) for s in sums],
-            *pick,
-            F.max("own").alias("own"),
-            F.max("lane_us").alias("lane_us"),
-        )
-        .withColumn("lane", lane_start(F.col("at"), F.col("lane_us")))
-        .drop("lane_us")
-    )
-    totals = tally.groupBy(*keys, "lane").agg(*[F.sum(s).alias(s) for s in sums], *pick)
+    tally = marks.groupBy(*keys, "at").agg(*[F.sum(s).alias(s) for s in sums], *pick, F.max("own").alias("own"))
+    tally = in_lanes(tally, keys, ["at"], lane_rows)
+    totals = tally.groupBy(*keys, "lane").agg(F.min("at").alias("at"), *[F.sum(s).alias(s) for s in sums], *pick)
     earlier = (
         Window.partitionBy(*keys).orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = totals.select(
         *keys,
         "lane",
-        (F.col("lane") - 1).alias("at"),
+        (F.col("at") - 1).alias("at"),
         F.lit(False).alias("own"),
         *[F.sum(s).over(earlier).alias(s) for s in sums],
         *([F.max(last).over(earlier).alias(last)] if last else []),
@@ -138,7 +142,7 @@ def trailing_terms(
     """
     lead = terms[0][0][0]
     if hot is None:
-        hot = hot_keys(df, lead, heat, F.col("us"))
+        hot = hot_keys(df, lead, heat)
     names = [n for _, _, sums in terms for n in sums]
     wanted = [*df.columns, *names]
 
@@ -149,7 +153,7 @@ def trailing_terms(
     if hot.rows is not None:
         heavy = only_hot(df, lead, hot)
         for keys, width, sums in terms:
-            heavy = _heavy_sums(heavy, only_hot(df, lead, hot), keys, width, sums)
+            heavy = _heavy_sums(heavy, only_hot(df, lead, hot), keys, width, sums, hot.lane_rows)
         parts.append(heavy.select(*wanted))
     if hot.has_null:
         types = {f.name: f.dataType for f in cold.schema.fields}
@@ -169,20 +173,17 @@ def _complete(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> Data
 
 
 def _heavy_sums(
-    rows: DataFrame, ledger: DataFrame, keys: list[str], width: int, sums: dict[str, Column]
+    rows: DataFrame, ledger: DataFrame, keys: list[str], width: int, sums: dict[str, Column], lane_rows: int
 ) -> DataFrame:
     """``rows`` of hot keys plus the sums, tallied from ``ledger`` (the same rows, unextended)."""
-    tallied = ledger.groupBy(*keys, "us").agg(
-        *[F.sum(v).alias(n) for n, v in sums.items()], F.max("lane_us").alias("lane_us")
-    )
+    tallied = ledger.groupBy(*keys, "us").agg(*[F.sum(v).alias(n) for n, v in sums.items()])
     marks = tallied.select("*", add_and_expire(width).alias("mark")).select(
         *keys,
         (F.col("us") + F.col("mark.shift")).alias("at"),
-        "lane_us",
         (F.col("mark.sign") == 1).alias("own"),
         *[(F.col(n) * F.col("mark.sign")).alias(n) for n in sums],
     )
-    answers = lane_running(marks, keys, list(sums)).withColumnRenamed("at", "us")
+    answers = lane_running(marks, keys, list(sums), lane_rows).withColumnRenamed("at", "us")
     return rows.join(answers, [*keys, "us"], "left").withColumns(
         {n: F.coalesce(F.col(n), F.lit(0)) for n in sums}
     )

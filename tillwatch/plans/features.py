@@ -142,7 +142,7 @@ def fraud_features(
     ``keep`` names extra columns to carry (``us`` and the account ids).
     """
     rows = ledger_rows(tx)
-    hot = hot_sets(rows, [RECEIVER, SENDER], heat, F.col("us"))
+    hot = hot_sets(rows, [RECEIVER, SENDER], heat)
     rows = attach_hot_receivers(rows, hot[RECEIVER])
     profiled = finish_receivers(sender_history(rows, heat, accounts, hot[SENDER]), hot[RECEIVER])
     previous = F.col("previous")

@@ -10,23 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import learning, metrics
 from ..operators.learning import ModelConfig
-from ..session import work_dir
+from ..session import materialise, work_dir
 
 MODEL_VERSION = "fraud-model-v1"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared work folder and read back.
-
-    Training passes over its rows many times; reading a table is cheaper than the
-    windows behind it, and it survives lost executors.
-    """
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Trained:
     models: dict[str, PipelineModel]

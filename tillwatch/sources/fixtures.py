@@ -126,6 +126,32 @@ ACC_SQL = """acc AS (
   FROM customer)"""
 
 
+# A third of the ledger pays one hub, another third is paid by it; nine in ten of these rows fall into one hour.
+HUB = 7
+RUSH_US = 1705320000000000
+
+
+def tx_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tx_events`` with a hub that owns two thirds of the rows, most of them within an hour."""
+    turn = F.col("id") % 3
+    rush = (turn < 2) & (F.col("id") % 10 != 0)
+    at = F.timestamp_micros(F.lit(RUSH_US) + (F.col("id") * 7919000) % F.lit(3_600_000_000))
+    return tx_events(spark, sf_dir).withColumns(
+        {
+            "receiver_account_id": F.when(turn == 0, F.lit(HUB)).otherwise(F.col("receiver_account_id")).cast("long"),
+            "sender_account_id": F.when(turn == 1, F.lit(HUB)).otherwise(F.col("sender_account_id")).cast("long"),
+            "created_at": F.when(rush, at).otherwise(F.col("created_at")),
+        }
+    )
+
+
+SKEWED_SQL = TX_SQL.replace("tx AS", "even_tx AS", 1) + f""", tx AS (SELECT * REPLACE (
+    CASE WHEN id % 3 = 0 THEN {HUB} ELSE receiver_account_id END AS receiver_account_id,
+    CASE WHEN id % 3 = 1 THEN {HUB} ELSE sender_account_id END AS sender_account_id,
+    CASE WHEN id % 3 < 2 AND id % 10 <> 0 THEN {RUSH_US} + (id * 7919000) % 3600000000 ELSE us END AS us)
+  FROM even_tx)"""
+
+
 # --- change logs derived from the two ledgers ----------------------------------------
 
 
