@@ -8,14 +8,18 @@ on document and scope bucket: a part is put in all buckets it covers and both ne
 ``MIN_PART`` characters and don't overlap within a role, so a bucket holds a bounded number of them and the join stays
 linear in the text.
 
-Defined results: a NULL text is empty and has no spans; offsets are code points; repeated rows give a row each, as parts
+A secret-like part is a run of at least 20 characters that holds a digit, a capital and a small letter.
+
+Defined results: a very long text takes time in proportion to its length, blanks or none; a NULL text is empty and has no spans; offsets are code points; repeated rows give a row each, as parts
 are keyed by id and hash of the text; a NULL id is an id like another; other columns of the documents are left out.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +37,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 # Weak parts.
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{12,32}(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[^\s]*[0-9])(?=[^\s]*[A-Z])(?=[^\s]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+# Tried at the beginning of a run only and never given back, so that a text without blanks costs no more than another.
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![=])")
+SECRET_CLASSES = tuple(map(re.compile, ("[0-9]", "[A-Z]", "[a-z]")))
 ENDPOINT = re.compile(r"\b(?:https?|s3|wss?)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}")
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -57,17 +63,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Weak parts that no base span overlaps."""
-    found = [(*m.span(), kind) for kind, pattern in ((3, IDENTIFIER), (4, SECRET), (5, ENDPOINT)) for m in pattern.finditer(text)]
-    out, i = [], 0
-    taken = sorted((s[0], s[1]) for s in base)
-    reach = 0
-    for start, end, kind in sorted(found):
-        while i < len(taken) and taken[i][0] < end:
-            reach, i = max(reach, taken[i][1]), i + 1
-        # Starts rise, ends may not: a base span that begins before this end and reaches beyond its start.
-        if reach <= start:
-            out.append((start, end, kind))
-    return out
+    found = [(*m.span(), kind) for kind, pattern in ((3, IDENTIFIER), (5, ENDPOINT)) for m in pattern.finditer(text)]
+    found += [(*m.span(), 4) for m in SECRET.finditer(text) if all(c.search(m[0]) for c in SECRET_CLASSES)]
+    # The furthest end of the base spans that begin before a place.
+    starts = [start for start, _, _ in base]
+    reach = list(accumulate((end for _, end, _ in base), max, initial=0))
+    return [(start, end, kind) for start, end, kind in sorted(found) if reach[bisect_left(starts, end)] <= start]
 
 
 def link_parts(text: str, weak: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
