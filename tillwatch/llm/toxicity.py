@@ -11,10 +11,11 @@ figures, the largest distance and the mean of the positive ones; a logistic curv
 sample, and shifted so that the threshold that separates the sample best has the score ``DECISION``.
 
 Only labelled rows outside the held-out fold are learned from: at most ``SAMPLE`` documents per class, the first by a
-hash of their id.  Near copies would let one text vouch for its own words, so of the sampled texts with the same longest
-word one per class counts.  The model is a few kilobytes; documents are scored where they lie, without a shuffle.
+hash of their id; texts of the same units count once per class.  The model is a few kilobytes; documents are scored where
+they lie, without a shuffle.
 
-Defined results: a NULL or wordless text has distance 0 and so a low score; labels without an id or a mark are left out,
+Defined results: a NULL or wordless text has distance 0 and so a low score; a very long text is scored window by window; equally
+telling units go by length, then by themselves; an empty table gives no rows; labels without an id or a mark are left out,
 and of several labels of an id the largest counts; without toxic or without ordinary labels every score is 0; repeated
 rows give a row each; documents without an id are not held out (the remainder is NULL) and never learned from; other
 columns are kept, and the columns added carry the ``prefix``.
@@ -169,9 +170,7 @@ def with_units(sample: DataFrame) -> DataFrame:
 def dictionaries(sample: DataFrame, size: int = DICTIONARY_UNITS) -> tuple[list[str], list[str]]:
     """The units of the toxic and of the ordinary dictionary."""
     rows = with_units(sample).where(F.size("units") > 0)
-    longest = F.array_max(F.transform("units", lambda u: F.struct(F.length(u), u)))
-    first = F.min_by("units", F.struct("doc_id", F.xxhash64("units")))
-    rows = stored(rows.groupBy(longest.alias("mark"), "toxic").agg(first.alias("units")), "toxic-sample")
+    rows = stored(rows.select("toxic", "units").distinct(), "toxic-sample")
     # Two rows at most.
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(True) or not n.get(False):
