@@ -16,6 +16,8 @@ PLAIN_WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 FOLDED_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,13 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: one evaluation, and no lineage to lose with an executor.
 
-    The shuffle files behind the written table are not needed any more, but Spark keeps them until the driver's JVM
-    collects the plans that refer to them; asking for that here keeps the disk to one step's shuffles.
+    The shuffles behind the written table are not read again, so Spark is told to drop them with the query; that keeps
+    the disk to one step's shuffles.
     """
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path, compression="zstd")
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
