@@ -109,8 +109,9 @@ def plain_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [200_000, 2])
-def test_line_dedup(docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot, pairs", [(200_000, 64), (2, 64), (200_000, 1), (2, 3), (200_000, 10**9)])
+def test_line_dedup(docs, monkeypatch, hot, pairs):
+    monkeypatch.setattr(lines, "PAIR_WORDS", pairs)  # rare tokens, frequent ones, or both kinds of key
     monkeypatch.setattr(lines, "HOT_LINES", hot)
     monkeypatch.setattr(lines, "HOT_FACTOR", 0 if hot == 2 else 8)
     rows = [r for r in rows_of(docs) if r[0] is not None]  # of two rows without an id, the order is by hash
@@ -129,6 +130,27 @@ def test_lines_alone_in_their_salts_meet(spark, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {i: i % 2 for i in range(2 * pairs)}
 
 
+@pytest.mark.parametrize("pairs", [1, 5, 10**9])
+def test_lines_at_the_threshold_meet(spark, monkeypatch, pairs):
+    """Sets of every size and overlap around the threshold, from few words, so that all of them are frequent."""
+    import random
+
+    monkeypatch.setattr(lines, "PAIR_WORDS", pairs)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    texts = []
+    for size in range(1, 24):
+        for _ in range(4):
+            kept = rng.sample(words, size)
+            texts.append(" ".join(kept))
+            out = rng.sample(kept, size - rng.randint(0, min(size - 1, 4)))
+            texts.append(" ".join(out + rng.sample([w for w in words if w not in kept], rng.randint(0, 3))))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["removed_lines"] for r in lines.line_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = {d: ",".join(map(str, gone)) for (d, _), gone in plain_removed(rows).items()}
+    assert got == want and 20 < sum(map(bool, want.values())) < 160
+
+
 def test_short_lines_are_compared(spark):
     page = "Home\nabout us\n\nall rights reserved\none two three four"
     texts = [page, "HOME", "us about", "rights reserved", "four three two one five", "all rights reserved now", page, "na na na na na\n \nna"]

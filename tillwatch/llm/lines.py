@@ -7,10 +7,12 @@ at least ``PERCENT`` / 100 - whether or not that earlier line stays.
 1.  Words are counted over all documents, in ``COUNT_BUCKETS`` hash buckets: the bounded table that orders tokens by
     rarity (bucket count, then hash - a total order, so the prefix filter stays exact whatever falls together).
 2.  Lines with equal sets form a class, numbered in the order of their first lines.  Each class is posted under the
-    tokens of its prefix, rarest first, with set size, position and a 64-bit parity bitmap of its tokens.
-    Posted tokens are cut to 32 bits: what falls together there adds candidates and loses none.  Sets smaller than
-    ``LEAST_POSTED`` are similar to equal sets only; their class says all, and they are not posted.
-3.  In each token's list a class is compared with the list's first class; this is linear, and settles the large groups of
+    tokens of its prefix, rarest first, with set size, position and a 64-bit parity bitmap of its tokens.  A token that
+    occurs ``PAIR_WORDS`` times or more is posted together with each later token of the prefix made longer by one: two similar
+    sets share two tokens there, so sets whose first common token is frequent meet under it and the second.  Such pairs are
+    rare where their tokens are not, so lists stay short as the corpus grows.  Sets smaller than ``LEAST_POSTED`` are similar to
+    equal sets only; their class says all, and they are not posted.
+3.  In each list a class is compared with the list's first class; this is linear, and settles the large groups of
     near copies.  Very frequent tokens are salted, each part having a first class of its own.
 4.  Classes still unsettled are joined with all earlier classes of their lists.  Length, position and bitmap (an exact
     lower bound of the sets' difference) filter inside both joins; a bitmap of 256 bits, then the full sets confirm.
@@ -33,13 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwatch.llm.common import checked_broadcast, stored
+from tillwatch.llm.common import MULTIPLIER, checked_broadcast, mixed, stored
 
 PERCENT = 80
 MIN_TOKENS = 1
 #: The smallest set that a set of one token more can be similar to.
 LEAST_POSTED = -(-PERCENT // (100 - PERCENT))
 COUNT_BUCKETS = 1 << 18
+#: A token is posted in pairs from so many words on.
+PAIR_WORDS = 64
 #: A token is salted from so many lines on, and from so many times the mean bucket on.
 HOT_LINES, HOT_FACTOR = 200_000, 8
 #: 64-bit words of the parity bitmap that candidate pairs are compared by before their sets.
@@ -151,21 +155,32 @@ def split_lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 classes = [xxhash.xxh3_128_digest(raw[8 * (e - n) : 8 * e]) for e, n in zip(ends.tolist(), size.tolist())]
 
                 n_first = np.where(size >= LEAST_POSTED, prefix_size(size), 0)
-                first = np.arange(len(tokens)) - np.repeat(ends - size, size) < np.repeat(n_first, size)
-                parts = often[first] // hot + 1
+                position = np.arange(len(tokens)) - np.repeat(ends - size, size)
+                one = np.flatnonzero(position < np.repeat(n_first, size))
+                owner, at = np.repeat(np.arange(len(size)), n_first), position[one]
+                # A rare token once, a frequent one with each that follows it in the prefix and one place beyond.
+                paired = often[one] >= PAIR_WORDS
+                times = np.where(paired, n_first[owner] - at, 1)
+                following = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                one, owner, paired = np.repeat(one, times), np.repeat(owner, times), np.repeat(paired, times)
+                other = np.where(paired, one + 1 + following, one)
+                posted = np.where(paired, mixed(tokens[one] * MULTIPLIER + tokens[other]), tokens[one])
+                # What two sets can have in common from here on: the token, and all from the other one on.
+                ats = np.where(paired, position[other] - 1, position[one]).astype(np.int32)
+                parts = often[one] // hot + 1
                 turn = np.frombuffer(b"".join(c[:4] for c in classes), dtype=np.uint32).astype(np.int64)
-                salts = np.where(parts > 1, np.repeat(turn, n_first) % parts + 1, 0).astype(np.int32)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(n_first))).astype(np.int32))
-                short = pa.array(tokens[first].astype(np.uint32).view(np.int32))
+                salts = np.where(parts > 1, turn[owner] % parts + 1, 0).astype(np.int32)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(size))))).astype(np.int32))
 
                 places = pa.array(first_row + rows[taking])
                 columns = [
                     batch.column(0).take(places), batch.column(1).take(places), pa.array(numbers[taking].astype(np.int32)), pa.array(classes, pa.binary()),
-                    pa.array(size.astype(np.int32)), pa.array(bitmaps.view(np.int64)), pa.ListArray.from_arrays(offsets, short), pa.ListArray.from_arrays(offsets, pa.array(salts)),
+                    pa.array(size.astype(np.int32)), pa.array(bitmaps.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(posted.view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(salts)), pa.ListArray.from_arrays(offsets, pa.array(ats)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "class", "size", "bitmap", "prefix", "salts"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "class", "size", "bitmap", "prefix", "salts", "ats"])
 
-    schema = f"doc_id {kind}, key long, line int, class binary, size int, bitmap long, prefix array<int>, salts array<int>"
+    schema = f"doc_id {kind}, key long, line int, class binary, size int, bitmap long, prefix array<long>, salts array<int>, ats array<int>"
     return rows.mapInArrow(split, schema)
 
 
@@ -240,17 +255,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = stored(split_lines(docs, token_counts(docs)), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line")
     classes = lines.groupBy("class").agg(
-        F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("size", "bitmap", "prefix", "salts")]
+        F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("size", "bitmap", "prefix", "salts", "ats")]
     )
     # Numbers that rise with the first lines, written once.
     order = ["first.no_id", "first.doc_id", "first.key", "first.line"]
     classes = classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id())
     classes = stored(classes, "lines-classes")
 
-    postings = classes.select("number", "size", "bitmap", F.posexplode(F.arrays_zip("prefix", "salts")).alias("at", "posting"))
+    postings = classes.select("number", "size", "bitmap", F.explode(F.arrays_zip("prefix", "salts", "ats")).alias("posting"))
     postings = postings.select(
         F.col("posting.prefix").alias("token"), F.col("posting.salts").alias("salt"), F.col("number").alias("x_number"),
-        F.col("size").alias("x_size"), F.col("at").alias("x_at"), F.col("bitmap").alias("x_bitmap"),
+        F.col("size").alias("x_size"), F.col("posting.ats").alias("x_at"), F.col("bitmap").alias("x_bitmap"),
     )
     # The running frame holds one row, so a long list streams through.
     in_list = Window.partitionBy("token", "salt").orderBy("x_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
