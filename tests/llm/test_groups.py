@@ -109,7 +109,7 @@ def plain_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot, pairs", [(200_000, 64), (2, 64), (200_000, 1), (2, 3), (200_000, 10**9)])
+@pytest.mark.parametrize("hot, pairs", [(200_000, 20_000), (200_000, 1), (2, 3)])
 def test_line_dedup(docs, monkeypatch, hot, pairs):
     monkeypatch.setattr(lines, "PAIR_WORDS", pairs)  # rare tokens, frequent ones, or both kinds of key
     monkeypatch.setattr(lines, "HOT_LINES", hot)
@@ -130,7 +130,7 @@ def test_lines_alone_in_their_salts_meet(spark, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {i: i % 2 for i in range(2 * pairs)}
 
 
-@pytest.mark.parametrize("pairs", [1, 5, 10**9])
+@pytest.mark.parametrize("pairs", [1, 10**9])
 def test_lines_at_the_threshold_meet(spark, monkeypatch, pairs):
     """Sets of every size and overlap around the threshold, from few words, so that all of them are frequent."""
     import random

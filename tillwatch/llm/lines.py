@@ -9,9 +9,9 @@ at least ``PERCENT`` / 100 - whether or not that earlier line stays.
 2.  Lines with equal sets form a class, numbered in the order of their first lines.  Each class is posted under the
     tokens of its prefix, rarest first, with set size, position and a 64-bit parity bitmap of its tokens.  A token that
     occurs ``PAIR_WORDS`` times or more is posted together with each later token of the prefix made longer by one: two similar
-    sets share two tokens there, so sets whose first common token is frequent meet under it and the second.  Such pairs are
-    rare where their tokens are not, so lists stay short as the corpus grows.  Sets smaller than ``LEAST_POSTED`` are similar to
-    equal sets only; their class says all, and they are not posted.
+    sets share two tokens there, so sets whose first common token is frequent meet under it and the second.  Posted tokens
+    and pairs are cut to 32 bits: what falls together there adds candidates and loses none.  Sets smaller than
+    ``LEAST_POSTED`` are similar to equal sets only; their class says all, and they are not posted.
 3.  In each list a class is compared with the list's first class; this is linear, and settles the large groups of
     near copies.  Very frequent tokens are salted, each part having a first class of its own.
 4.  Classes still unsettled are joined with all earlier classes of their lists.  Length, position and bitmap (an exact
@@ -42,8 +42,9 @@ MIN_TOKENS = 1
 #: The smallest set that a set of one token more can be similar to.
 LEAST_POSTED = -(-PERCENT // (100 - PERCENT))
 COUNT_BUCKETS = 1 << 18
-#: A token is posted in pairs from so many words on.
-PAIR_WORDS = 64
+#: A token is posted in pairs from so many words on.  Far fewer would multiply the postings of the rarer ones, whose lists
+#: the filters can manage.
+PAIR_WORDS = 20_000
 #: A token is salted from so many lines on, and from so many times the mean bucket on.
 HOT_LINES, HOT_FACTOR = 200_000, 8
 #: 64-bit words of the parity bitmap that candidate pairs are compared by before their sets.
@@ -175,12 +176,12 @@ def split_lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 places = pa.array(first_row + rows[taking])
                 columns = [
                     batch.column(0).take(places), batch.column(1).take(places), pa.array(numbers[taking].astype(np.int32)), pa.array(classes, pa.binary()),
-                    pa.array(size.astype(np.int32)), pa.array(bitmaps.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(posted.view(np.int64))),
+                    pa.array(size.astype(np.int32)), pa.array(bitmaps.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(posted.astype(np.uint32).view(np.int32))),
                     pa.ListArray.from_arrays(offsets, pa.array(salts)), pa.ListArray.from_arrays(offsets, pa.array(ats)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "class", "size", "bitmap", "prefix", "salts", "ats"])
 
-    schema = f"doc_id {kind}, key long, line int, class binary, size int, bitmap long, prefix array<long>, salts array<int>, ats array<int>"
+    schema = f"doc_id {kind}, key long, line int, class binary, size int, bitmap long, prefix array<int>, salts array<int>, ats array<int>"
     return rows.mapInArrow(split, schema)
 
 
