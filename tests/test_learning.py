@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import TINY
-from tillwatch.operators import learning, metrics
+from pyspark.ml.functions import vector_to_array
+from tillwatch.operators import ensembles, learning, metrics
 from tillwatch.operators.learning import ModelConfig
+from tillwatch.operators.quantiles import exact_quantiles
 from tillwatch.plans import scoring, training
 from tillwatch.plans.features import fraud_features
 from tillwatch.session import work_dir
@@ -108,6 +110,49 @@ def test_train_save_score(spark, features):
     assert before == after
 
 
+def test_quantiles_equal_numpys(spark):
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    columns = {
+        "spread": rng.lognormal(0, 20, 400),
+        "ties": rng.integers(0, 4, 400).astype(float),
+        "one": np.full(400, -7.25),
+        "wide": np.concatenate([[-1.7e308, 1.7e308, 5e-324], rng.standard_normal(397)]),
+        "burst": np.concatenate([1e6 + rng.random(390) * 1e-6, rng.standard_normal(10)]),
+    }
+    rows = [tuple(float(v[i]) for v in columns.values()) + (bool(i % 3),) for i in range(400)]
+    rows += [(None, math.nan, None, None, None, True), (1.0, None, None, 2.0, None, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns) + ", flag boolean")
+    wanted = [0.0, 0.01, 0.25, 0.5, 0.731, 0.99, 1.0]
+    for bins, few in ((3, 1), (256, 30), (256, 10_000)):
+        got = exact_quantiles(df, list(columns), wanted, "flag", bins, few)
+        for flag in (0, 1):
+            for i, c in enumerate(columns):
+                values = sorted(r[i] for r in rows if r[5] is not None and int(r[5]) == flag and r[i] is not None and not math.isnan(r[i]))
+                for p, v in zip(wanted, got[flag, c]):
+                    at = p * (len(values) - 1)
+                    low = values[math.floor(at)]
+                    assert v == low + (values[math.ceil(at)] - low) * (at - math.floor(at))
+        assert got[None, "spread"] == [1.0] * 7 and (None, "ties") not in got
+    assert exact_quantiles(df.limit(0), ["ties"], wanted) == {}
+
+
+def test_nodes_score_as_the_model_does(spark, features):
+    small = ModelConfig(forest_trees=5, forest_depth=4, logistic_iterations=20, boost_iterations=5, boost_depth=3)
+    trained = training.train(features, small)
+    for name, score in (("random_forest", ensembles.forest_scores), ("gradient_boosting", ensembles.boosting_scores)):
+        model = trained.models[name]
+        path = work_dir(spark, "nodes")
+        model.stages[-1].save(path)
+        rows = model.transform(learning.as_reals(features)).select("transaction_id", vector_to_array("features").alias("features"), vector_to_array("probability")[1].alias("p"))
+        again = score(rows.select("transaction_id", "features"), ensembles.node_table(spark, path), model.stages[-1].getMaxDepth(), "transaction_id")
+        both = rows.join(again, "transaction_id").collect()
+        assert len(both) == features.count() and max(abs(r.p - r.score) for r in both) < 1e-9
+
+
 def test_model_queries_fit_the_full_sizes(monkeypatch, spark):
     from tests.conftest import TINY
     from tillwatch.catalog import learning as catalog

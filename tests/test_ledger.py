@@ -7,6 +7,8 @@ from tests.conftest import make_accounts, make_ledger
 from tillwatch.functions.predicates import order, where
 from tillwatch.functions.text import plain_number
 from tillwatch.operators import aggregates, ledger, maintenance, quality
+from tillwatch.session import work_dir
+from tillwatch.sources.manifest import LedgerStore
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +89,20 @@ def test_request_defaults(spark):
     df = spark.createDataFrame([(None,)], "transaction_id string")
     row = quality.with_request_defaults(df).first()
     assert len(row.transaction_id) == 36 and row.sender_account_id == "unknown" and row.event_time
+
+
+def test_user_deletion_is_one_statement(spark):
+    acc = spark.createDataFrame([("a", "u"), ("b", "u"), ("c", "v"), ("d", None)], "id string, user_id string")
+    rows = [("1", 5, "a", "c", None, None, 0), ("2", 5, "c", "d", None, None, 1), ("3", 5, "b", "c", None, None, 2), ("4", 5, None, "c", None, None, 3)]
+    tx = make_ledger(spark, rows)
+    store = LedgerStore(spark, work_dir(spark, "store"), acc.schema, tx.schema)
+    store.create(acc, tx)
+    state = lambda v=None: ({r.id for r in store.read("accounts", v).collect()}, {r.id: r.sender_account_id for r in store.read("transactions", v).collect()})
+    first = state()
+    # c has received money: neither its user nor the other one of the same statement goes.
+    assert not store.delete_users(F.col("user_id").isin("u", "v")) and state() == first and store.manifest.current() == 1
+    assert store.delete_users(F.col("user_id") == "u")
+    assert state() == ({"c", "d"}, {"1": None, "2": "c", "3": None, "4": None})
+    assert state(1) == first  # a reader of the version before sees both tables as they were
+    assert store.delete_received(F.col("user_id") == "v") and store.delete_users(F.col("user_id") == "v")
+    assert state() == ({"d"}, {"2": None})

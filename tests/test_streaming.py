@@ -12,6 +12,7 @@ from tillwatch.schemas import ACCOUNT, TRANSACTION
 from tillwatch.session import work_dir
 from tillwatch.sources import cdc, tables
 from tillwatch.sources.fixtures import far_future_change
+from tillwatch.sources.manifest import CompactingTable
 from tillwatch.streaming import history, pipeline
 from tillwatch.catalog.streaming import LEDGER_COLUMNS, reconcile_tables
 from tillwatch.streaming.reconcile import VERSION, reconcile_sink
@@ -266,6 +267,31 @@ def test_upsert_is_idempotent(spark):
     assert {r.id: r.v for r in small.current("id", ["v"]).collect()} == want
 
 
+def test_compaction_under_readers(spark):
+    schema = spark.createDataFrame([], "id string, v long").schema
+    table = CompactingTable(spark, work_dir(spark, "compacting"), schema, "id", ["v"], every=2)
+    table.create()
+    assert table.current().collect() == []
+    batches = [spark.createDataFrame([(f"k{i % 3}", i), ("x", 9 - i)], schema) for i in range(6)]
+    seen, pinned = {}, None
+    for i, batch in enumerate(batches):
+        table.sink(batch, i)
+        table.sink(batch, i)  # comes again
+        at = table.manifest.current()
+        seen[at] = {r.id: r.v for r in table.current(at).collect()}
+        if i == 1:
+            pinned = table.current(at)  # a reader that starts before the folders are merged
+    want = {"k0": 3, "k1": 4, "k2": 5, "x": 9}
+    assert {r.id: r.v for r in table.current().collect()} == want
+    assert {r.id: r.v for r in pinned.collect()} == {"k0": 0, "k1": 1, "x": 9}
+    assert all({r.id: r.v for r in table.current(at).collect()} == rows for at, rows in seen.items())
+    assert len(table.manifest.entries(table.manifest.current())) <= 2
+    # Six batches and two merges after the first version, which is empty.
+    assert table.manifest.current() == 8
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        table.manifest.publish([], 3)  # someone else published the version after it
+
+
 def test_prediction_envelope(spark):
     row = spark.range(1).select(
         F.lit("t").alias("transaction_id"), F.lit("a").alias("sender_account_id"),

@@ -8,10 +8,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import SparkSession, functions as F
 
-from ..operators import learning, metrics
+from ..operators import ensembles, learning, metrics
 from ..operators.learning import ModelConfig
 from ..plans import scoring, training
-from ..schemas import DERIVED
+from ..schemas import DERIVED, FRAUD_TYPES
 from ..session import work_dir
 from ..sources.fixtures import TX_SQL, tx_events
 from .features import PROFILE_SQL, profile, profile_out
@@ -114,17 +114,39 @@ def stratified_split(spark, d):
     return learning.stratified_split(rows, "is_fraud", "id")
 
 
-@query("M5_preprocess")
+# Test rows of a split by a column: the lowest draws of each class.
+def _split_sql(rows: str, by: str) -> str:
+    return f"""split AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5(CAST(transaction_id AS VARCHAR) || ':42'))
+    <= floor(count(*) OVER (PARTITION BY {by}) * 0.2 + 0.5) AS in_test FROM {rows})"""
+
+
+SPLIT_SQL = f"""{PROFILE_SQL.replace("profile AS (", "profile AS MATERIALIZED (")}, {_split_sql("profile", "is_fraud")}"""
+M5_SQL = SPLIT_SQL + """, cap AS (SELECT max(days_since_last_trans) AS cap FROM split WHERE days_since_last_trans < 9999 AND NOT in_test),
+derived AS (SELECT * REPLACE (CASE WHEN days_since_last_trans >= 9999 THEN (SELECT cap FROM cap) ELSE days_since_last_trans END
+    AS days_since_last_trans), days_since_last_trans >= 9999 AS new_account,
+  ln(1 + greatest(trans_amount, 0)) AS trans_amount_log, ln(1 + greatest(sender_volume_last_1h, 0)) AS sender_volume_last_1h_log,
+  CASE WHEN sender_txn_count_last_1h > 0 THEN sender_volume_last_1h / sender_txn_count_last_1h ELSE 0.0 END AS avg_amt_per_txn_last_1h
+  FROM split), long AS (""" + " UNION ALL ".join(
+    f"SELECT transaction_id, in_test, '{c}' AS feature, CAST({'new_account' if c == 'is_new_account_no_history' else c} AS DOUBLE) AS v FROM derived"
+    for c in learning.MODEL_COLUMNS
+) + """), medians AS (SELECT feature, quantile_cont(v, 0.5) AS med FROM long WHERE NOT in_test GROUP BY feature),
+filled AS (SELECT transaction_id, in_test, feature, coalesce(v, med) AS v FROM long JOIN medians USING (feature)),
+scale AS (SELECT feature, avg(v) AS mean, stddev_pop(v) AS spread FROM filled WHERE NOT in_test GROUP BY feature)
+SELECT transaction_id, feature, round((v - mean) / CASE WHEN spread > 0 THEN spread ELSE 1 END, 6) + 0.0 AS scaled FROM filled JOIN scale USING (feature)"""
+
+
+@query("M5_preprocess", M5_SQL)
 def preprocess(spark, d):
     """Every profile row imputed and scaled with statistics of the training rows only."""
     features = training.materialise(learning.as_reals(profile(spark, d)), "features")
     train, _ = training.split(features, FULL)
     cap = learning.fit_cap(train)
-    fitted = Pipeline(stages=learning.preprocess_stages(learning.MODEL_COLUMNS)).fit(
-        learning.derived_features(train, cap)
-    )
+    train = learning.derived_features(train, cap)
+    fitted = Pipeline(stages=learning.preprocess_stages(learning.MODEL_COLUMNS, train)).fit(train)
     out = fitted.transform(learning.derived_features(features, cap))
-    return out.select("transaction_id", vector_to_array("features").alias("scaled"))
+    names = F.array(*[F.lit(c) for c in learning.MODEL_COLUMNS])
+    cells = out.select("transaction_id", F.inline(F.arrays_zip(names.alias("feature"), vector_to_array("features").alias("scaled"))))
+    return cells.withColumn("scaled", F.round("scaled", 6) + 0.0)
 
 
 @query(
@@ -142,8 +164,14 @@ def _fitted(app_id: str, sf_dir: str):
     spark = SparkSession.getActiveSession()
     features = training.materialise(profile(spark, sf_dir), "features")
     trained = training.train(features, FULL)
-    rows, test = training.split(features, FULL)
-    return trained, learning.fit_fraud_type(rows, FULL), features, test
+    _, test = training.split(features, FULL)
+    types, _ = type_split(features)
+    return trained, learning.fit_fraud_type(types, FULL), features, test
+
+
+def type_split(features):
+    """Fraud rows split anew, in proportion to their types."""
+    return training.split(features.where("is_fraud"), FULL, "fraud_type")
 
 
 def fitted(spark, d):
@@ -171,13 +199,79 @@ def train_gbt(spark, d):
 
 @query("M10_train_fraud_type")
 def train_fraud_type(spark, d):
-    _, types, _, test = fitted(spark, d)
-    rows = learning.as_reals(test).where("is_fraud")
-    guessed = types.transform(rows)
+    _, types, features, _ = fitted(spark, d)
+    _, test = type_split(features)
+    guessed = types.transform(learning.as_reals(test))
     counts = metrics.confusion_counts(guessed, F.col("fraud_type"), F.col("predicted_fraud_type"))
     return metrics.classification_report(counts)
 
 
+@query(
+    "M10_type_supports",
+    SPLIT_SQL.replace(_split_sql("profile", "is_fraud"), "frauds AS (SELECT * FROM profile WHERE is_fraud), " + _split_sql("frauds", "fraud_type"))
+    + " SELECT fraud_type AS label, count(*) AS support FROM split WHERE in_test GROUP BY 1",
+)
+def type_supports(spark, d):
+    """What the scenario classifier is judged on, by type."""
+    return train_fraud_type(spark, d).where(F.col("class").isin(FRAUD_TYPES)).select(
+        F.col("class").alias("label"), F.col("support").cast("long").alias("support")
+    )
+
+
+@query(
+    "M7_at_optimum",
+    SPLIT_SQL + """ SELECT count(*) AS rows_fitted, count(*) FILTER (WHERE is_fraud) AS frauds_fitted,
+  CAST(0 AS DOUBLE) AS steepest FROM split WHERE NOT in_test""",
+)
+def at_optimum(spark, d):
+    """The steepest slope of the penalised loss at the logistic fit, over the rows it was fitted to."""
+    trained, _, features, _ = fitted(spark, d)
+    rows, _ = training.split(features, FULL)
+    model = trained.models["logistic_regression"]
+    ready = learning.as_reals(rows).withColumn("label", learning.normalise_label(F.col("is_fraud")).cast("double"))
+    ready = training.materialise(_prepared(model, learning.with_weights(ready, "label")), "prepared")
+    total = ready.agg(F.sum("weight")).first()[0]
+    last = model.stages[-1]
+    slopes = ensembles.logistic_gradient(ready, last.coefficients.tolist(), last.intercept, 1 / total, "label", "x", "weight")
+    steepest = F.round(F.lit(max(map(abs, slopes))), 4)
+    return ready.agg(F.count(F.lit(1)).alias("rows_fitted"), F.count_if(F.col("label") == 1).alias("frauds_fitted"), F.max(steepest).alias("steepest"))
+
+
+def _prepared(model, rows):
+    """Rows with ``x``, what the model's last stage is given."""
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    return rows.withColumn("x", vector_to_array("features"))
+
+
+def _apart(spark, d, name, score):
+    trained, _, _, test = fitted(spark, d)
+    model = trained.models[name]
+    path = work_dir(spark, "ensemble")
+    model.stages[-1].save(path)
+    rows = training.materialise(_prepared(model, learning.as_reals(test)).select("transaction_id", "is_fraud", "x"), "prepared")
+    again = score(rows.select("transaction_id", "x"), ensembles.node_table(spark, path), model.stages[-1].getMaxDepth(), "transaction_id", "x")
+    ours = _scored_by(spark, d, name).select("transaction_id", F.col("score").alias("fitted_score"))
+    both = rows.join(ours, "transaction_id").join(again, "transaction_id", "left")
+    apart = ~F.coalesce(F.abs(F.col("score") - F.col("fitted_score")) < 1e-9, F.lit(False))
+    return both.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"), F.count_if(apart).alias("apart"))
+
+
+APART_SQL = SPLIT_SQL + " SELECT is_fraud, count(*) AS n, CAST(0 AS BIGINT) AS apart FROM split WHERE in_test GROUP BY 1"
+
+
+@query("M8_scored_by_nodes", APART_SQL)
+def forest_by_nodes(spark, d):
+    """Test rows that the forest's table of nodes scores otherwise than the model."""
+    return _apart(spark, d, "random_forest", ensembles.forest_scores)
+
+
+@query("M9_scored_by_nodes", APART_SQL)
+def boosting_by_nodes(spark, d):
+    """Test rows that the boosting's table of nodes scores otherwise than the model."""
+    return _apart(spark, d, "gradient_boosting", ensembles.boosting_scores)
+
+
 @query(
     "M11_confusion_matrix",
     f"""{SCORED_SQL} SELECT label AS actual, count(*) FILTER (WHERE score <= 0.5) AS predicted_0,
@@ -349,11 +443,13 @@ def model_persist(spark, d):
     return before.select("transaction_id", "score").join(after, "transaction_id")
 
 
-@query("M18_scores_apart", "SELECT CAST(0 AS BIGINT) AS rows_apart")
+@query("M18_scores_apart", APART_SQL)
 def scores_apart(spark, d):
-    """Rows that the reloaded pipeline scores otherwise than the one in memory."""
-    both = model_persist(spark, d)
-    return both.agg(F.count_if(F.abs(F.col("score") - F.col("loaded_score")) > 1e-9).alias("rows_apart"))
+    """Test rows, by class, and those that the reloaded pipeline scores otherwise than the one in memory."""
+    _, _, _, test = fitted(spark, d)
+    both = test.select("transaction_id", "is_fraud").join(model_persist(spark, d), "transaction_id", "left")
+    apart = ~F.coalesce(F.abs(F.col("score") - F.col("loaded_score")) < 1e-9, F.lit(False))
+    return both.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"), F.count_if(apart).alias("apart"))
 
 
 @query("M19_score_batch")
@@ -368,11 +464,18 @@ def score_report(spark, d):
     return scoring.score_report(scoring.score_batch(features, trained.best_model, types))
 
 
-@query("M19_decisions_apart", "SELECT CAST(0 AS BIGINT) AS flags_apart, CAST(0 AS BIGINT) AS types_apart")
+@query(
+    "M19_decisions_apart",
+    f"""WITH {TX_SQL} SELECT is_fraud AS labelled, count(*) AS n, CAST(0 AS BIGINT) AS flags_apart,
+  CAST(0 AS BIGINT) AS types_apart FROM tx GROUP BY 1""",
+)
 def decisions_apart(spark, d):
-    """Rows whose flag isn't the probability's, and rows that have a scenario without being flagged."""
+    """Scored rows by label; those whose flag isn't the probability's, and those that have a scenario without a flag."""
+    _, _, features, _ = fitted(spark, d)
     flagged = F.col("fraud_probability") > 0.5
-    return score_batch(spark, d).agg(
+    labels = features.select("transaction_id", F.col("is_fraud").alias("labelled"))
+    return score_batch(spark, d).join(labels, "transaction_id").groupBy("labelled").agg(
+        F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("is_fraud") != flagged).alias("flags_apart"),
         F.count_if(~F.col("is_fraud") & F.col("fraud_type").isNotNull()).alias("types_apart"),
     )

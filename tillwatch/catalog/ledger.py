@@ -12,7 +12,9 @@ from ..operators import ledger, maintenance as upkeep, quality
 from ..operators.history import RECEIVER, SENDER, with_clock
 from ..operators.hotkeys import lookup
 from ..schemas import ACCOUNT_STATUSES, ACCOUNT_TYPES, PROFILE
+from ..session import materialise, work_dir
 from ..sources.fixtures import ACC_SQL, TX_SQL, accounts, tx_events
+from ..sources.manifest import LedgerStore
 from .features import PROFILE_SQL, profile
 from .registry import query
 
@@ -317,11 +319,26 @@ def feature_distribution(spark, d):
     return h.withColumn("lowest", F.round("lowest", 4)).withColumn("highest", F.round("highest", 4))
 
 
-@query("F8_feature_quantiles")
-def feature_quantiles(spark, d):
-    return agg.feature_quantiles(
-        profile(spark, d), PROFILE, "is_fraud", [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+@query(
+    "F8_feature_quantiles",
+    PROFILE_SQL.replace("profile AS (", "profile AS MATERIALIZED (")
+    + ", long AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST(is_fraud AS INTEGER) AS label, CAST({c} AS DOUBLE) AS value FROM profile" for c in PROFILE
     )
+    + "), found AS ("
+    + " UNION ALL ".join(
+        f"SELECT label, feature, CAST({p} AS DOUBLE) AS probability, quantile_cont(value, {p}) AS value FROM long GROUP BY 1, 2" for p in QUANTILES
+    )
+    + ") SELECT label, feature, probability, round(value, 6) AS value FROM found WHERE value IS NOT NULL",
+)
+def feature_quantiles(spark, d):
+    rows = materialise(profile(spark, d), "profile")
+    found = agg.feature_quantiles(rows, PROFILE, "is_fraud", QUANTILES)
+    return found.withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -614,6 +631,57 @@ def delete_user_cascade(spark, d):
     )
 
 
+def after_user_deletion(spark, d):
+    """A user who has received money can't go; once those payments are gone, user and accounts do."""
+    acc, tx = accounts(spark, d), tx_events(spark, d)
+    store = LedgerStore(spark, work_dir(spark, "ledger-store"), acc.schema, tx.schema)
+    store.create(acc, tx)
+    me = F.col("user_id") == ME
+    done = [store.delete_users(me), store.delete_received(me), store.delete_users(me)]
+    return store, done
+
+
+MY_ACCOUNTS = f"(SELECT id FROM acc WHERE user_id = {ME})"
+
+
+@query("H4_delete_user_accounts", f"{WITH} SELECT id, status, user_id FROM acc WHERE user_id IS NULL OR user_id <> {ME}")
+def delete_user_accounts(spark, d):
+    store, _ = after_user_deletion(spark, d)
+    return store.read("accounts").select("id", "status", "user_id")
+
+
+@query(
+    "H4_delete_user_transactions",
+    f"""{WITH} SELECT id, CASE WHEN sender_account_id IN {MY_ACCOUNTS} THEN NULL ELSE sender_account_id END AS sender_account_id,
+  receiver_account_id, CAST(amount AS DOUBLE) AS amount FROM tx WHERE receiver_account_id NOT IN {MY_ACCOUNTS}""",
+)
+def delete_user_transactions(spark, d):
+    store, _ = after_user_deletion(spark, d)
+    return store.read("transactions").select("id", SENDER, RECEIVER, F.col("amount").cast("double").alias("amount"))
+
+
+@query(
+    "H4_delete_user_versions",
+    f"""{WITH}, t AS (SELECT count(*) AS n, count(sender_account_id) AS sent FROM tx),
+k AS (SELECT count(*) AS n, count(CASE WHEN sender_account_id NOT IN {MY_ACCOUNTS} THEN 1 END) AS sent,
+  count(sender_account_id) AS before FROM tx WHERE receiver_account_id NOT IN {MY_ACCOUNTS}),
+a AS (SELECT count(*) AS n, count(*) FILTER (WHERE user_id IS NULL OR user_id <> {ME}) AS kept FROM acc),
+r AS (SELECT count(*) > 0 AS refused FROM tx WHERE receiver_account_id IN {MY_ACCOUNTS})
+SELECT 'first' AS version, a.n AS accounts, t.n AS transactions, t.sent AS with_sender, r.refused FROM a, t, r
+UNION ALL SELECT 'payments gone', a.n, k.n, k.before, false FROM a, k
+UNION ALL SELECT 'user gone', a.kept, k.n, k.sent, false FROM a, k""",
+)
+def delete_user_versions(spark, d):
+    """Every version holds both tables as of one statement."""
+    store, done = after_user_deletion(spark, d)
+    rows = []
+    for version, (name, refused) in enumerate([("first", not done[0]), ("payments gone", False), ("user gone", False)], 1):
+        tx = store.read("transactions", version).agg(F.count(F.lit(1)).alias("transactions"), F.count(SENDER).alias("with_sender"))
+        n = store.read("accounts", version).agg(F.count(F.lit(1)).alias("accounts")).first()[0]
+        rows.append(tx.select(F.lit(name).alias("version"), F.lit(n).cast("long").alias("accounts"), "transactions", "with_sender", F.lit(refused).alias("refused")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 # --- Q: quality --------------------------------------------------------------------
 
 NOW_US = 1706486400000000

@@ -31,6 +31,7 @@ from ..sources.fixtures import (
     transaction_changes,
     tx_events,
 )
+from ..sources.manifest import CompactingTable
 from ..streaming import pipeline
 from ..streaming.reconcile import VERSION, reconcile_sink
 from ..streaming.runs import BatchTable, drain, drain_batches
@@ -253,6 +254,25 @@ def sink_upsert_stream(spark, d):
     )
 
 
+@query(
+    "A11_sink_compacted",
+    f"""WITH {ACC_SQL} SELECT id, CAST(CASE WHEN id % 5 = 0 THEN balance + 1 ELSE balance END AS DOUBLE)
+  AS balance, us // 1000 + CASE WHEN id % 5 = 0 THEN 1000 ELSE 0 END AS ts_ms FROM acc""",
+)
+def sink_compacted(spark, d):
+    """The same upserts into a table that merges its folders while the stream runs."""
+    path = published(spark, account_changes(spark, d).repartition(5), "account-changes")
+    stream = cdc.unwrap(
+        cdc.parse(tables.line_stream(spark, path, files_per_batch=1), ACCOUNT), ACCOUNT, "ts_ms"
+    ).select("id", "balance", "ts_ms")
+    table = CompactingTable(spark, work_dir(spark, "compacting"), stream.schema, "id", ["ts_ms"], every=2)
+    table.create()
+    drain_batches(stream, "compacting", table.sink)
+    return table.current().select(
+        F.col("id").cast("long").alias("id"), F.col("balance").cast("double").alias("balance"), "ts_ms"
+    )
+
+
 @query(
     "A11_upsert_messages",
     f"""WITH {ACC_SQL} SELECT id, '{{"id":' || id || '}}' AS key, status FROM acc""",

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ledger import latest
 
+from .quantiles import exact_quantiles
+
 
 def monitoring_kpis(events: DataFrame, n: int = 30) -> DataFrame:
     """Figures over the newest ``n`` events (id, created_at, is_fraud, amount)."""
@@ -87,24 +89,11 @@ def feature_histogram(df: DataFrame, widths: dict[str, float], label: str) -> Da
     )
 
 
-def feature_quantiles(
-    df: DataFrame, columns: list[str], label: str, probabilities: list[float], accuracy: int = 10000
-) -> DataFrame:
-    """Approximate quantiles per feature and class (mergeable sketches, bounded size)."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.percentile_approx(
-                    F.col(c).cast("double"), F.array(*[F.lit(p) for p in probabilities]), accuracy
-                ).alias("quantiles"),
-            )
-            for c in columns
-        ]
-    )
-    return df.groupBy(F.col(label).cast("int").alias("label")).agg(cells.alias("cells")).select(
-        "label", F.inline("cells")
-    )
+def feature_quantiles(df: DataFrame, columns: list[str], label: str, probabilities: list[float]) -> DataFrame:
+    """Exact quantiles per feature and class: label, feature, probability, value."""
+    found = exact_quantiles(df, columns, probabilities, label)
+    rows = [(mark, c, p, v) for (mark, c), values in found.items() for p, v in zip(probabilities, values)]
+    return df.sparkSession.createDataFrame(rows, "label int, feature string, probability double, value double")
 
 
 def tx_aggregate(tx: DataFrame, predicate: Column, column: str = "amount") -> DataFrame:

@@ -11,10 +11,8 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import (
-    Imputer,
     IndexToString,
     SQLTransformer,
-    StandardScaler,
     StringIndexer,
     VectorAssembler,
 )
@@ -24,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.times import NO_HISTORY_DAYS
 from ..schemas import DERIVED, PROFILE
 from ..session import ensure_checkpoint_dir
+from .quantiles import exact_quantiles
 
 # Id columns looked for in this order, and columns known only afterwards.
 ID_COLUMNS = ["transaction_id", "ransaction_id", "trans_id", "id"]
@@ -160,15 +159,29 @@ def with_weights(df: DataFrame, label: str) -> DataFrame:
 # --- pipelines ---------------------------------------------------------------------
 
 
-def preprocess_stages(columns: list[str]) -> list:
-    filled = [f"{c}__filled" for c in columns]
+def preprocess_stages(columns: list[str], train: DataFrame) -> list:
+    """Fill with the exact median of the training rows, centre, and divide by the population deviation (if there is any).
+
+    The figures are written into the first stage, so they are saved with the model.
+    """
+    medians = {c: values[0] for (_, c), values in exact_quantiles(train, columns, [0.5]).items()}
+    filled = {c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(medians.get(c, 0.0))) for c in columns}
+    found = train.agg(*[f(v).alias(f"{n}_{i}") for i, v in enumerate(filled.values()) for n, f in (("mean", F.mean), ("spread", F.stddev_pop))]).first()
+    terms = []
+    for i, c in enumerate(columns):
+        mean, spread = found[f"mean_{i}"] or 0.0, found[f"spread_{i}"] or 1.0
+        value = f"coalesce(if(isnan({c}), NULL, {c}), {_real(medians.get(c, 0.0))})"
+        terms.append(f"({value} - {_real(mean)}) / {_real(spread)} AS {c}__scaled")
     return [
-        Imputer(strategy="median", inputCols=columns, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="assembled"),
-        StandardScaler(inputCol="assembled", outputCol="features", withMean=True, withStd=True),
+        SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"{c}__scaled" for c in columns], outputCol="features"),
     ]
 
 
+def _real(value: float) -> str:
+    return f"double('{float(value)!r}')"
+
+
 def estimators(cfg: ModelConfig, total_weight: float, label: str = "label") -> dict[str, object]:
     """The candidate models; an L2 penalty of strength 1 on the summed loss is 1 / total_weight on the mean."""
     common = {"featuresCol": "features", "labelCol": label, "weightCol": "weight"}
@@ -202,7 +215,8 @@ def fit_binary(train: DataFrame, name: str, cfg: ModelConfig = ModelConfig()) ->
         .where(F.col("label").isNotNull()),
         "label",
     )
-    stages = [derive_step([*PROFILE], fit_cap(train)), *preprocess_stages(MODEL_COLUMNS)]
+    cap = fit_cap(train)
+    stages = [derive_step([*PROFILE], cap), *preprocess_stages(MODEL_COLUMNS, derived_features(rows, cap))]
     total_weight = max(1.0, rows.agg(F.sum("weight")).first()[0] or 0.0)
     return _fit(rows, stages, estimators(cfg, total_weight)[name])
 
@@ -246,13 +260,12 @@ def fit_fraud_type(
         probabilityCol="type_probability",
         rawPredictionCol="type_raw",
     )
-    derive = SQLTransformer(
-        statement=_pass_through(derive_step([*PROFILE], fit_cap(train)).getStatement())
-    )
+    cap = fit_cap(train)
+    derive = SQLTransformer(statement=_pass_through(derive_step([*PROFILE], cap).getStatement()))
     names = IndexToString(
         inputCol="type_prediction", outputCol="predicted_fraud_type", labels=indexer.labels
     )
-    fitted = Pipeline(stages=[derive, *preprocess_stages(MODEL_COLUMNS), forest]).fit(
+    fitted = Pipeline(stages=[derive, *preprocess_stages(MODEL_COLUMNS, derived_features(rows, cap)), forest]).fit(
         indexer.transform(rows)
     )
     return PipelineModel(stages=[*fitted.stages, names])

@@ -82,9 +82,13 @@ def delete_accounts(
     transactions becomes NULL.  A user's deletion is ``doomed`` on ``user_id``.
     """
     gone = account_deletion(accounts, tx, doomed).where(F.col("outcome") == "deleted").select("id")
-    left = accounts.join(gone, "id", "left_anti")
+    return accounts.join(gone, "id", "left_anti"), clear_senders(tx, gone)
+
+
+def clear_senders(tx: DataFrame, gone: DataFrame) -> DataFrame:
+    """``tx`` with NULL for senders whose ``id`` is among ``gone``."""
     senders = tx.select(F.col(SENDER).alias("id")).where(F.col("id").isNotNull()).distinct()
     cleared = senders.join(gone, "id", "left_semi").select(F.col("id").alias(SENDER), F.lit(True).alias("__gone"))
     marked = lookup(tx, cleared, SENDER, SENDER)
     rows = marked.withColumn(SENDER, F.when(F.col("__gone").isNull(), F.col(SENDER))).drop("__gone")
-    return left, rows.select(*tx.columns)
+    return rows.select(*tx.columns)

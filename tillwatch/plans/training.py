@@ -27,10 +27,8 @@ class Trained:
         return self.models[self.best]
 
 
-def split(features: DataFrame, cfg: ModelConfig) -> tuple[DataFrame, DataFrame]:
-    marked = learning.stratified_split(
-        features, "is_fraud", "transaction_id", cfg.test_size, cfg.seed
-    )
+def split(features: DataFrame, cfg: ModelConfig, by: str = "is_fraud") -> tuple[DataFrame, DataFrame]:
+    marked = learning.stratified_split(features, by, "transaction_id", cfg.test_size, cfg.seed)
     return (
         marked.where(~F.col("in_test")).drop("in_test"),
         marked.where("in_test").drop("in_test"),
