@@ -15,7 +15,7 @@ from tillwatch.sources.fixtures import far_future_change
 from tillwatch.sources.manifest import CompactingTable
 from tillwatch.streaming import history, pipeline
 from tillwatch.catalog.streaming import LEDGER_COLUMNS, reconcile_tables
-from tillwatch.streaming.reconcile import VERSION, reconcile_sink
+from tillwatch.streaming.reconcile import VERSION, merged, reconcile_sink
 from tillwatch.streaming.runs import BatchTable, drain, drain_batches
 
 BASE_MS = int(EPOCH.timestamp() * 1000)
@@ -246,6 +246,30 @@ def test_reconcile_updates(spark):
     assert [r.id for r in late.read().collect()] == ["lost"]
 
 
+def test_touched_days_merge():
+    assert merged([(5, 8), (1, 3), (4, 4), (20, 21), (7, 10)]) == [(1, 10), (20, 21)]
+    assert merged([(0, 1), (10, 11), (14, 15), (40, 41)], 2) == [(0, 15), (40, 41)]
+    assert merged([]) == []
+
+
+def test_a_back_dated_row_recomputes_its_neighbours_only(spark):
+    """Ninety days of a ledger, then one row of a month ago: few profiles are written, and all are right."""
+    hour = 3_600_000_000
+    rows = [(f"t{k:03}", 10 + k % 3, "abc"[k % 3], "xy"[k % 2], "11.5", "104.9", k * 9 * hour) for k in range(240)]
+    rows.append(("rest", 7, "rests", "x", "12.0", "104.0", 80 * DAY))
+    back = ("back", 10, "rests", "x", "11.0", "104.0", 55 * DAY)
+    path = work_dir(spark, "arrivals")
+    for part in (rows[::2], rows[1::2], [back]):
+        publish(spark, path, [change(r) for r in part])
+    stream = cdc.transactions(tables.line_stream(spark, path, files_per_batch=1), *VERSION).select(*LEDGER_COLUMNS, *VERSION)
+    ledger, _, profiles = reconcile_tables(spark, stream)
+    drain_batches(stream, "back", reconcile_sink(ledger, profiles, make_accounts(spark, ["a", "b"])))
+    assert answers(profiles.current("transaction_id", [])) == brute.profile([*rows, back])
+    written = profiles.read().where("batch = 2")
+    # Four days of nine-hour steps, itself, and the sender's next payment 25 days on.
+    assert written.count() <= 14 and {"back", "rest"} <= {r.transaction_id for r in written.collect()}
+
+
 def test_missing_amounts_add_nothing():
     import pandas as pd
 

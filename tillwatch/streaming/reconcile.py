@@ -4,16 +4,19 @@ Each micro-batch is added to a ledger table, then the batch plan (with its hot-k
 handling) runs over the slice of the ledger that can matter, and the profiles of the
 affected transactions are upserted:
 
-* every transaction from the first touched row up to three days past the last one, and
+* every transaction up to three days past a touched one, and
 * the next transaction of each touched row's sender, however far ahead (dormancy, speed).
 
+What is touched is a set of days, merged into intervals: a back-dated row costs its own days and not all
+between them and today.
+
 A newer version of a known transaction replaces it: the ledger keeps both, the table of
 replaced rows says which to skip, and both the old and the new version count as touched.
 An older version, or the same one again, changes nothing.  Rows without a time go to the
 late table where there is one.
 
-The slice starts three days before the first touched row; before it only the latest
-transaction per sender is needed.  Two small tables beside the ledger keep a micro-batch
+An interval's slice starts three days before its first touched day; before it only the
+latest transaction per sender is needed.  Two small tables beside the ledger keep a micro-batch
 from reading all of it: the time span of every earlier batch, and every batch's last
 transaction per sender.  Only batches whose span straddles the start of the slice, or
 that lost a row to a newer version, are read row by row.
@@ -21,10 +24,13 @@ that lost a row to a newer version, are read row by row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from ..functions.times import micros
+from ..functions.times import DAY, micros
 from ..operators.history import RECEIVER_WINDOW, SENDER
 from ..operators.hotkeys import DEFAULT_HEAT, Heat
 from ..plans.features import fraud_features
@@ -44,6 +50,24 @@ REPLACED = T.StructType(
 )
 
 
+#: Intervals that a micro-batch recomputes at most; beyond, those closest to one another are taken together.
+MAX_INTERVALS = 12
+
+
+def merged(intervals: list[tuple[int, int]], most: int = MAX_INTERVALS) -> list[tuple[int, int]]:
+    """Intervals of whole numbers that overlap or adjoin put together, and then the closest ones until ``most`` are left."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(intervals):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], high)
+        else:
+            out.append((low, high))
+    while len(out) > most:
+        i = min(range(len(out) - 1), key=lambda k: out[k + 1][0] - out[k][1])
+        out[i : i + 2] = [(out[i][0], out[i + 1][1])]
+    return out
+
+
 def reconcile_sink(
     ledger: BatchTable,
     features: BatchTable,
@@ -133,29 +157,36 @@ def reconcile_sink(
         touched = rows.where(F.col("batch") == batch_id).select("us", SENDER)
         old = replaced.read().where(F.col("batch") == batch_id)
         touched = touched.unionByName(old.select("us", SENDER))
-        span = touched.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
-        if span.lo is None:
-            return
         rows = rows.drop("batch")
-        reach = span.hi + RECEIVER_WINDOW
-        senders = touched.select(SENDER).where(F.col(SENDER).isNotNull()).distinct()
-        beyond = rows.where(F.col("created_at") > F.timestamp_micros(F.lit(reach)))
-        following = (
-            beyond.join(senders, SENDER, "left_semi").groupBy(SENDER).agg(F.min("us").alias("us"))
-        )
-        last = following.agg(F.max("us")).first()[0]
-        until = reach if last is None else max(reach, last)
-        start = span.lo - RECEIVER_WINDOW
-        low, high = (F.timestamp_micros(F.lit(t)) for t in (start, until))
-        slice_rows = rows.where(F.col("created_at").between(low, high)).select(*ledger.schema.names, "us")
-        profiled = fraud_features(
-            slice_rows.unionByName(_anchors(start, batch_id)).drop("us", *VERSION),
-            accounts,
-            heat,
-            keep=("us", SENDER),
-        )
+        day = F.floor(F.col("us") / DAY).cast("int")
+        # As many rows as there are days with a change.
+        days = [r[0] for r in touched.where(F.col("us").isNotNull()).select(day).distinct().collect()]
+        if not days:
+            return
+        window = RECEIVER_WINDOW // DAY
+        changed_days = merged([(d, d + window) for d in days])
+        in_days = lambda spans: reduce(or_, [F.col("us").between(a * DAY, (b + 1) * DAY - 1) for a, b in spans])
+        since = F.col("created_at") >= F.timestamp_micros(F.lit(min(days) * DAY))
+        following = _following(rows.where(since), touched.where(F.col(SENDER).isNotNull()).select(SENDER, F.col("us").alias("at")).distinct())
+        following.persist()
+        points = [r[0] for r in following.where(~in_days(changed_days)).select(day).distinct().collect()]
+        slices = merged([(a - window, b) for a, b in changed_days] + [(p - window, p) for p in points])
+        times = reduce(or_, [F.col("created_at").between(*(F.timestamp_micros(F.lit(t)) for t in (a * DAY, (b + 1) * DAY - 1))) for a, b in slices])
+        names = [*ledger.schema.names, "us"]
+        parts = [rows.where(times).select(*names)] + [_anchors(a * DAY, batch_id).select(*names) for a, _ in slices]
+        whole = reduce(DataFrame.unionByName, parts).dropDuplicates(["id"])
+        profiled = fraud_features(whole.drop("us", *VERSION), accounts, heat, keep=("us", SENDER))
         marked = profiled.join(following.withColumn("follows", F.lit(True)), [SENDER, "us"], "left")
-        changed = F.col("us").between(span.lo, reach) | F.col("follows")
-        features.sink(marked.where(changed), batch_id)
+        features.sink(marked.where(in_days(changed_days) | F.col("follows")), batch_id)
+        following.unpersist()
+
+    def _following(rows: DataFrame, touched: DataFrame) -> DataFrame:
+        """(sender, us): the first time after each touched one at which its sender pays."""
+        mine = rows.where(F.col(SENDER).isNotNull()).join(touched.select(SENDER).distinct(), SENDER, "left_semi")
+        both = mine.select(SENDER, "us", F.lit(False).alias("asked")).distinct()
+        both = both.unionByName(touched.select(SENDER, F.col("at").alias("us"), F.lit(True).alias("asked")))
+        after = Window.partitionBy(SENDER).orderBy("us").rangeBetween(1, Window.unboundedFollowing)
+        paid = F.when(~F.col("asked"), F.col("us"))
+        return both.withColumn("next", F.min(paid).over(after)).where("asked and next is not null").select(SENDER, F.col("next").alias("us")).distinct()
 
     return handle
