@@ -1,6 +1,7 @@
 """Operators with a result per row, against plain definitions."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -246,6 +247,63 @@ def test_quality_rules_learn_symbols(spark):
     assert got == {i: i % 4 != 0 for i in range(200)}
 
 
+def plain_gains(rows):
+    """(gain, condition) of every threshold, straight from the rows: dicts of the features with `poor`."""
+    gain = {}
+    poor, good = sum(r["poor"] for r in rows), sum(not r["poor"] for r in rows)
+    for feature, (size, n) in quality.GRID.items():
+        for step in range(n + 1):
+            for at_least in (False, True):
+                held = [r for r in rows if (min(math.floor(r[feature] / size), n) >= step) == at_least]
+                p, g = sum(r["poor"] for r in held), sum(not r["poor"] for r in held)
+                if p >= quality.MIN_SUPPORT and p + g < poor + good:
+                    gain[feature, at_least, step] = p * (math.log2(p / (p + g)) - math.log2(poor / (poor + good)))
+    return gain
+
+
+def test_conditions_by_brute_force(spark):
+    """The learner's conditions have the greatest gain, and one that fails is followed by the next best."""
+    import random
+
+    rng = random.Random(13)
+    names = list(quality.GRID)
+    rows = []
+    for i in range(400):
+        row = {f: rng.random() * size * n * 0.8 for f, (size, n) in quality.GRID.items()}
+        row["poor"] = rng.random() < (0.9 if row[names[1]] > quality.GRID[names[1]][0] * 5 and row[names[2]] > quality.GRID[names[2]][0] * 3 else 0.2)
+        rows.append(row)
+    table = spark.createDataFrame([tuple(r[f] for f in names) + (r["poor"],) for r in rows], ", ".join(f"{f} double" for f in names) + ", poor boolean")
+    gains = plain_gains(rows)
+    given_up = frozenset()
+    for _ in range(3):
+        condition, poor, good = quality.best_condition(table, given_up)
+        key = (condition.feature, condition.at_least, condition.step)
+        left = {k: v for k, v in gains.items() if quality.Condition(*k) not in given_up}
+        assert gains[key] == pytest.approx(max(left.values()))
+        held = [r for r in rows if (min(math.floor(r[key[0]] / quality.GRID[key[0]][0]), quality.GRID[key[0]][1]) >= key[2]) == key[1]]
+        assert (poor, good) == (sum(r["poor"] for r in held), sum(not r["poor"] for r in held))
+        given_up |= {condition}
+
+
+def test_a_rule_that_fails_is_followed_by_the_next(spark, monkeypatch):
+    tried = []
+    real = quality.best_condition
+
+    def first_is_chance(rows, given_up=frozenset()):
+        found = real(rows, given_up)
+        tried.append((found and found[0], given_up))
+        return found
+
+    monkeypatch.setattr(quality, "best_condition", first_is_chance)
+    monkeypatch.setattr(quality, "counts_of", lambda rows, rule: [(0, 5)] * len(rule))  # no rule stands
+    rows = [(i, "word " * 20 + "# " * (10 * (i % 2)) + "! " * (5 * (i % 3))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(90)], "doc_id long, quality int")
+    assert quality.learn(quality.text_stats(docs), labels) == []
+    starts = [c for c, given_up in tried if c is not None and c not in given_up]
+    assert len({g for _, g in tried}) > 2 and len(set(starts)) > 1
+
+
 def plain_base(text):
     assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     found = [("assign", m) for m in re.finditer(assign, text, re.A | re.I) if len(m[2]) >= 12]

@@ -2,13 +2,15 @@
 
 The list is learned by sequential covering.  A rule for poor text grows by the threshold that gains most information
 (FOIL) over the labelled rows not yet covered, on two thirds of them; on the last third its conditions are pruned from the
-end while that does not lower its precision; a rule below ``MIN_PRECISION`` there ends the list.  Thresholds lie on a fixed
+end while that does not lower its precision.  A rule below ``MIN_PRECISION`` there is given up, and the next one begins with
+the next best condition; ``MAX_TRIES`` rules are grown at most.  Thresholds lie on a fixed
 grid, so each step is one aggregation to a few hundred counts, whatever the input.  The list becomes an ordered Spark
 conditional expression.
 
 Defined results: a NULL or blank text has no words, 0 of everything, and fails the base rule; without labels of both
 classes the list is empty and keeps; labels without an id or a mark are left out, of several of an id the lowest counts;
-repeated rows give a row each; other columns are left out.
+equal gains go to the feature that stands first in the grid, then to the lower threshold; a very long text takes memory in
+proportion to its words; an empty table gives no rows; repeated rows give a row each; other columns are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from tillwatch.llm.common import split_words, stored
 
 SPAN = 5
 BLANK = r"[\x20\x09-\x0D]"
-MAX_RULES, MAX_CONDITIONS = 8, 3
+MAX_RULES, MAX_CONDITIONS, MAX_TRIES = 8, 3, 16
 MIN_PRECISION = 0.95
 MIN_SUPPORT = 3
 #: feature -> (step of its grid, number of steps); larger values fall on the last.
@@ -134,8 +136,8 @@ def counts_of(rows: DataFrame, rule: Rule) -> list[tuple[int, int]]:
     return [(row[2 * i], row[2 * i + 1]) for i in range(len(rule))]
 
 
-def best_condition(rows: DataFrame) -> tuple[Condition, int, int] | None:
-    """The condition with the highest FOIL gain over the rows, and the poor and good rows under it."""
+def best_condition(rows: DataFrame, given_up: frozenset[Condition] = frozenset()) -> tuple[Condition, int, int] | None:
+    """The condition with the highest FOIL gain over the rows that isn't given up, and the poor and good rows under it."""
     steps = [F.least(F.floor(F.col(f) / size), F.lit(n)).cast("int") for f, (size, n) in GRID.items()]
     table = (
         rows.select("poor", F.posexplode(F.array(*steps)).alias("feature", "step"))
@@ -159,7 +161,9 @@ def best_condition(rows: DataFrame) -> tuple[Condition, int, int] | None:
                 if MIN_SUPPORT <= has and has + wrong < poor + good:
                     gain = has * (math.log2(has / (has + wrong)) - before)
                     if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
-                        best = (gain, Condition(names[number], at_least, step), has, wrong)
+                        condition = Condition(names[number], at_least, step)
+                        if condition not in given_up:
+                            best = (gain, condition, has, wrong)
             low_poor, low_good = low_poor + p, low_good + g
     return best and best[1:]
 
@@ -173,10 +177,13 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     grow, prune = rows.where("part > 0"), rows.where("part = 0")
     rules: list[Rule] = []
     covered = F.lit(False)
-    for _ in range(MAX_RULES):
+    given_up: frozenset[Condition] = frozenset()
+    for _ in range(MAX_TRIES):
+        if len(rules) == MAX_RULES:
+            break
         rule: Rule = ()
         while len(rule) < MAX_CONDITIONS:
-            found = best_condition(grow.where(~covered & holds(rule)))
+            found = best_condition(grow.where(~covered & holds(rule)), given_up if not rule else frozenset())
             if found is None:
                 break
             condition, _, wrong = found
@@ -191,7 +198,8 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
         while size > 1 and worth[size - 2] >= worth[size - 1]:
             size -= 1
         if worth[size - 1] < MIN_PRECISION or tests[size - 1][0] < MIN_SUPPORT:
-            break
+            given_up |= {rule[0]}
+            continue
         rules.append(rule[:size])
         covered = covered | holds(rule[:size])
     return rules
