@@ -136,6 +136,7 @@ def test_lines_at_the_threshold_meet(spark, monkeypatch, pairs):
     import random
 
     monkeypatch.setattr(lines, "PAIR_WORDS", pairs)
+    monkeypatch.setattr(lines, "LONG", 9)  # wide bitmaps for some, none for others
     rng = random.Random(12)
     words = [f"w{i}" for i in range(40)]
     texts = []

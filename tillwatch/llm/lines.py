@@ -7,7 +7,8 @@ at least ``PERCENT`` / 100 - whether or not that earlier line stays.
 1.  Words are counted over all documents, in ``COUNT_BUCKETS`` hash buckets: the bounded table that orders tokens by
     rarity (bucket count, then hash - a total order, so the prefix filter stays exact whatever falls together).
 2.  Lines with equal sets form a class, numbered in the order of their first lines.  Each class is posted under the
-    tokens of its prefix, rarest first, with set size, position and a 64-bit parity bitmap of its tokens.  A token that
+    tokens of its prefix, rarest first, with set size, position and a parity bitmap of its tokens: 64 bits, and 256 more for
+    sets of ``LONG`` tokens and more.  A token that
     occurs ``PAIR_WORDS`` times or more is posted together with each later token of the prefix made longer by one: two similar
     sets share two tokens there, so sets whose first common token is frequent meet under it and the second.  Posted tokens
     and pairs are cut to 32 bits: what falls together there adds candidates and loses none.  Sets smaller than
@@ -47,6 +48,8 @@ COUNT_BUCKETS = 1 << 18
 PAIR_WORDS = 20_000
 #: A token is salted from so many lines on, and from so many times the mean bucket on.
 HOT_LINES, HOT_FACTOR = 200_000, 8
+#: From so many tokens on a posting carries a wider bitmap too: 64 bits tell long lines no longer apart.
+LONG = 64
 #: 64-bit words of the parity bitmap that candidate pairs are compared by before their sets.
 WIDE = 4
 WIDE_NAMES = tuple(f"wide_{k}" for k in range(WIDE))
@@ -152,6 +155,9 @@ def split_lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 tokens, often = hashes[order][ranks], often[order][ranks]
                 ends = np.cumsum(size)
                 bitmaps = np.bitwise_xor.reduceat(np.uint64(1) << (tokens >> np.uint64(58)), ends - size)
+                long_lines = size >= LONG
+                wide = wide_bitmaps(tokens, ends - size)[:, long_lines]
+                wide_offsets = np.concatenate(([0], np.cumsum(np.where(long_lines, WIDE, 0)))).astype(np.int32)
                 raw = tokens.tobytes()
                 classes = [xxhash.xxh3_128_digest(raw[8 * (e - n) : 8 * e]) for e, n in zip(ends.tolist(), size.tolist())]
 
@@ -178,13 +184,21 @@ def split_lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     batch.column(0).take(places), batch.column(1).take(places), pa.array(numbers[taking].astype(np.int32)), pa.array(classes, pa.binary()),
                     pa.array(size.astype(np.int32)), pa.array(bitmaps.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(posted.astype(np.uint32).view(np.int32))),
                     pa.ListArray.from_arrays(offsets, pa.array(salts)), pa.ListArray.from_arrays(offsets, pa.array(ats)),
+                    pa.ListArray.from_arrays(pa.array(wide_offsets), pa.array(wide.T.ravel().view(np.int64))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "class", "size", "bitmap", "prefix", "salts", "ats"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "class", "size", "bitmap", "prefix", "salts", "ats", "wide"])
 
-    schema = f"doc_id {kind}, key long, line int, class binary, size int, bitmap long, prefix array<int>, salts array<int>, ats array<int>"
+    schema = f"doc_id {kind}, key long, line int, class binary, size int, bitmap long, prefix array<int>, salts array<int>, ats array<int>, wide array<long>"
     return rows.mapInArrow(split, schema)
 
 
+def wide_bitmaps(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The parity bitmaps of WIDE words (a row a word) of sets that begin at `starts`."""
+    index = tokens >> np.uint64(56)
+    bit = np.uint64(1) << (index & np.uint64(63))
+    return np.array([np.bitwise_xor.reduceat(np.where(index >> np.uint64(6) == k, bit, np.uint64(0)), starts) for k in range(WIDE)])
+
+
 def may_match(x: str, y: str) -> Column:
     """Length, positional and bitmap filter of the postings x and y of one token."""
     c = lambda side, name: F.col(f"{side}_{name}")
@@ -194,7 +208,10 @@ def may_match(x: str, y: str) -> Column:
     reach = F.least(c(x, "size") - c(x, "at"), c(y, "size") - c(y, "at"))
     position = (100 + PERCENT) * reach >= PERCENT * sizes
     apart = F.bit_count(c(x, "bitmap").bitwiseXOR(c(y, "bitmap")))
-    return length & position & ((100 + PERCENT) * apart <= (100 - PERCENT) * sizes)
+    close = (100 + PERCENT) * apart <= (100 - PERCENT) * sizes
+    both = (c(x, "size") >= LONG) & (c(y, "size") >= LONG)
+    wide = reduce(add, [F.bit_count(F.get(c(x, "wide"), k).bitwiseXOR(F.get(c(y, "wide"), k))) for k in range(WIDE)])
+    return length & position & close & (~both | ((100 + PERCENT) * wide <= (100 - PERCENT) * sizes))
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -216,10 +233,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 line, ranks = line_sets(line[mine], place[mine], hashes, order)
                 ends = np.cumsum(np.bincount(line, minlength=len(rows))[wanted])
                 sets = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(hashes[order][ranks].view(np.int64)))
-                index = hashes[order][ranks] >> np.uint64(56)
-                bit = np.uint64(1) << (index & np.uint64(63))
-                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                wide = [np.bitwise_xor.reduceat(np.where(index >> np.uint64(6) == k, bit, np.uint64(0)), starts) for k in range(WIDE)]
+                wide = wide_bitmaps(hashes[order][ranks], np.concatenate(([0], ends[:-1])).astype(np.int64))
                 place = np.cumsum(wanted)[at] - 1
                 columns = [asked.field("number"), sets.take(pa.array(place)), *[pa.array(w[place].view(np.int64)) for w in wide]]
                 yield pa.RecordBatch.from_arrays(columns, ["number", "tokens", *WIDE_NAMES])
@@ -256,29 +270,29 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = stored(split_lines(docs, token_counts(docs)), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line")
     classes = lines.groupBy("class").agg(
-        F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("size", "bitmap", "prefix", "salts", "ats")]
+        F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("size", "bitmap", "prefix", "salts", "ats", "wide")]
     )
     # Numbers that rise with the first lines, written once.
     order = ["first.no_id", "first.doc_id", "first.key", "first.line"]
     classes = classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id())
     classes = stored(classes, "lines-classes")
 
-    postings = classes.select("number", "size", "bitmap", F.explode(F.arrays_zip("prefix", "salts", "ats")).alias("posting"))
+    postings = classes.select("number", "size", "bitmap", "wide", F.explode(F.arrays_zip("prefix", "salts", "ats")).alias("posting"))
     postings = postings.select(
         F.col("posting.prefix").alias("token"), F.col("posting.salts").alias("salt"), F.col("number").alias("x_number"),
-        F.col("size").alias("x_size"), F.col("posting.ats").alias("x_at"), F.col("bitmap").alias("x_bitmap"),
+        F.col("size").alias("x_size"), F.col("posting.ats").alias("x_at"), F.col("bitmap").alias("x_bitmap"), F.col("wide").alias("x_wide"),
     )
     # The running frame holds one row, so a long list streams through.
     in_list = Window.partitionBy("token", "salt").orderBy("x_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy("token", "salt").orderBy("x_number")
-    heads = {f"y_{c}": F.first(f"x_{c}").over(in_list) for c in ("number", "size", "at", "bitmap")}
+    heads = {f"y_{c}": F.first(f"x_{c}").over(in_list) for c in ("number", "size", "at", "bitmap", "wide")}
     lists = postings.withColumns({**heads, "place": F.row_number().over(after), "more": F.lead("x_number").over(after).isNotNull()})
     candidate = (F.col("x_number") > F.col("y_number")) & may_match("x", "y")
     # Beyond the first of its list, a class can meet earlier ones from the third place on, and later ones up to the last but
     # one.  The parts of a salted token (its salts start at 1) meet one another, so there all rows ask and answer.
     salted = F.col("salt") > 0
     asks, answers = salted | (F.col("place") > 2), salted | ((F.col("place") > 1) & F.col("more"))
-    mine = [f"x_{c}" for c in ("number", "size", "at", "bitmap")]
+    mine = [f"x_{c}" for c in ("number", "size", "at", "bitmap", "wide")]
     roles = {"candidate": candidate, "asks": asks, "answers": answers}
     lists = lists.select("token", *mine, F.col("y_number").alias("head"), *[c.alias(name) for name, c in roles.items()])
     lists = stored(lists.where("candidate or asks or answers"), "lines-lists")
