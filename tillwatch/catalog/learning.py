@@ -213,7 +213,7 @@ def train_fraud_type(spark, d):
 )
 def type_supports(spark, d):
     """What the scenario classifier is judged on, by type."""
-    return train_fraud_type(spark, d).where(F.col("class").isin(FRAUD_TYPES)).select(
+    return train_fraud_type(spark, d).where(F.col("class").isin(FRAUD_TYPES) & (F.col("support") > 0)).select(
         F.col("class").alias("label"), F.col("support").cast("long").alias("support")
     )
 
