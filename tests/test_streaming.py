@@ -1,4 +1,6 @@
 import json
+import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ from tillwatch.sources.fixtures import far_future_change
 from tillwatch.sources.manifest import CompactingTable
 from tillwatch.streaming import history, pipeline
 from tillwatch.catalog.streaming import LEDGER_COLUMNS, reconcile_tables
-from tillwatch.streaming.reconcile import VERSION, merged, reconcile_sink
-from tillwatch.streaming.runs import BatchTable, drain, drain_batches
+from tillwatch.streaming.reconcile import VERSION, Span, cover_before, merged, reaching, reconcile_sink
+from tillwatch.streaming.runs import BatchTable, drain, drain_batches, newest_per_key
+from tillwatch.streaming.tiers import TieredTable, batches_of, parts_of, standing
 
 BASE_MS = int(EPOCH.timestamp() * 1000)
 
@@ -270,6 +273,75 @@ def test_a_back_dated_row_recomputes_its_neighbours_only(spark):
     assert written.count() <= 14 and {"back", "rest"} <= {r.transaction_id for r in written.collect()}
 
 
+def test_reconcile_over_merged_folders(spark):
+    """Four batches, folders merged by twos: a corrected row, and the same one corrected again after the merge."""
+    rows = ms_rows(24, 36)
+    late_by = 10 * 24 * 3600 * 1000
+    i, amount, s, r, lat, lon, us = rows[2]
+    once, twice = (i, amount + 500, r, s, lat, lon, us), (i, amount + 900, s, r, lat, lon, us + 3_600_000_000)
+    path = work_dir(spark, "arrivals")
+    publish(spark, path, [change(r) for r in rows[::2]])
+    publish(spark, path, [change(r) for r in rows[1::4]] + [change(once, "u", late_by)])
+    publish(spark, path, [change(r) for r in rows[3::4]])
+    publish(spark, path, [change(twice, "u", 2 * late_by), change(rows[5])])
+    stream = cdc.transactions(tables.line_stream(spark, path, files_per_batch=1), *VERSION).select(*LEDGER_COLUMNS, *VERSION)
+    ledger, _, profiles = reconcile_tables(spark, stream)
+    handle = reconcile_sink(ledger, profiles, make_accounts(spark, ["a", "b"]), fan=2, id_buckets=2)
+    drain_batches(stream, "merged", handle)
+    current = [twice if row[0] == i else row for row in rows]
+    assert answers(profiles.current("transaction_id", [])) == brute.profile(current)
+
+
+def test_standing_folders_hold_each_batch_once():
+    for fan in (2, 3, 8):
+        for last in range(200):
+            found = standing(last, fan)
+            assert [b for f in found for b in batches_of(f, fan)] == list(range(last + 1))
+            assert len(found) <= (fan - 1) * (1 + math.log(last + 1, fan)) + 1e-9
+            for folder in found:
+                if folder[0]:
+                    parts = parts_of(folder, fan)
+                    assert [b for f in parts for b in batches_of(f, fan)] == list(batches_of(folder, fan))
+
+
+def test_what_lies_before_a_slice():
+    """In-order batches of ten: what is read doesn't grow with their number; holes and late rows are read one by one."""
+    read = {}
+    for count in (50, 500):
+        spans = {b: Span(10 * b, 10 * b + 9) for b in range(count)}
+        near = reaching(spans, [(10 * count - 45, 10 * count)])
+        folders, by_row = cover_before(spans, 10 * count - 45, count - 1, 4)
+        read[count] = len(near), len(by_row)
+        whole = {b for f in folders for b in batches_of(f, 4)}
+        assert whole | set(by_row) == set(range(count - 4)) and not whole & set(by_row)
+        assert len(folders) <= 3 * (1 + math.log(count, 4)) + 3
+    assert read[50] == read[500] == (5, 1)
+    spans = {b: Span(10 * b, 10 * b + 9, b == 3) for b in range(16)} | {7: Span(None, None), 9: Span(5, 500)}
+    folders, by_row = cover_before(spans, 120, 15, 4)
+    assert sorted(by_row) == [3, 9]
+    assert {b for f in folders for b in batches_of(f, 4)} - {7} == set(range(12)) - {3, 7, 9}
+
+
+def test_lookups_read_few_files_after_fifty_batches(spark):
+    schema = spark.createDataFrame([], "id string, v long").schema
+    newest = lambda rows: newest_per_key(rows, "id", ["v"])
+    table = TieredTable(spark, work_dir(spark, "tiers"), schema, 4, newest, "id", 4)
+    asked = spark.createDataFrame([("a3",), ("gone",)], "id string")
+    files = {}
+    for b in range(50):
+        rows = [(f"a{b}", b), ("a3", b)] if b % 5 == 0 else [(f"a{b}", b)]
+        table.sink(spark.createDataFrame(rows, schema), b)
+        if b in (6, 49):
+            table.sink(spark.createDataFrame(rows, schema), b)  # comes again
+            found = table.lookup(asked, b)
+            assert re.search(r"PartitionFilters: \[[^]]*bucket#", found._jdf.queryExecution().toString())
+            hit = {f"/bucket={r[0]}/" for r in asked.select(table._bucket()).collect()}
+            files[b] = sum(any(h in name for h in hit) for name in found.inputFiles())
+            assert [(r.id, r.v) for r in found.collect()] == [("a3", b // 5 * 5)]
+    assert files[49] <= 2 * len(standing(49, 4)) <= 12
+    assert {r.id: r.v for r in newest(table.read(49)).collect()} == {f"a{b}": b for b in range(50)} | {"a3": 45}
+
+
 def test_missing_amounts_add_nothing():
     import pandas as pd
 

@@ -62,10 +62,15 @@ class BatchTable:
         rows = batch.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    def read(self) -> DataFrame:
-        """All rows, with the ``batch`` they came in."""
+    def read(self, batches: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some batches, with the ``batch`` they came in."""
         schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
-        return self.spark.read.schema(schema).parquet(self.path)
+        if batches is None:
+            return self.spark.read.schema(schema).parquet(self.path)
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        folders = [f"{self.path}/batch={b}" for b in batches]
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*folders)
 
     def stream(self, **options) -> DataFrame:
         """The rows of each micro-batch as they come."""
