@@ -91,17 +91,37 @@ def add_and_expire(width: int) -> Column:
     )
 
 
-def sweep(rows: DataFrame, keys: list[str], width: int, sums: dict[str, Column]) -> DataFrame:
-    """``rows`` plus the trailing sums by a running window: one sort, linear time."""
+def enter_and_leave(widths: dict[str, int]) -> tuple[Column, dict[str, Column]]:
+    """One mark per row for its time and one per distinct width for the time it leaves that window.
+
+    Returns the exploded marks (``shift``, ``step``), to be selected as ``mark``, and each name's sign on them.
+    """
+    steps = [0, *sorted(set(widths.values()))]
+    marks = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(shift).cast("long").alias("shift"), F.lit(step).alias("step"))
+                for step, shift in enumerate(steps)
+            ]
+        )
+    )
+    step = F.col("mark.step")
+    signs = {n: F.when(step == 0, 1).when(step == steps.index(w, 1), -1).otherwise(0) for n, w in widths.items()}
+    return marks, signs
+
+
+def sweep(rows: DataFrame, keys: list[str], widths: dict[str, int], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` plus the trailing sums, each over its width, by one running window: one sort, linear time."""
     payload = [c for c in rows.columns if c not in keys]
+    exploded, signs = enter_and_leave(widths)
     marks = (
         rows.select("*", *[v.alias(f"__{n}") for n, v in sums.items()])
-        .select("*", add_and_expire(width).alias("mark"))
+        .select("*", exploded.alias("mark"))
         .select(
             *keys,
             (F.col("us") + F.col("mark.shift")).alias("at"),
-            F.when(F.col("mark.sign") == 1, F.struct(*payload)).alias("row"),
-            *[(F.col(f"__{n}") * F.col("mark.sign")).alias(f"__{n}") for n in sums],
+            F.when(F.col("mark.step") == 0, F.struct(*payload)).alias("row"),
+            *[(F.col(f"__{n}") * signs[n]).alias(f"__{n}") for n in sums],
         )
     )
     running = strictly_before(*keys)
@@ -138,22 +158,28 @@ def trailing_terms(
 ) -> DataFrame:
     """Several trailing windows whose keys start with the same column.
 
-    The rows are split by that column's heat once, and ordinary rows are shuffled once.
+    The rows are split by that column's heat once, ordinary rows are shuffled once, and windows of the same keys share a
+    sweep whatever their widths.
     """
     lead = terms[0][0][0]
+    spaces: dict[tuple[str, ...], tuple[dict[str, int], dict[str, Column]]] = {}
+    for keys, width, sums in terms:
+        widths, columns = spaces.setdefault(tuple(keys), ({}, {}))
+        widths.update(dict.fromkeys(sums, width))
+        columns.update(sums)
     if hot is None:
         hot = hot_keys(df, lead, heat)
     names = [n for _, _, sums in terms for n in sums]
     wanted = [*df.columns, *names]
 
     cold = without_hot(df, lead, hot).repartition(lead)
-    for keys, width, sums in terms:
-        cold = _complete(sweep(cold, keys, width, sums), keys, sums)
+    for keys, (widths, sums) in spaces.items():
+        cold = _complete(sweep(cold, list(keys), widths, sums), list(keys), sums)
     parts = [cold.select(*wanted)]
     if hot.rows is not None:
         heavy = only_hot(df, lead, hot)
-        for keys, width, sums in terms:
-            heavy = _heavy_sums(heavy, only_hot(df, lead, hot), keys, width, sums, hot.lane_rows)
+        for keys, (widths, sums) in spaces.items():
+            heavy = _heavy_sums(heavy, only_hot(df, lead, hot), list(keys), widths, sums, hot.lane_rows)
         parts.append(heavy.select(*wanted))
     if hot.has_null:
         types = {f.name: f.dataType for f in cold.schema.fields}
@@ -173,15 +199,21 @@ def _complete(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> Data
 
 
 def _heavy_sums(
-    rows: DataFrame, ledger: DataFrame, keys: list[str], width: int, sums: dict[str, Column], lane_rows: int
+    rows: DataFrame,
+    ledger: DataFrame,
+    keys: list[str],
+    widths: dict[str, int],
+    sums: dict[str, Column],
+    lane_rows: int,
 ) -> DataFrame:
     """``rows`` of hot keys plus the sums, tallied from ``ledger`` (the same rows, unextended)."""
     tallied = ledger.groupBy(*keys, "us").agg(*[F.sum(v).alias(n) for n, v in sums.items()])
-    marks = tallied.select("*", add_and_expire(width).alias("mark")).select(
+    exploded, signs = enter_and_leave(widths)
+    marks = tallied.select("*", exploded.alias("mark")).select(
         *keys,
         (F.col("us") + F.col("mark.shift")).alias("at"),
-        (F.col("mark.sign") == 1).alias("own"),
-        *[(F.col(n) * F.col("mark.sign")).alias(n) for n in sums],
+        (F.col("mark.step") == 0).alias("own"),
+        *[(F.col(n) * signs[n]).alias(n) for n in sums],
     )
     answers = lane_running(marks, keys, list(sums), lane_rows).withColumnRenamed("at", "us")
     return rows.join(answers, [*keys, "us"], "left").withColumns(
