@@ -162,3 +162,33 @@ def test_model_queries_fit_the_full_sizes(monkeypatch, spark):
     monkeypatch.setattr(catalog.learning, "fit_fraud_type", lambda rows, config: used.append(config))
     catalog._fitted.__wrapped__("test", TINY)
     assert used == [catalog.ModelConfig()] * 2
+
+
+def test_a_model_query_fits_its_own_model_only(monkeypatch, spark):
+    from tillwatch.catalog import learning as catalog
+
+    fitted = []
+    fit = learning.fit_ready
+    monkeypatch.setattr(learning, "fit_ready", lambda ready, name, cfg: fitted.append(name) or fit(ready, name, SMALL))
+    monkeypatch.setattr(learning, "fit_fraud_type", lambda rows, cfg: fitted.append("types"))
+    catalog._trained.cache_clear()
+    try:
+        assert catalog.train_logreg(spark, TINY).count() == catalog.train_rf(spark, TINY).count() > 0
+    finally:
+        catalog._trained.cache_clear()
+    assert fitted == ["logistic_regression", "random_forest"]
+
+
+def test_candidates_are_fitted_at_the_same_time_on_rows_prepared_once(monkeypatch, features):
+    import threading
+
+    meeting, prepared = threading.Barrier(2, timeout=60), []
+    ready = learning.ready_rows
+    monkeypatch.setattr(learning, "ready_rows", lambda rows: prepared.append(1) or ready(rows))
+    monkeypatch.setattr(learning, "fit_ready", lambda ready, name, cfg: meeting.wait() >= 0 and name)
+    models = training.train(features, SMALL, ("logistic_regression", "random_forest")).models
+    assert models == {n: n for n in ("logistic_regression", "random_forest")} and prepared == [1]
+
+
+def test_parts_for_fits():
+    assert [training.pass_partitions(n, 12) for n in (0, 10_000, 100_000, 480_000, 36e6)] == [1, 1, 4, 12, 36]
