@@ -292,3 +292,21 @@ def test_pipeline_stages(spark, docs, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert fixture.plain(whole, "doc_id", "mix_taken") == fixture.plain(last, "doc_id", "mix_taken")
     assert last.where(F.col("mix_taken") <= 0).count() == 0
+
+
+def test_line_lists_are_made_and_joined_by_token_range(spark, monkeypatch):
+    from tillwatch.llm import lines
+
+    ends = [(1 << 32) * k // lines.RANGES - (1 << 31) for k in range(lines.RANGES + 1)]
+    edges = spark.createDataFrame([(t,) for e in ends for t in (e - 1, e) if -(1 << 31) <= t < 1 << 31], "token int")
+    assert [r.n for r in edges.select(sum(c.cast("int") for c in lines.token_ranges()).alias("n")).collect()] == [1] * edges.count()
+
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(words[:10] + [words[10 + i % 2]] + [f"x{i // 4}"])) for i in range(40)], "doc_id int, text string")
+    names, got, keep = [], [], lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: names.append(name) or keep(df, name))
+    for ranges in (1, 4):
+        monkeypatch.setattr(lines, "RANGES", ranges)
+        got.append(sorted(map(tuple, lines.line_digest(docs).collect())))
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) > 0
+    assert names.count("lines-lists") == names.count("lines-met") == 5

@@ -14,7 +14,8 @@ at least ``PERCENT`` / 100 - whether or not that earlier line stays.
     and pairs are cut to 32 bits: what falls together there adds candidates and loses none.  Sets smaller than
     ``LEAST_POSTED`` are similar to equal sets only; their class says all, and they are not posted.
 3.  In each list a class is compared with the list's first class; this is linear, and settles the large groups of
-    near copies.  Very frequent tokens are salted, each part having a first class of its own.
+    near copies.  Very frequent tokens are salted, each part having a first class of its own.  Lists are made, and joined
+    in the next step, for ``RANGES`` ranges of tokens in turn.
 4.  Classes still unsettled are joined with all earlier classes of their lists.  Length, position and bitmap (an exact
     lower bound of the sets' difference) filter inside both joins; a bitmap of 256 bits, then the full sets confirm.
 
@@ -52,6 +53,8 @@ HOT_LINES, HOT_FACTOR = 200_000, 8
 LONG = 64
 #: 64-bit words of the parity bitmap that candidate pairs are compared by before their sets.
 WIDE = 4
+#: The postings' lists are made and joined in so many ranges of tokens, one after another.
+RANGES = 4
 WIDE_NAMES = tuple(f"wide_{k}" for k in range(WIDE))
 #: Bytes of text whose lines are split together.
 BLOCK_BYTES = 1 << 22
@@ -265,6 +268,22 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return both.where(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common"))).select("later").distinct()
 
 
+def token_ranges() -> list[Column]:
+    """Conditions that part the 32-bit tokens into RANGES ranges."""
+    ends = [(1 << 32) * k // RANGES - (1 << 31) for k in range(RANGES + 1)]
+    return [F.col("token").between(a, b - 1) for a, b in zip(ends, ends[1:])]
+
+
+def meetings(lists: DataFrame, settled: DataFrame) -> DataFrame:
+    """(later, earlier): classes not settled yet and the earlier classes of their lists that may be similar."""
+    mine = [f"x_{c}" for c in ("number", "size", "at", "bitmap", "wide")]
+    unsettled = lists.where("asks").join(checked_broadcast(settled), lists["x_number"] == settled["later"], "left_anti").select("token", *mine, "head")
+    others = lists.where("answers").select(F.col("token").alias("t"), *[F.col(c).alias(c.replace("x_", "y_")) for c in mine])
+    earlier = (F.col("x_number") > F.col("y_number")) & (F.col("y_number") != F.col("head"))
+    met = unsettled.join(others, (F.col("token") == F.col("t")) & earlier & may_match("x", "y"))
+    return met.select(F.col("x_number").alias("later"), F.col("y_number").alias("earlier"))
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text) and the sorted numbers of the lines to remove, for documents that have some."""
     lines = stored(split_lines(docs, token_counts(docs)), "lines")
@@ -295,16 +314,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     mine = [f"x_{c}" for c in ("number", "size", "at", "bitmap", "wide")]
     roles = {"candidate": candidate, "asks": asks, "answers": answers}
     lists = lists.select("token", *mine, F.col("y_number").alias("head"), *[c.alias(name) for name, c in roles.items()])
-    lists = stored(lists.where("candidate or asks or answers"), "lines-lists")
-
-    star = lists.where("candidate").select(F.col("x_number").alias("later"), F.col("head").alias("earlier"))
+    # Lists are made and joined one range of tokens after another, so that only one range's shuffle is on disk.
+    parts = [stored(lists.where("candidate or asks or answers").where(part), "lines-lists") for part in token_ranges()]
+    star = reduce(DataFrame.unionByName, parts).where("candidate").select(F.col("x_number").alias("later"), F.col("head").alias("earlier"))
     settled = stored(confirmed(docs, classes, star), "lines-settled")
-
-    unsettled = lists.where("asks").join(checked_broadcast(settled), lists["x_number"] == settled["later"], "left_anti").select("token", *mine, "head")
-    others = lists.where("answers").select(F.col("token").alias("t"), *[F.col(c).alias(c.replace("x_", "y_")) for c in mine])
-    earlier = (F.col("x_number") > F.col("y_number")) & (F.col("y_number") != F.col("head"))
-    met = unsettled.join(others, (F.col("token") == F.col("t")) & earlier & may_match("x", "y"))
-    rest = confirmed(docs, classes, met.select(F.col("x_number").alias("later"), F.col("y_number").alias("earlier")))
+    met = reduce(DataFrame.unionByName, [stored(meetings(part, settled), "lines-met") for part in parts])
+    rest = confirmed(docs, classes, met)
     gone = settled.unionByName(rest).distinct()
 
     judged = classes.join(gone, classes["number"] == gone["later"], "left").select("class", "first", F.col("later").isNotNull().alias("gone"))
