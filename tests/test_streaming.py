@@ -442,3 +442,99 @@ def test_unreadable_feature_messages_go_to_quarantine(spark, monkeypatch):
     pipeline.scoring_sink(events, refused, None, None, None)(rows, 0)
     got = {(r.transaction_id, r.reasons, r.unreadable) for r in refused.read().collect()}
     assert got == {("t1", "refused", None), *[(None, "unreadable message", x) for x in (good[:20], "junk", "{}")]}
+
+
+class KeptState:
+    """Stands for the state handle: maps and values in memory."""
+
+    def __init__(self):
+        self.maps, self.value = {}, None
+
+    def getMapState(self, name, *_):
+        return KeptMap(self.maps.setdefault(name, {}))
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class KeptMap:
+    def __init__(self, rows):
+        self.rows = rows
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def getValue(self, key):
+        return self.rows[next(k for k in self.rows if k == key or k == (key,))]
+
+    def updateValue(self, key, value):
+        self.rows[key if len(key) > 1 else (key[0],)] = value
+
+    def removeKey(self, key):
+        del self.rows[next(k for k in self.rows if k == key or k == (key,))]
+
+
+@pytest.mark.parametrize("space", ["receiver", "sender"])
+def test_a_firing_is_answered_in_slices_of_time(monkeypatch, space):
+    """Slices of some rows give the answers of the whole, corrections and messages that come twice included, and hold few rows."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(8)
+    hour = 3_600_000_000
+    versions, lefts = {}, []
+    for k in range(400):
+        us = rng.randrange(60 * 24) * hour
+        versions[k] = [(f"k{rng.randrange(4)}", us, f"t{k}", 1, f"o{rng.randrange(5)}", rng.choice([100, 200, None]), rng.choice([1.0, None]), 2.0, True, False)]
+    for k in range(0, 400, 7):  # moved in time or to another key: the place left is marked
+        key, us, *rest = versions[k][0]
+        lefts.append((key, us, rest[0], 2, *rest[2:6], True, True))
+        versions[k].append((f"k{rng.randrange(4)}", us + rng.randrange(-200, 200) * hour, rest[0], 2, *rest[2:6], True, False))
+    first = [versions[k][0] for k in range(400)]
+    second = [v[1] for v in versions.values() if len(v) > 1] + lefts
+    some = rng.sample(first, 260)
+    arrivals = [some, [r for r in first if r not in some] + some[:20] + second[:30], second, second[5:9]]
+    sizes = []
+    kept = {}
+    for slice_rows in (25, 10**9):
+        processor, state, newest = history.HistoryProcessor(400 * DAY, slice_rows), KeptState(), {}
+        processor.init(state)
+        widest = 0
+        name = f"{space}_answers"
+        answer = getattr(history, name)
+        with monkeypatch.context() as patch:
+            patch.setattr(history, name, lambda rows, ask: sizes.append(len(rows)) or answer(rows, ask))
+            for rows in arrivals:
+                frame = pd.DataFrame(rows, columns=history.ROW_COLUMNS).assign(salt=0, clock=None)
+                chunks = (frame.iloc[i : i + 50] for i in range(0, len(frame), 50))
+                for out in processor.handleInputRows((space, 0), chunks, None):
+                    assert out.groupby("id").size().max() <= 2  # one row of a transaction in each of two places at most
+                    for r in out.astype(object).where(out.notna(), None).to_dict("records"):
+                        newest[r["id"], r["seq"], r["us"]] = {c: v for c, v in r.items() if c not in ("turn", "salt")}
+        widest, sizes[:] = max(sizes), []
+        kept[slice_rows] = newest, widest
+    assert kept[25][0] == kept[10**9][0] and len(kept[25][0]) > 400
+    assert kept[25][1] * 3 < kept[10**9][1]
+    assert kept[10**9][1] > 300
+    current = {v[-1][2]: v[-1] for v in versions.values()}
+    for (i, seq, us), got in kept[25][0].items():
+        row = current[i]
+        if seq != row[3]:
+            continue
+        mine = [r for r in current.values() if r[0] == row[0] and r[1] < row[1]]
+        if space == "receiver":
+            near = [r for r in mine if r[1] >= row[1] - 3 * DAY]
+            assert (got["incoming"], got["senders"]) == (len(near), len({r[4] for r in near}))
+        else:
+            near = [r for r in mine if r[1] >= row[1] - hour]
+            same = [r for r in mine if r[1] >= row[1] - 2 * DAY and r[5] is not None and r[5] == row[5]]
+            assert (got["paced"], got["cents"], got["repeats"]) == (len(near), sum(r[5] or 0 for r in near), len(same))
+            last = max(mine, key=lambda r: (r[1], r[2]), default=None)
+            assert (got["previous_us"], got["previous_id"]) == (last[1:3] if last else (None, None))
