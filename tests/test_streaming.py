@@ -538,3 +538,15 @@ def test_a_firing_is_answered_in_slices_of_time(monkeypatch, space):
             assert (got["paced"], got["cents"], got["repeats"]) == (len(near), sum(r[5] or 0 for r in near), len(same))
             last = max(mine, key=lambda r: (r[1], r[2]), default=None)
             assert (got["previous_us"], got["previous_id"]) == (last[1:3] if last else (None, None))
+
+
+def test_no_writer_has_a_batch_to_itself(spark):
+    """Messages of eight tasks come in three micro-batches, each written by all of them."""
+    from tillwatch.catalog.streaming import arriving
+
+    lines = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("value"))
+    seen = {}
+    drain_batches(arriving(spark, lines, "arriving"), "arriving", lambda batch, i: seen.setdefault(i, [(r.value, r.f) for r in batch.select("value", F.input_file_name().alias("f")).collect()]))
+    assert sorted(v for rows in seen.values() for v, _ in rows) == sorted(f"m{k}" for k in range(4000))
+    assert len(seen) == 3 and all(len({f for _, f in rows}) == 8 for rows in seen.values())
+    assert max(sum(f == g for _, g in rows) for rows in seen.values() for f in {f for _, f in rows}) < 4000 / 3 / 4

@@ -79,6 +79,18 @@ def published(spark, lines, name):
     return path
 
 
+def arriving(spark, lines, name, batches=3):
+    """Messages as a stream that takes them in so many micro-batches, in no order.
+
+    Every writer deals its messages out to the batches, so that no task has a batch's share of all to write.
+    """
+    path = work_dir(spark, name)
+    turn = F.pmod(F.xxhash64("value"), F.lit(batches)).alias("turn")
+    lines.select("value", turn).write.partitionBy("turn").text(path)
+    files = len(spark.read.option("recursiveFileLookup", "true").text(path).inputFiles())
+    return tables.line_stream(spark, path, files_per_batch=max(1, -(-files // batches)), recursiveFileLookup="true")
+
+
 def transaction_lines(spark, d):
     lines = transaction_changes(spark, d).unionByName(far_future_change(spark))
     return tables.line_stream(spark, published(spark, lines, "transaction-changes"))
@@ -475,9 +487,9 @@ CORRECTED_PROFILE_SQL = PROFILE_SQL.replace(TX_SQL, f"{FIRST_SQL}, {CORRECTED_SQ
 def stream_reconciled_features(spark, d):
     """Micro-batches in arbitrary time order, corrections among them; every affected profile is recomputed."""
     tx = tx_events(spark, d)
-    lines = creations(tx).unionByName(corrections(tx)).unionByName(broken_changes(tx)).repartition(3)
-    path = published(spark, lines, "transaction-changes")
-    stream = cdc.transactions(tables.line_stream(spark, path, files_per_batch=1), *VERSION).select(*LEDGER_COLUMNS, *VERSION)
+    lines = creations(tx).unionByName(corrections(tx)).unionByName(broken_changes(tx))
+    raw = arriving(spark, lines, "transaction-changes")
+    stream = cdc.transactions(raw, *VERSION).select(*LEDGER_COLUMNS, *VERSION)
     ledger, _, profiles = reconcile_tables(spark, stream)
     drain_batches(stream, "reconcile", reconcile_sink(ledger, profiles, text_accounts(spark, d)))
     return ms_out(profiles.current("transaction_id", []))
@@ -591,9 +603,7 @@ SELECT count(*) AS events, count(*) FILTER (WHERE score > 0.5) AS fraud_events,
   round(sum(trans_amount), 2) AS volume FROM newest""",
 )
 def stream_monitoring(spark, d):
-    lines = prediction_lines(spark, d).select("value").repartition(3)
-    path = published(spark, lines, "predictions")
-    stream = pipeline.parse_predictions(tables.line_stream(spark, path, files_per_batch=1))
+    stream = pipeline.parse_predictions(arriving(spark, prediction_lines(spark, d).select("value"), "predictions"))
     feed = BatchTable(spark, work_dir(spark, "feed"), pipeline.FEED)
     drain_batches(stream, "monitor", pipeline.monitoring_sink(feed))
     return rounded(pipeline.live_kpis(feed), 2)
