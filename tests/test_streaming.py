@@ -550,3 +550,16 @@ def test_no_writer_has_a_batch_to_itself(spark):
     assert sorted(v for rows in seen.values() for v, _ in rows) == sorted(f"m{k}" for k in range(4000))
     assert len(seen) == 3 and all(len({f for _, f in rows}) == 8 for rows in seen.values())
     assert max(sum(f == g for _, g in rows) for rows in seen.values() for f in {f for _, f in rows}) < 4000 / 3 / 4
+
+
+def test_next_payments_are_not_looked_for_where_nothing_lies_after(spark, monkeypatch):
+    """Batches that come in order, and one that touches every day: all that can change lies in the touched days."""
+    rows = sorted(ms_rows(29, 45), key=lambda r: r[6])
+    path = work_dir(spark, "arrivals")
+    for part in (rows[:20], rows[20:40:2], rows[21:40:2] + rows[40:]):
+        publish(spark, path, [change(r) for r in part])
+    stream = cdc.transactions(tables.line_stream(spark, path, files_per_batch=1), *VERSION).select(*LEDGER_COLUMNS, *VERSION)
+    ledger, _, profiles = reconcile_tables(spark, stream)
+    monkeypatch.setattr("tillwatch.streaming.reconcile.Window", None)  # what finds the next payments
+    drain_batches(stream, "ordered", reconcile_sink(ledger, profiles, make_accounts(spark, ["a", "b"])))
+    assert answers(profiles.current("transaction_id", [])) == brute.profile(rows)

@@ -214,12 +214,15 @@ def reconcile_sink(
         changed_days = merged([(d, d + window) for d in days])
         in_days = lambda spans: reduce(or_, [F.col("us").between(a * DAY, (b + 1) * DAY - 1) for a, b in spans])
         known = reaches(batch_id)
-        first = min(days) * DAY
-        later = alive(reaching(known, [(first, max(s.hi for s in known.values() if s.hi is not None))]), batch_id)
-        since = F.col("created_at") >= F.timestamp_micros(F.lit(first))
-        following = _following(later.where(since), touched.where(F.col(SENDER).isNotNull()).select(SENDER, F.col("us").alias("at")).distinct())
-        following.persist()
-        points = [r[0] for r in following.where(~in_days(changed_days)).select(day).distinct().collect()]
+        first, newest = min(days) * DAY, max(s.hi for s in known.values() if s.hi is not None)
+        following, points = None, []
+        # Where nothing lies after or between the changed days, no other row can follow a touched one.
+        if len(changed_days) > 1 or newest >= (changed_days[0][1] + 1) * DAY:
+            later = alive(reaching(known, [(first, newest)]), batch_id)
+            since = F.col("created_at") >= F.timestamp_micros(F.lit(first))
+            following = _following(later.where(since), touched.where(F.col(SENDER).isNotNull()).select(SENDER, F.col("us").alias("at")).distinct())
+            following.persist()
+            points = [r[0] for r in following.where(~in_days(changed_days)).select(day).distinct().collect()]
         slices = merged([(a - window, b) for a, b in changed_days] + [(p - window, p) for p in points])
         instants = [(a * DAY, (b + 1) * DAY - 1) for a, b in slices]
         times = reduce(or_, [F.col("created_at").between(*(F.timestamp_micros(F.lit(t)) for t in ends)) for ends in instants])
@@ -228,6 +231,9 @@ def reconcile_sink(
         parts = [inside.select(*names)] + [_anchors(a, batch_id, known).select(*names) for a, _ in instants]
         whole = reduce(DataFrame.unionByName, parts).dropDuplicates(["id"])
         profiled = fraud_features(whole.drop("us", *VERSION), accounts, heat, keep=("us", SENDER))
+        if following is None:
+            features.sink(profiled.where(in_days(changed_days)), batch_id)
+            return
         marked = profiled.join(following.withColumn("follows", F.lit(True)), [SENDER, "us"], "left")
         features.sink(marked.where(in_days(changed_days) | F.col("follows")), batch_id)
         following.unpersist()
