@@ -192,3 +192,16 @@ def test_candidates_are_fitted_at_the_same_time_on_rows_prepared_once(monkeypatc
 
 def test_parts_for_fits():
     assert [training.pass_partitions(n, 12) for n in (0, 10_000, 100_000, 480_000, 36e6)] == [1, 1, 4, 12, 36]
+
+
+def test_a_walk_through_the_nodes_is_one_join_at_any_depth(spark):
+    nodes = [(0, 2.0, 0, 1, 2, 1, 0.5, 0.0, [3.0, 1.0]), (0, 2.0, 1, -1, -1, -1, 0.0, -1.0, [3.0, 0.0]), (0, 2.0, 2, 3, 4, 0, 0.5, 0.0, [0.0, 1.0])]
+    nodes += [(0, 2.0, 3, -1, -1, -1, 0.0, 5.0, [0.0, 1.0]), (0, 2.0, 4, -1, -1, -1, 0.0, 7.0, [1.0, 1.0]), (1, 0.5, 0, -1, -1, -1, 0.0, 9.0, [2.0, 2.0])]
+    schema = "tree int, weight double, node int, left int, right int, feature int, threshold double, prediction double, stats array<double>"
+    table = spark.createDataFrame(nodes[::-1], schema)
+    rows = spark.createDataFrame([("a", [0.0, 0.5]), ("b", [0.5, 0.6]), ("c", [0.6, 0.6])], "k string, x array<double>")
+    found = ensembles.leaves(rows, table, 12, "k", "x")
+    got = {(r.k, r.tree): (r.weight, r.prediction, r.stats) for r in found.collect()}
+    first = {"a": (2.0, -1.0, [3.0, 0.0]), "b": (2.0, 5.0, [0.0, 1.0]), "c": (2.0, 7.0, [1.0, 1.0])}
+    assert got == {(k, 0): v for k, v in first.items()} | {(k, 1): (0.5, 9.0, [2.0, 2.0]) for k in "abc"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
