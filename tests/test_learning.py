@@ -205,3 +205,40 @@ def test_a_walk_through_the_nodes_is_one_join_at_any_depth(spark):
     first = {"a": (2.0, -1.0, [3.0, 0.0]), "b": (2.0, 5.0, [0.0, 1.0]), "c": (2.0, 7.0, [1.0, 1.0])}
     assert got == {(k, 0): v for k, v in first.items()} | {(k, 1): (0.5, 9.0, [2.0, 2.0]) for k in "abc"}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_cells_of_a_quantile_are_part_of_the_plan(spark):
+    from tillwatch.operators import quantiles
+
+    rows = spark.range(100).select(F.lit(None).cast("int").alias("__label"), F.lit("a").alias("__feature"), F.col("id").cast("double").alias("value"))
+    inside, _ = quantiles._in_cells(rows, {(None, "a", 7): (5.0, 9.0, 2)})
+    assert inside.count() == 5
+    assert "LogicalRDD" not in inside._jdf.queryExecution().optimizedPlan().toString()  # a job with Python workers
+
+
+def test_rows_for_fits_are_derived_once(monkeypatch, features):
+    written = []
+    write = learning.materialise
+    monkeypatch.setattr(learning, "materialise", lambda df, name: written.append(name) or write(df, name))
+    ready = learning.ready_rows(features)
+    assert written == ["derived"] and all("/derived-" in f for f in ready.rows.inputFiles())
+    by_stages = learning.as_reals(features)
+    for stage in ready.stages:
+        by_stages = stage.transform(by_stages)
+    plain = lambda df: sorted(tuple(r.features.toArray()) for r in df.select("features").collect())
+    assert plain(ready.rows) == plain(by_stages)
+
+
+def test_model_queries_split_the_profile_once(monkeypatch, spark):
+    from tillwatch.catalog import learning as catalog
+
+    splits = []
+    split = learning.stratified_split
+    monkeypatch.setattr(learning, "stratified_split", lambda *args: splits.append(args[1]) or split(*args))
+    catalog._trained.cache_clear()
+    try:
+        _, rows, test = catalog.candidates(spark, TINY)
+        assert rows.count() == 1000 and 0 < test.count() < 1000
+    finally:
+        catalog._trained.cache_clear()
+    assert splits == ["is_fraud"]
