@@ -242,3 +242,15 @@ def test_model_queries_split_the_profile_once(monkeypatch, spark):
     finally:
         catalog._trained.cache_clear()
     assert splits == ["is_fraud"]
+
+
+def test_small_parts_of_all_columns_are_sorted_in_one_pass(monkeypatch, spark):
+    from tillwatch.operators import quantiles
+
+    passes = []
+    sort = quantiles._sorted
+    monkeypatch.setattr(quantiles, "_sorted", lambda long, cells: passes.append(len(cells)) or sort(long, cells))
+    spread = spark.range(1001).select(F.col("id").cast("double").alias("even"), F.exp(F.col("id") / 20).alias("tail"))
+    got = exact_quantiles(spread, ["even", "tail"], [0.5], bins=4, few=260)
+    assert got[None, "even"] == [500.0] and got[None, "tail"] == [spread.where("even = 500").first().tail]
+    assert passes == [4]  # two ranks a column; the even column's part is small a round or more before the other's
