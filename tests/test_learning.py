@@ -244,6 +244,25 @@ def test_model_queries_split_the_profile_once(monkeypatch, spark):
     assert splits == ["is_fraud"]
 
 
+def test_a_fit_beside_others_takes_half_of_the_cores(spark):
+    rows = spark.range(8, numPartitions=4).toDF("label")
+    parts = lambda: learning.in_share(learning.Ready(rows, [], 200_000.0)).rdd.getNumPartitions()
+    seen = []
+    training.side_by_side(spark, [lambda: seen.append(parts()), lambda: seen.append(parts())])
+    assert (seen, parts()) == ([2, 2], 4)
+
+
+def test_scenario_types_follow_the_forest_in_its_share(monkeypatch, spark, features):
+    from tillwatch.session import fit_cores
+
+    order = []
+    monkeypatch.setattr(learning, "fit_ready", lambda ready, name, cfg: order.append((name, fit_cores(spark))) or name)
+    trained = training.train(features, SMALL, ("random_forest", "gradient_boosting"))
+    trained.fit_with(lambda: order.append(("types", fit_cores(spark))))
+    assert sorted(order) == [("gradient_boosting", 2), ("random_forest", 2), ("types", 2)]
+    assert order.index(("random_forest", 2)) < order.index(("types", 2))
+
+
 def test_small_parts_of_all_columns_are_sorted_in_one_pass(monkeypatch, spark):
     from tillwatch.operators import quantiles
 
