@@ -273,3 +273,90 @@ def test_small_parts_of_all_columns_are_sorted_in_one_pass(monkeypatch, spark):
     got = exact_quantiles(spread, ["even", "tail"], [0.5], bins=4, few=260)
     assert got[None, "even"] == [500.0] and got[None, "tail"] == [spread.where("even = 500").first().tail]
     assert passes == [4]  # two ranks a column; the even column's part is small a round or more before the other's
+
+
+def mixed_rows(spark, n=3000):
+    """Columns of few values, so that the library and ours cut them alike; two weights."""
+    from pyspark.ml.feature import VectorAssembler
+
+    columns = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(5 + 6 * i)).cast("double").alias(f"c{i}") for i in range(4)]
+    rows = spark.range(n, numPartitions=3).select("id", *columns)
+    label = (F.col("c0") * F.col("c1") + F.col("c2") + F.pmod(F.xxhash64("id", F.lit(9)), F.lit(7)) > 14).cast("double")
+    rows = rows.withColumn("label", label).withColumn("weight", F.when(F.col("label") == 1, 1.7).otherwise(0.6))
+    return training.materialise(VectorAssembler(inputCols=["c0", "c1", "c2", "c3"], outputCol="features").transform(rows), "mixed")
+
+
+def chances(model, rows):
+    return {r.id: r.p for r in model.transform(rows).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+
+
+def test_boosting_equals_the_librarys(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from tillwatch.operators import trees
+
+    rows = mixed_rows(spark)
+    asked = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.08, weightCol="weight")
+    ours, theirs = trees.fit_boosting(asked, rows), asked.fit(rows)
+    got, want = chances(ours, rows), chances(theirs, rows)
+    assert len(got) == 3000 and max(abs(got[i] - want[i]) for i in want) < 1e-9
+    assert list(ours.featureImportances.toArray()) == pytest.approx(list(theirs.featureImportances.toArray()))
+    assert (ours.getNumTrees, ours.treeWeights, ours.getMaxDepth()) == (12, theirs.treeWeights, 4)
+
+
+def test_boosting_does_not_depend_on_the_parts_of_the_rows(spark):
+    from tillwatch.operators import trees
+
+    rows = mixed_rows(spark)
+    nodes = [trees.boosted_trees(r, "label", 12, 0.08, 4)[0] for r in (rows, rows.repartition(5, "c3"))]
+    for a, b in zip(*nodes):
+        assert all((a[c] == b[c]).all() for c in ("left", "feature", "gain", "prediction", "count")) and a["thresholds"] == b["thresholds"]
+        leaves = a["left"] < 0
+        assert a["count"][leaves].sum() == a["count"][0] == 3000
+
+
+def test_a_tree_of_the_forest_equals_the_librarys(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
+    from tillwatch.operators import trees
+
+    rows = mixed_rows(spark)
+    want = DecisionTreeClassifier(maxDepth=6, weightCol="weight").fit(rows)
+    nodes = trees.forest_trees(rows, "label", [0.6, 1.7], 1, 6, None, 1, bagged=False)
+    asked = RandomForestClassifier(numTrees=1, maxDepth=6, weightCol="weight")
+    got = trees._as_model(spark, RandomForestClassificationModel, asked, nodes, [1.0], 4, numClasses=2)
+    assert got.totalNumNodes == want.numNodes
+    assert chances(got, rows) == pytest.approx(chances(want, rows))
+
+
+def test_a_forest_keeps_no_row_a_tree_and_grows_in_any_groups(monkeypatch, spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from tillwatch.operators import trees
+
+    rows = mixed_rows(spark)
+    asked = RandomForestClassifier(numTrees=20, maxDepth=6, weightCol="weight", seed=3)
+    held = []
+    collect = trees.RDD.collect
+    monkeypatch.setattr(trees.RDD, "collect", lambda rdd: held.append(spark.sparkContext._jsc.getPersistentRDDs().size()) or collect(rdd))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    whole = trees.fit_forest(asked, rows)
+    assert max(held) == before + 1 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    monkeypatch.setattr(trees, "SUMS_BYTES", 1)  # a tree a pass
+    ours, theirs = chances(whole, rows), chances(asked.fit(rows), rows)
+    assert chances(trees.fit_forest(asked, rows), rows) == ours
+    labels = {r.id: r.label == 1 for r in rows.collect()}
+    right = [sum((found[i] > 0.5) == labels[i] for i in labels) for found in (ours, theirs)]
+    assert right[0] >= right[1] - 60
+
+
+def test_cuts_take_even_shares_of_all_rows():
+    import numpy as np
+    from tillwatch.operators import trees
+
+    rng = np.random.default_rng(1)
+    parts = [np.concatenate([np.zeros(30_000), rng.lognormal(0, 3, 30_000)]) for _ in range(5)]
+    held = [trees.merged(p, np.ones(len(p))) for p in parts]
+    assert all(len(v) <= trees.SUMMARY and w.sum() == 60_000 for v, w in held)
+    cuts = trees.cut_points(*trees.merged(*map(np.concatenate, zip(*held)), limit=10**6), 32)
+    sizes = np.bincount(np.searchsorted(cuts, np.concatenate(parts)))
+    assert len(cuts) == 31 and sizes[0] == 150_000 and abs(sizes[1:] - 150_000 / 31).max() < 600
+    few = trees.cut_points(*trees.merged(np.array([3.0, 1.0, 3.0]), np.ones(3)), 32)
+    assert few.tolist() == [2.0] and trees.cut_points(np.array([7.0]), np.ones(1), 32).tolist() == []
