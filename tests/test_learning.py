@@ -360,3 +360,16 @@ def test_cuts_take_even_shares_of_all_rows():
     assert len(cuts) == 31 and sizes[0] == 150_000 and abs(sizes[1:] - 150_000 / 31).max() < 600
     few = trees.cut_points(*trees.merged(np.array([3.0, 1.0, 3.0]), np.ones(3)), 32)
     assert few.tolist() == [2.0] and trees.cut_points(np.array([7.0]), np.ones(1), 32).tolist() == []
+
+
+def test_scores_by_nodes_form_no_pairs_of_row_and_tree(spark):
+    nodes = [(0, 2.0, 0, 1, 2, 1, 0.5, 0.0, [3.0, 1.0]), (0, 2.0, 1, -1, -1, -1, None, -1.0, [3.0, 0.0]), (0, 2.0, 2, -1, -1, -1, None, 5.0, [1.0, 1.0])]
+    nodes += [(1, 0.5, 0, -1, -1, -1, None, 9.0, [1.0, 3.0])]
+    schema = "tree int, weight double, node int, left int, right int, feature int, threshold double, prediction double, stats array<double>"
+    table = spark.createDataFrame(nodes[::-1], schema)
+    rows = spark.createDataFrame([("a", [0.0, 0.5]), ("b", [0.5, 0.6]), ("c", [9.0, 0.4])], "k string, x array<double>")
+    forest, boosting = (f(rows, table, 3, "k", "x") for f in (ensembles.forest_scores, ensembles.boosting_scores))
+    assert {r.k: r.score for r in forest.collect()} == {"a": 0.375, "b": 0.625, "c": 0.375}
+    assert {r.k: r.score for r in boosting.collect()} == pytest.approx({k: 1 / (1 + 2.718281828459045 ** (-2 * m)) for k, m in (("a", 2.5), ("b", 14.5), ("c", 2.5))})
+    plan = forest._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join " not in plan and "Aggregate" not in plan
